@@ -356,3 +356,146 @@ def q_waste_trend(spark, sf_dir):
 def q_expiring_60d_rows(spark, sf_dir):
     m = Model(spark, sf_dir)
     return expiry.expiring_60d_rows(m.raw, m.datasets, m.scope())
+
+
+# ---------------------------------------------------------------- 2.5 inventory policies
+from stockroom.operators import policy  # noqa: E402
+
+ORDERING_COST = 75.0
+HOLDING_RATE = 0.25
+SERVICE_LEVEL = "97.5"
+
+
+def _abc_lines(m: Model) -> DataFrame:
+    return policy.abc_classify(policy.abc_input(m.raw, m.datasets, m.items, m.scope()))
+
+
+@register("abc_input")
+def q_abc_input(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    a = policy.abc_input(m.raw, m.datasets, m.items, m.scope())
+    return a.withColumn("annual_value", F.col("annual_value").cast("double"))
+
+
+@register("abc_classify")
+def q_abc_classify(spark, sf_dir):
+    return _abc_lines(Model(spark, sf_dir))
+
+
+@register("abc_snapshot_write")
+def q_abc_snapshot_write(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    base = policy.scratch_path(spark, "abc")
+    sid = policy.abc_snapshot_write(_abc_lines(m), base, m.scope())
+    lines = spark.read.parquet(f"{base}/lines").filter(F.col("snapshot_id") == sid)
+    return lines.groupBy("snapshot_id", "abc_class").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.round(F.sum("annual_value"), 2).alias("annual_value")
+    )
+
+
+@register("abc_snapshot_read")
+def q_abc_snapshot_read(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    base = policy.scratch_path(spark, "abc")
+    policy.abc_snapshot_write(_abc_lines(m), base, m.scope())
+    return policy.abc_snapshot_read(spark, base, m.raw, m.datasets, m.items)
+
+
+@register("abc_kpis")
+def q_abc_kpis(spark, sf_dir):
+    return policy.abc_kpis(_abc_lines(Model(spark, sf_dir)))
+
+
+def _policy_pairs(m: Model) -> DataFrame:
+    return policy.policy_latest_in_period(m.raw, m.datasets, m.scope())
+
+
+@register("policy_latest_in_period")
+def q_policy_latest_in_period(spark, sf_dir):
+    return _policy_pairs(Model(spark, sf_dir))
+
+
+@register("policy_item_match")
+def q_policy_item_match(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return policy.policy_item_match(_policy_pairs(m), m.items).select("item_id", "location_id", "item_name", "storage_item_id")
+
+
+def _round6(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@register("eoq")
+def q_eoq(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    e = policy.eoq(policy.policy_item_match(_policy_pairs(m), m.items), ORDERING_COST, HOLDING_RATE)
+    e = e.select("item_id", "location_id", "storage_item_id", "annual_demand_qty", "holding_cost", "eoq",
+                 "orders_per_year", "cycle_time_days")
+    return _round6(e, ["annual_demand_qty", "holding_cost", "eoq", "orders_per_year", "cycle_time_days"])
+
+
+def _moments(m: Model) -> DataFrame:
+    return policy.daily_demand_moments(m.raw, m.datasets, m.scope())
+
+
+@register("daily_demand_dense")
+def q_daily_demand_dense(spark, sf_dir):
+    return _round6(_moments(Model(spark, sf_dir)), ["mean_daily_qty", "demand_std_dev"])
+
+
+def _safety(m: Model) -> DataFrame:
+    pairs = _policy_pairs(m).select("item_id", "location_id", "restock_lead_time")
+    mom = _moments(m).join(pairs, ["item_id", "location_id"], "inner")
+    return policy.safety_stock(mom, F.col("restock_lead_time"), SERVICE_LEVEL)
+
+
+@register("safety_stock")
+def q_safety_stock(spark, sf_dir):
+    s = _safety(Model(spark, sf_dir)).select(
+        "item_id", "location_id", "demand_std_dev", "service_level_z", "lead_time_days", "safety_stock"
+    )
+    return _round6(s, ["demand_std_dev", "safety_stock"])
+
+
+@register("rop")
+def q_rop(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    matched = policy.policy_item_match(_policy_pairs(m), m.items)
+    saved = (
+        _safety(m)
+        .join(matched.select("item_id", "location_id", "storage_item_id"), ["item_id", "location_id"])
+        .select(
+            F.col("storage_item_id").alias("item_id"), "location_id", "demand_std_dev", "lead_time_days",
+            "service_level_z", F.lit(m.scope().as_of).cast("date").alias("review_date"), F.lit(1).alias("param_id"),
+        )
+    )
+    r = policy.rop(matched, F.col("restock_lead_time"), saved_safety=saved)
+    r = r.select("item_id", "location_id", "storage_item_id", "daily_demand_avg", "lead_time_days",
+                 "safety_stock_qty", "rop", "current_stock", "status")
+    return _round6(r, ["safety_stock_qty", "rop"])
+
+
+@register("policy_log_write")
+def q_policy_log_write(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    path = policy.scratch_path(spark, "policy-log")
+    e = policy.eoq(policy.policy_item_match(_policy_pairs(m), m.items), ORDERING_COST, HOLDING_RATE)
+    policy.policy_log_write(
+        e.select(F.col("storage_item_id").alias("item_id"), "location_id", "annual_demand_qty", "ordering_cost",
+                 "holding_cost", F.col("restock_lead_time").alias("lead_time_days")),
+        path, "eoq", m.scope(),
+    )
+    log = spark.read.parquet(path)
+    return _round6(log.select("policy", "item_id", "location_id", "annual_demand_qty", "ordering_cost", "holding_cost",
+                              "lead_time_days", "review_date", "notes"), ["annual_demand_qty", "holding_cost"])
+
+
+@register("period_days")
+def q_period_days(spark, sf_dir):
+    r = Model(spark, sf_dir).raw
+    g = r.groupBy(F.col("item_id").alias("item_id")).agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+    return g.select(
+        "item_id", "first_day", "last_day",
+        policy.period_days_col(F.col("first_day"), F.col("last_day")).alias("period_days"),
+        policy.period_days_col(F.col("last_day"), F.col("first_day")).alias("reversed_days"),
+    )

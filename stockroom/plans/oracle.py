@@ -40,7 +40,7 @@ NEWEST = "date DESC, event_ts DESC, k1 DESC, k2 DESC, k3 DESC, k4 DESC, k5 DESC"
 cte("raw_inventory", f"""
 SELECT 'ds_active' AS dataset_id, CAST(l_shipdate AS DATE) AS date,
   'LOC' || CAST(l_suppkey % 4 + 1 AS VARCHAR) AS location_id,
-  l_partkey AS item_id, p_name AS item_name, l_shipdate AS event_ts,
+  l_partkey AS item_id, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS item_name, l_shipdate AS event_ts,
   {EVENT_TYPE} AS event_type,
   l_quantity AS quantity,
   CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0.0 END AS receipts_qty,
@@ -48,6 +48,7 @@ SELECT 'ds_active' AS dataset_id, CAST(l_shipdate AS DATE) AS date,
   CAST((l_orderkey * 7 + l_linenumber * 13 + l_partkey) % 61 - 5 AS DOUBLE) AS closing_qty,
   CAST(p_size % 20 AS DOUBLE) AS min_qty, CAST(p_size % 20 + 25 AS DOUBLE) AS max_qty,
   l_extendedprice AS inventory_value, p_retailprice AS unit_cost,
+  CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0.0 END AS annual_consumption_value,
   CASE WHEN l_tax = 0 THEN NULL ELSE l_quantity / 10 END AS avg_usage_per_day,
   CAST(l_linenumber AS DOUBLE) AS restock_lead_time,
   CASE WHEN l_discount = 0 THEN NULL ELSE CAST(l_orderkey % 40 AS DOUBLE) END AS current_stock_avg,
@@ -81,7 +82,8 @@ cte("rng", "SELECT MIN(CAST(event_ts AS DATE)) AS start_d, MAX(CAST(event_ts AS
     ("inventory_events",))
 
 cte("items", """
-SELECT p_partkey AS item_id, 'ITM' || CAST(p_partkey AS VARCHAR) AS item_code, p_name AS item_name,
+SELECT p_partkey AS item_id, 'ITM' || CAST(p_partkey AS VARCHAR) AS item_code,
+  UPPER(p_name) || ' ' || CAST(p_partkey AS VARCHAR) AS item_name,
   p_type AS category_id, p_partkey % 5 + 1 AS location_id,
   CAST(p_size % 20 AS BIGINT) AS min_qty, CAST(p_size % 20 + 25 AS BIGINT) AS max_qty,
   p_partkey % 7 AS current_qty, p_retailprice AS unit_cost_aed, p_size > 45 AS is_critical
@@ -456,3 +458,152 @@ ORACLE["expiring_60d_rows"] = with_(f"""
 SELECT COUNT(*) AS lot_count FROM (
   SELECT TRY_CAST(SUBSTR(TRIM(lot_expiry), 1, 10) AS DATE) AS x FROM raw_active)
 WHERE x IS NOT NULL AND x >= {AS_OF} AND x <= {AS_OF} + 60""", "raw_active")
+
+# ---------------------------------------------------------------- 2.5 policies
+cte("abc_input", f"""
+SELECT g.item_id, s.storage_item_id, g.item_name, COALESCE(g.annual_qty, 0) AS annual_qty,
+  COALESCE(g.annual_value, 0) AS annual_value
+FROM (
+  SELECT LOWER(TRIM(item_name)) AS name_key,
+    MIN(CASE WHEN item_id IS NOT NULL THEN item_id END) AS item_id,
+    MIN(CASE WHEN item_id IS NOT NULL THEN TRIM(item_name) END) AS item_name,
+    SUM(CASE WHEN {IN_RANGE_DAY} THEN COALESCE(issues_qty, 0) END) AS annual_qty,
+    SUM(CASE WHEN {IN_RANGE_DAY} THEN CAST(COALESCE(annual_consumption_value, 0) AS DECIMAL(18,2)) END) AS annual_value
+  FROM raw_active WHERE TRIM(COALESCE(item_name, '')) <> '' GROUP BY 1) g
+JOIN (SELECT LOWER(TRIM(item_name)) AS name_key, MIN(item_id) AS storage_item_id FROM items GROUP BY 1) s
+  ON s.name_key = g.name_key
+WHERE g.item_id IS NOT NULL""", ("raw_active", "items", "rng"))
+
+
+def _classify(src: str) -> str:
+    return f"""
+SELECT * EXCLUDE (running, total, cum),
+  ROUND(cum, 6) AS cumulative_share_pct,
+  CASE WHEN cum <= 0.8 THEN 'A' WHEN cum <= 0.95 THEN 'B' ELSE 'C' END AS abc_class
+FROM (
+  SELECT * EXCLUDE (annual_qty, annual_value), ROUND(annual_qty, 4) AS annual_qty,
+    ROUND(CAST(annual_value AS DOUBLE), 4) AS annual_value,
+    CASE WHEN CAST(total AS DOUBLE) > 0 THEN ROUND(CAST(annual_value AS DOUBLE) / CAST(total AS DOUBLE), 6) ELSE 0.0 END
+      AS value_share_pct,
+    CASE WHEN CAST(total AS DOUBLE) > 0 THEN CAST(running AS DOUBLE) / CAST(total AS DOUBLE) ELSE 0.0 END AS cum
+  FROM (
+    SELECT *, SUM(annual_value) OVER (ORDER BY annual_value DESC, item_id ASC
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running,
+      SUM(annual_value) OVER () AS total
+    FROM ({src})))"""
+
+
+cte("abc_lines", _classify("SELECT * FROM abc_input"), ("abc_input",))
+
+ORACLE["abc_input"] = with_(
+    "SELECT item_id, storage_item_id, item_name, annual_qty, CAST(annual_value AS DOUBLE) AS annual_value FROM abc_input",
+    "abc_input")
+
+ORACLE["abc_classify"] = with_("SELECT * FROM abc_lines", "abc_lines")
+
+ORACLE["abc_snapshot_write"] = with_("""
+SELECT 1 AS snapshot_id, abc_class, COUNT(*) AS n_lines, ROUND(SUM(annual_value), 2) AS annual_value
+FROM abc_lines GROUP BY abc_class""", "abc_lines")
+
+ORACLE["abc_snapshot_read"] = with_(_classify("""
+SELECT COALESCE(m.m_item_id, l.storage_item_id) AS item_id,
+  COALESCE(m.m_item_name, i.item_name, CAST(l.storage_item_id AS VARCHAR)) AS item_name,
+  SUM(l.annual_qty) AS annual_qty, SUM(CAST(l.annual_value AS DECIMAL(18,2))) AS annual_value
+FROM abc_lines l
+LEFT JOIN items i ON i.item_id = l.storage_item_id
+LEFT JOIN (SELECT LOWER(TRIM(item_name)) AS name_key, MIN(item_id) AS m_item_id, MIN(TRIM(item_name)) AS m_item_name
+           FROM raw_active WHERE TRIM(COALESCE(item_name, '')) <> '' AND item_id IS NOT NULL GROUP BY 1) m
+  ON m.name_key = LOWER(TRIM(i.item_name))
+GROUP BY 1, 2"""), "abc_lines", "items", "raw_active")
+
+ORACLE["abc_kpis"] = with_("""
+SELECT CAST(tv AS DOUBLE) AS total_annual_value, total_items,
+  CASE WHEN tv > 0 THEN ROUND(CAST(av AS DOUBLE) / CAST(tv AS DOUBLE), 6) ELSE 0.0 END AS class_a_value_pct
+FROM (SELECT COALESCE(SUM(CAST(annual_value AS DECIMAL(28,4))), 0) AS tv, COUNT(*) AS total_items,
+        COALESCE(SUM(CASE WHEN abc_class = 'A' THEN CAST(annual_value AS DECIMAL(28,4)) END), 0) AS av
+      FROM abc_lines)""", "abc_lines")
+
+cte("policy_pairs", """
+SELECT item_id, location_id, TRIM(item_name) AS item_name,
+  COALESCE(avg_usage_per_day, 0) AS avg_usage_per_day, COALESCE(restock_lead_time, 0) AS restock_lead_time,
+  COALESCE(min_qty, 0) AS min_qty, COALESCE(closing_qty, 0) AS closing_qty, COALESCE(unit_cost, 0) AS unit_cost
+FROM snap_in_range""", ("snap_in_range",))
+
+cte("policy_matched", """
+SELECT p.*, m.storage_item_id FROM policy_pairs p
+JOIN (SELECT LOWER(TRIM(item_name)) AS k, location_id AS loc, MIN(item_id) AS storage_item_id
+      FROM items GROUP BY 1, 2) m
+  ON m.k = LOWER(TRIM(p.item_name)) AND m.loc = p.location_id""", ("policy_pairs", "items"))
+
+cte("policy_eoq", """
+SELECT *, CASE WHEN orders_per_year > 0 THEN 365 / orders_per_year ELSE 0.0 END AS cycle_time_days FROM (
+  SELECT *, CASE WHEN eoq > 0 THEN annual_demand_qty / eoq ELSE 0.0 END AS orders_per_year FROM (
+    SELECT *, CASE WHEN annual_demand_qty > 0 AND ordering_cost > 0 AND holding_cost > 0
+                   THEN SQRT(2 * annual_demand_qty * ordering_cost / holding_cost) ELSE 0.0 END AS eoq
+    FROM (SELECT *, avg_usage_per_day * 365 AS annual_demand_qty, CAST(75.0 AS DOUBLE) AS ordering_cost,
+            unit_cost * 0.25 AS holding_cost FROM policy_matched)))""", ("policy_matched",))
+
+ORACLE["policy_latest_in_period"] = with_("SELECT * FROM policy_pairs", "policy_pairs")
+
+ORACLE["policy_item_match"] = with_(
+    "SELECT item_id, location_id, item_name, storage_item_id FROM policy_matched", "policy_matched")
+
+ORACLE["eoq"] = with_("""
+SELECT item_id, location_id, storage_item_id, ROUND(annual_demand_qty, 6) AS annual_demand_qty,
+  ROUND(holding_cost, 6) AS holding_cost, ROUND(eoq, 6) AS eoq, ROUND(orders_per_year, 6) AS orders_per_year,
+  ROUND(cycle_time_days, 6) AS cycle_time_days
+FROM policy_eoq""", "policy_eoq")
+
+# brute force: the zero-filled (pair x day) series, then population moments
+cte("demand_stats", f"""
+SELECT item_id, location_id, CAST(COUNT(*) AS BIGINT) AS days, CAST(COUNT(d.x) AS BIGINT) AS demand_days,
+  SUM(COALESCE(d.x, 0)) AS total_qty, AVG(COALESCE(d.x, 0)) AS mean_daily_qty,
+  STDDEV_POP(COALESCE(d.x, 0)) AS demand_std_dev
+FROM (SELECT DISTINCT item_id, {LOC_INT} AS location_id FROM raw_active
+      WHERE TRIM(COALESCE(location_id, '')) <> '' AND {IN_RANGE_DAY}) p
+CROSS JOIN (SELECT CAST(UNNEST(generate_series(CAST(start_d AS TIMESTAMP), CAST(GREATEST(start_d, end_d) AS TIMESTAMP),
+                                               INTERVAL 1 DAY)) AS DATE) AS day FROM rng) s
+LEFT JOIN (SELECT item_id AS i, {LOC_INT} AS l, date, SUM(COALESCE(issues_qty, 0)) AS x FROM raw_active
+           WHERE TRIM(COALESCE(location_id, '')) <> '' AND {IN_RANGE_DAY} GROUP BY 1, 2, 3) d
+  ON d.i = p.item_id AND d.l = p.location_id AND d.date = s.day
+GROUP BY item_id, location_id""", ("raw_active", "rng"))
+
+ORACLE["daily_demand_dense"] = with_("""
+SELECT item_id, location_id, days, demand_days, total_qty, ROUND(mean_daily_qty, 6) AS mean_daily_qty,
+  ROUND(demand_std_dev, 6) AS demand_std_dev FROM demand_stats""", "demand_stats")
+
+cte("safety", """
+SELECT d.item_id, d.location_id, d.demand_std_dev, 1.96 AS service_level_z, p.restock_lead_time AS lead_time_days,
+  1.96 * d.demand_std_dev * SQRT(GREATEST(p.restock_lead_time, 0)) AS safety_stock
+FROM demand_stats d JOIN policy_pairs p ON p.item_id = d.item_id AND p.location_id = d.location_id""",
+    ("demand_stats", "policy_pairs"))
+
+ORACLE["safety_stock"] = with_("""
+SELECT item_id, location_id, ROUND(demand_std_dev, 6) AS demand_std_dev, service_level_z, lead_time_days,
+  ROUND(safety_stock, 6) AS safety_stock FROM safety""", "safety")
+
+ORACLE["rop"] = with_("""
+SELECT item_id, location_id, storage_item_id, daily_demand_avg, lead_time_days, ROUND(ss, 6) AS safety_stock_qty,
+  ROUND(rop, 6) AS rop, current_stock, CASE WHEN current_stock <= rop THEN 'REORDER NOW' ELSE 'Stock OK' END AS status
+FROM (
+  SELECT m.item_id, m.location_id, m.storage_item_id, m.avg_usage_per_day AS daily_demand_avg,
+    m.restock_lead_time AS lead_time_days, COALESCE(s.safety_stock, 0) AS ss,
+    m.avg_usage_per_day * m.restock_lead_time + COALESCE(s.safety_stock, 0) AS rop, m.closing_qty AS current_stock
+  FROM policy_matched m LEFT JOIN safety s ON s.item_id = m.item_id AND s.location_id = m.location_id)""",
+                      "policy_matched", "safety")
+
+ORACLE["policy_log_write"] = with_(f"""
+SELECT 'eoq' AS policy, storage_item_id AS item_id, location_id, ROUND(annual_demand_qty, 6) AS annual_demand_qty,
+  ordering_cost, ROUND(holding_cost, 6) AS holding_cost, restock_lead_time AS lead_time_days,
+  {AS_OF} AS review_date,
+  'period=' || CAST((SELECT start_d FROM rng) AS VARCHAR) || '..' || CAST((SELECT end_d FROM rng) AS VARCHAR) AS notes
+FROM policy_eoq""", "policy_eoq", "rng")
+
+ORACLE["period_days"] = with_("""
+SELECT item_id, first_day, last_day,
+  CASE WHEN first_day IS NULL OR last_day IS NULL OR last_day - first_day + 1 <= 0 THEN 0
+       ELSE CAST(last_day - first_day + 1 AS INTEGER) END AS period_days,
+  CASE WHEN first_day IS NULL OR last_day IS NULL OR first_day - last_day + 1 <= 0 THEN 0
+       ELSE CAST(first_day - last_day + 1 AS INTEGER) END AS reversed_days
+FROM (SELECT item_id, MIN(date) AS first_day, MAX(date) AS last_day FROM raw_inventory GROUP BY item_id)""",
+                              "raw_inventory")

@@ -50,7 +50,7 @@ def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_day.alias("date"),
         F.concat(F.lit("LOC"), (F.col("l_suppkey") % 4 + 1).cast("string")).alias("location_id"),
         F.col("l_partkey").alias("item_id"),
-        F.col("p_name").alias("item_name"),
+        F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("item_name"),
         F.col("l_shipdate").alias("event_ts"),
         _event_type_from_flag(ret).alias("event_type"),
         F.col("l_quantity").alias("quantity"),
@@ -61,6 +61,7 @@ def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_size") % 20 + 25).cast("double").alias("max_qty"),
         F.col("l_extendedprice").alias("inventory_value"),
         F.col("p_retailprice").alias("unit_cost"),
+        F.when(ret == "N", F.col("l_extendedprice")).otherwise(F.lit(0.0)).alias("annual_consumption_value"),
         F.when(F.col("l_tax") == 0, F.lit(None).cast("double"))
         .otherwise(F.col("l_quantity") / 10)
         .alias("avg_usage_per_day"),
@@ -111,7 +112,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(
         F.col("p_partkey").alias("item_id"),
         F.concat(F.lit("ITM"), F.col("p_partkey").cast("string")).alias("item_code"),
-        F.col("p_name").alias("item_name"),
+        F.concat_ws(" ", F.upper("p_name"), F.col("p_partkey").cast("string")).alias("item_name"),
         F.col("p_type").alias("category_id"),
         (F.col("p_partkey") % 5 + 1).alias("location_id"),
         (F.col("p_size") % 20).cast("bigint").alias("min_qty"),
