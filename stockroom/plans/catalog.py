@@ -499,3 +499,93 @@ def q_period_days(spark, sf_dir):
         policy.period_days_col(F.col("first_day"), F.col("last_day")).alias("period_days"),
         policy.period_days_col(F.col("last_day"), F.col("first_day")).alias("reversed_days"),
     )
+
+
+# ---------------------------------------------------------------- 2.6 risk, supplier, warehouse
+from stockroom.operators import risk, warehouse  # noqa: E402
+
+
+def _latest_risk(m: Model) -> DataFrame:
+    return risk.latest_risk(m.risk, m.datasets)
+
+
+@register("latest_risk")
+def q_latest_risk(spark, sf_dir):
+    return _latest_risk(Model(spark, sf_dir))
+
+
+@register("risk_matrix")
+def q_risk_matrix(spark, sf_dir):
+    return risk.risk_matrix(_latest_risk(Model(spark, sf_dir)))
+
+
+@register("risk_matrix_cells")
+def q_risk_matrix_cells(spark, sf_dir):
+    return risk.risk_matrix_cells(_latest_risk(Model(spark, sf_dir)))
+
+
+@register("risk_zone")
+def q_risk_zone(spark, sf_dir):
+    return risk.risk_zone(risk.risk_matrix_cells(_latest_risk(Model(spark, sf_dir))))
+
+
+@register("risk_cost_exposure")
+def q_risk_cost_exposure(spark, sf_dir):
+    return risk.risk_cost_exposure(_latest_risk(Model(spark, sf_dir)))
+
+
+@register("risks_by_category")
+def q_risks_by_category(spark, sf_dir):
+    return risk.risks_by_category(_latest_risk(Model(spark, sf_dir)))
+
+
+@register("procurement_kpis")
+def q_procurement_kpis(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return risk.procurement_kpis(_latest_risk(m), risk.supplier_scores(m.vendor_kpis, m.datasets))
+
+
+@register("supplier_scores")
+def q_supplier_scores(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return risk.supplier_scores(m.vendor_kpis, m.datasets)
+
+
+@register("supplier_order_kpis")
+def q_supplier_order_kpis(spark, sf_dir):
+    return risk.supplier_order_kpis(Model(spark, sf_dir).order_sheet)
+
+
+@register("latest_space")
+def q_latest_space(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return warehouse.latest_space(m.space, m.locations)
+
+
+@register("space_status")
+def q_space_status(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return warehouse.latest_space(m.space, m.locations).select("location_id", "utilization_pct", "status")
+
+
+@register("space_remaining")
+def q_space_remaining(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return warehouse.latest_space(m.space, m.locations).select(
+        "location_id", "remaining", "occupied_pallets", "remaining_pallets"
+    )
+
+
+@register("labor_daily")
+def q_labor_daily(spark, sf_dir):
+    return warehouse.labor_daily(Model(spark, sf_dir).labor)
+
+
+@register("labor_overall")
+def q_labor_overall(spark, sf_dir):
+    return warehouse.labor_overall(Model(spark, sf_dir).labor)
+
+
+@register("labor_top_staff")
+def q_labor_top_staff(spark, sf_dir):
+    return warehouse.labor_top_staff(Model(spark, sf_dir).staff)

@@ -607,3 +607,138 @@ SELECT item_id, first_day, last_day,
        ELSE CAST(first_day - last_day + 1 AS INTEGER) END AS reversed_days
 FROM (SELECT item_id, MIN(date) AS first_day, MAX(date) AS last_day FROM raw_inventory GROUP BY item_id)""",
                               "raw_inventory")
+
+# ---------------------------------------------------------------- 2.6 risk, supplier, warehouse
+cte("raw_risk", """
+SELECT 'ds_active' AS dataset_id, o_orderkey AS assessment_id, o_custkey % 40 AS risk_id, o_orderdate AS assessment_date,
+  CAST(o_orderkey % 6 AS DOUBLE) AS probability_score, CAST(o_custkey % 6 AS DOUBLE) AS impact_score,
+  o_totalprice AS estimated_cost_aed, printf('R%03d', o_custkey % 40) AS risk_code,
+  CASE WHEN o_custkey % 40 = 0 THEN ' ' ELSE 'Risk ' || CAST(o_custkey % 40 AS VARCHAR) END AS risk_title,
+  CASE WHEN o_orderstatus = 'P' THEN NULL
+       ELSE CASE o_orderpriority WHEN '1-URGENT' THEN 'Delivery' WHEN '2-HIGH' THEN 'Quality'
+                                 WHEN '3-MEDIUM' THEN 'Financial' WHEN '4-NOT SPECIFIED' THEN 'Regulatory'
+                                 ELSE 'Operational' END END AS risk_category
+FROM orders""")
+
+cte("latest_risk", """
+SELECT COALESCE(NULLIF(TRIM(risk_code), ''), CAST(CAST(risk_id AS BIGINT) AS VARCHAR)) AS risk_id,
+  COALESCE(NULLIF(TRIM(risk_title), ''), 'Unknown Risk') AS title,
+  COALESCE(NULLIF(TRIM(risk_category), ''), 'Uncategorized') AS category,
+  COALESCE(probability_score, 0) AS probability, COALESCE(impact_score, 0) AS impact,
+  COALESCE(estimated_cost_aed, 0) AS cost
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY CAST(risk_id AS BIGINT)
+                                  ORDER BY assessment_date DESC, assessment_id DESC) AS rn
+      FROM raw_risk WHERE dataset_id = (SELECT dataset_id FROM active_dataset))
+WHERE rn = 1""", ("raw_risk", "active_dataset"))
+
+cte("risk_cells", """
+SELECT v.probability, v.impact,
+  CASE WHEN c.n_risks = 1 THEN v.risk_id ELSE CAST(c.n_risks AS VARCHAR) || ' risks' END AS label,
+  c.n_risks, v.risk_id, v.title
+FROM (SELECT * FROM latest_risk WHERE TRIM(risk_id) <> '' AND TRIM(title) <> '' AND probability > 0 AND impact > 0) v
+JOIN (SELECT probability, impact, COUNT(*) AS n_risks FROM latest_risk
+      WHERE TRIM(risk_id) <> '' AND TRIM(title) <> '' AND probability > 0 AND impact > 0 GROUP BY 1, 2) c
+  ON c.probability = v.probability AND c.impact = v.impact""", ("latest_risk",))
+
+cte("vendor_kpis", """
+SELECT 'ds_active' AS dataset_id, s_name AS supplier, CAST(s_nationkey % 10 + 5 AS DOUBLE) AS lead_time_days_avg,
+  CAST(s_suppkey % 100 AS DOUBLE) AS quality_score, CAST((s_suppkey * 7) % 100 AS DOUBLE) AS delivery_score,
+  (s_suppkey * 3) % 101 / 100 AS otif, (s_suppkey * 11) % 101 / 100 AS cost_score, s_acctbal AS total_score
+FROM supplier""")
+
+cte("supplier_scores", """
+SELECT supplier, total_score, quality_score AS quality, delivery_score AS delivery,
+  otif * 100 AS otif_pct, cost_score * 100 AS cost_pct
+FROM vendor_kpis WHERE dataset_id = (SELECT dataset_id FROM active_dataset)""", ("vendor_kpis", "active_dataset"))
+
+cte("order_sheet", """
+SELECT s_name AS vendor_id, CAST(o_orderdate AS DATE) AS order_date, CAST(o_orderdate AS DATE) + 40 AS promised_date,
+  CAST(l_shipdate AS DATE) AS actual_date, l_quantity AS ordered_quantity,
+  CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE l_quantity - 1 END AS in_full_quantity,
+  l_quantity AS receipts_qty, CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0.0 END AS defective_units
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey""")
+
+cte("labor", """
+SELECT CAST(ts AS DATE) AS metric_date, user_id % 5 + 1 AS location_id, CAST(event_id % 8 AS DOUBLE) AS labor_hours,
+  value AS units_moved
+FROM events""")
+
+cte("staff", """
+SELECT 'EMP' || CAST(event_id AS VARCHAR) AS supplier_name, value AS total_score,
+  CASE WHEN event_type IN ('click', 'view') THEN 'WAREHOUSE_LABOR_TMP' ELSE 'B' END AS grade,
+  CASE WHEN event_id % 5 = 0 THEN 'no metrics'
+       WHEN event_id % 5 = 1 THEN 'items=' || CAST(event_id % 300 AS VARCHAR)
+       ELSE 'total_hours=' || CAST((event_id % 80) / 2 AS VARCHAR) || ';items=' || CAST(event_id % 300 AS VARCHAR) END AS notes
+FROM events""")
+
+cte("space", """
+SELECT metric_date, location_id, CAST(location_id * 100 AS DOUBLE) AS total_capacity_m3, used AS used_capacity_m3,
+  ROUND(used / CAST(location_id * 100 AS DOUBLE) * 100, 2) AS occupancy_pct
+FROM (SELECT CAST(l_shipdate AS DATE) AS metric_date, l_suppkey % 4 + 1 AS location_id, SUM(l_quantity) AS used
+      FROM lineitem GROUP BY 1, 2)""")
+
+_PALLET = "(CAST(1.2 AS DOUBLE) * CAST(1.0 AS DOUBLE) * CAST(1.5 AS DOUBLE))"
+cte("latest_space", f"""
+SELECT metric_date, s.location_id, COALESCE(l.location_name, 'Main Warehouse / Central Store') AS location,
+  total_capacity_m3 AS capacity, used_capacity_m3 AS used, occupancy_pct AS utilization_pct,
+  CASE WHEN occupancy_pct IS NULL OR occupancy_pct <= 85 THEN 'Healthy' WHEN occupancy_pct <= 100 THEN 'Caution'
+       ELSE 'Over Capacity' END AS status,
+  GREATEST(COALESCE(total_capacity_m3, 0) - COALESCE(used_capacity_m3, 0), 0) AS remaining,
+  CAST(FLOOR(COALESCE(used_capacity_m3, 0) / {_PALLET} + 0.5) AS BIGINT) AS occupied_pallets,
+  CAST(FLOOR(GREATEST(COALESCE(total_capacity_m3, 0) / {_PALLET} - COALESCE(used_capacity_m3, 0) / {_PALLET}, 0) + 0.5)
+       AS BIGINT) AS remaining_pallets
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY location_id ORDER BY metric_date DESC) AS rn FROM space) s
+LEFT JOIN locations l ON l.location_id = s.location_id
+WHERE rn = 1""", ("space", "locations"))
+
+ORACLE["latest_risk"] = with_("SELECT * FROM latest_risk", "latest_risk")
+ORACLE["risk_matrix"] = with_("SELECT risk_id, title, probability, impact FROM latest_risk", "latest_risk")
+ORACLE["risk_matrix_cells"] = with_("SELECT * FROM risk_cells", "risk_cells")
+ORACLE["risk_zone"] = with_("""
+SELECT *, CASE WHEN probability BETWEEN 4 AND 5 AND impact BETWEEN 4 AND 5 THEN 'High'
+               WHEN probability BETWEEN 2 AND 4 AND impact BETWEEN 2 AND 4 THEN 'Medium'
+               WHEN probability BETWEEN 0 AND 2 AND impact BETWEEN 0 AND 2 THEN 'Low' ELSE 'Mixed' END AS zone
+FROM risk_cells""", "risk_cells")
+ORACLE["risk_cost_exposure"] = with_("SELECT risk_id, title, cost FROM latest_risk", "latest_risk")
+ORACLE["risks_by_category"] = with_("""
+SELECT s.category, CAST(COALESCE(c.n, 0) AS BIGINT) AS risk_count
+FROM (VALUES (0, 'Delivery'), (1, 'Quality'), (2, 'Financial'), (3, 'Regulatory')) s(pos, category)
+LEFT JOIN (SELECT category, COUNT(*) AS n FROM latest_risk GROUP BY 1) c ON c.category = s.category""",
+                                    "latest_risk")
+ORACLE["procurement_kpis"] = with_("""
+SELECT (SELECT ROUND(CAST(SUM(CAST(total_score AS DECIMAL(18,2))) AS DOUBLE) / COUNT(total_score), 6)
+        FROM supplier_scores) AS avg_supplier_score,
+  (SELECT COUNT(*) FROM latest_risk WHERE probability >= 4 AND impact >= 4) AS high_risk_count,
+  (SELECT CAST(SUM(CAST(cost AS DECIMAL(18,2))) AS DOUBLE) FROM latest_risk) AS total_risk_cost""",
+                                   "supplier_scores", "latest_risk")
+ORACLE["supplier_scores"] = with_("SELECT * FROM supplier_scores", "supplier_scores")
+ORACLE["supplier_order_kpis"] = with_("""
+SELECT vendor_id AS vendor,
+  ROUND(AVG(CASE WHEN actual_date <= promised_date THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * 100, 4) AS on_time_pct,
+  ROUND(AVG(GREATEST(actual_date - promised_date, 0)), 4) AS avg_days_late,
+  ROUND(CASE WHEN SUM(receipts_qty) > 0 THEN SUM(defective_units) / SUM(receipts_qty) ELSE 0.0 END, 6) AS defect_rate,
+  ROUND(CASE WHEN SUM(ordered_quantity) > 0 THEN SUM(in_full_quantity) / SUM(ordered_quantity) ELSE 0.0 END, 6)
+    AS order_accuracy,
+  ROUND(AVG(CASE WHEN actual_date <= promised_date AND in_full_quantity >= ordered_quantity
+                 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * 100, 4) AS otif_pct,
+  ROUND(AVG(actual_date - order_date), 4) AS lead_time_avg
+FROM order_sheet GROUP BY vendor_id""", "order_sheet")
+ORACLE["latest_space"] = with_("SELECT * FROM latest_space", "latest_space")
+ORACLE["space_status"] = with_("SELECT location_id, utilization_pct, status FROM latest_space", "latest_space")
+ORACLE["space_remaining"] = with_(
+    "SELECT location_id, remaining, occupied_pallets, remaining_pallets FROM latest_space", "latest_space")
+ORACLE["labor_daily"] = with_("""
+SELECT date, ROUND(u, 2) AS items, ROUND(h, 2) AS hours, ROUND(CASE WHEN h > 0 THEN u / h ELSE 0.0 END, 2) AS rate
+FROM (SELECT metric_date AS date, CAST(COALESCE(SUM(CAST(units_moved AS DECIMAL(18,2))), 0) AS DOUBLE) AS u,
+        COALESCE(SUM(labor_hours), 0) AS h FROM labor GROUP BY 1)""", "labor")
+ORACLE["labor_overall"] = with_("""
+SELECT items, hours, CASE WHEN hours > 0 THEN ROUND(items / hours, 2) ELSE 0.0 END AS rate
+FROM (SELECT ROUND(CAST(COALESCE(SUM(CAST(units_moved AS DECIMAL(18,2))), 0) AS DOUBLE), 2) AS items,
+        ROUND(COALESCE(SUM(labor_hours), 0), 2) AS hours FROM labor)""", "labor")
+ORACLE["labor_top_staff"] = with_("""
+SELECT supplier_name AS employee_id, ROUND(total_score, 2) AS weighted_rate,
+  COALESCE(TRY_CAST(NULLIF(regexp_extract(COALESCE(notes, ''), 'total_hours=([0-9.]+)', 1), '') AS DOUBLE), 0)
+    AS total_hours,
+  COALESCE(TRY_CAST(NULLIF(regexp_extract(COALESCE(notes, ''), 'items=([0-9.]+)', 1), '') AS DOUBLE), 0)
+    AS items_handled
+FROM staff WHERE grade = 'WAREHOUSE_LABOR_TMP' ORDER BY total_score DESC, supplier_name LIMIT 10""", "staff")
