@@ -589,3 +589,117 @@ def q_labor_overall(spark, sf_dir):
 @register("labor_top_staff")
 def q_labor_top_staff(spark, sf_dir):
     return warehouse.labor_top_staff(Model(spark, sf_dir).staff)
+
+
+# ---------------------------------------------------------------- 2.2 scan ingestion, 2.9 streaming
+from stockroom.sources import driver_tables as dtab, scans  # noqa: E402
+from stockroom.streaming import scan_stream as ss  # noqa: E402
+
+LEDGER_BEFORE = "2024-01-08"
+
+
+def _scan_batch(m: Model):
+    rows = scans.scan_header_check(m.scans)
+    valid, quarantine, skipped = scans.scan_validate(rows, dtab.ACTIVE_DATASET)
+    ledger = valid.filter(F.col("date") < F.lit(LEDGER_BEFORE).cast("date")).select("scan_id")
+    new, dups = scans.scan_dedupe(valid, ledger)
+    return rows, valid, quarantine, new
+
+
+@register("scan_header_check")
+def q_scan_header_check(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    messy = m.scans.toDF(*[f"  {c.upper()} " if c != "row_index" else c for c in m.scans.columns])
+    return scans.scan_header_check(messy)
+
+
+@register("scan_validate")
+def q_scan_validate(spark, sf_dir):
+    return _scan_batch(Model(spark, sf_dir))[1]
+
+
+@register("scan_quarantine")
+def q_scan_quarantine(spark, sf_dir):
+    return _scan_batch(Model(spark, sf_dir))[2]
+
+
+@register("scan_dedupe")
+def q_scan_dedupe(spark, sf_dir):
+    return _scan_batch(Model(spark, sf_dir))[3]
+
+
+@register("scan_explode_qty")
+def q_scan_explode_qty(spark, sf_dir):
+    return scans.scan_explode_qty(_scan_batch(Model(spark, sf_dir))[3])
+
+
+_FACT_COLS = ["scan_row", "event_ts", "date", "dataset_id", "item_id", "item_name", "location_id", "event_type",
+              "quantity", "receipts_qty", "issues_qty"]
+
+
+def _read_fact(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).withColumn("scan_row", F.col("ingest_seq.row")).select(*_FACT_COLS)
+
+
+@register("scan_append")
+def q_scan_append(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    sink = ss.ScanSink(policy.scratch_path(spark, "scan-append"))
+    scans.scan_append(_scan_batch(m)[3], sink.fact, sink.ledger, batch_id=0)
+    return _read_fact(spark, sink.fact)
+
+
+@register("ingest_metrics")
+def q_ingest_metrics(spark, sf_dir):
+    rows, valid, quarantine, new = _scan_batch(Model(spark, sf_dir))
+    return scans.ingest_metrics(0, valid, new, quarantine, rows).drop("synced_at")
+
+
+def _run_scan_stream(spark, sf_dir) -> ss.ScanSink:
+    events = dtab.table(spark, sf_dir, "events")
+    src = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    sink = ss.ScanSink(policy.scratch_path(spark, "scan-stream"))
+    q = ss.scan_stream(spark, dtab.scan_rows_from_events(src), sink, dtab.ACTIVE_DATASET, available_now=True)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return sink
+
+
+@register("scan_stream")
+def q_scan_stream(spark, sf_dir):
+    return _read_fact(spark, _run_scan_stream(spark, sf_dir).fact)
+
+
+@register("scan_stream_quarantine")
+def q_scan_stream_quarantine(spark, sf_dir):
+    return spark.read.parquet(_run_scan_stream(spark, sf_dir).quarantine).select("row_index", "error", "message")
+
+
+@register("scan_stream_metrics")
+def q_scan_stream_metrics(spark, sf_dir):
+    return spark.read.parquet(_run_scan_stream(spark, sf_dir).metrics).drop("synced_at")
+
+
+@register("scan_stream_dedupe")
+def q_scan_stream_dedupe(spark, sf_dir):
+    events = dtab.table(spark, sf_dir, "events")
+    src = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = policy.scratch_path(spark, "scan-dedupe")
+    d = ss.scan_stream_dedupe_bounded(dtab.scan_rows_from_events(src), dtab.ACTIVE_DATASET)
+    q = (
+        d.select("scan_id").writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", out + "_ckpt").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("stream_movement_daily")
+def q_stream_movement_daily(spark, sf_dir):
+    li = dtab.table(spark, sf_dir, "lineitem")
+    src = spark.readStream.schema(li.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    base = policy.scratch_path(spark, "movement-daily")
+    q = ss.run_movement_daily(spark, dtab.movements_from_lineitem(src), base)
+    q.awaitTermination()
+    return ss.read_movement_daily(spark, base)

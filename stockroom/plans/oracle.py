@@ -742,3 +742,110 @@ SELECT supplier_name AS employee_id, ROUND(total_score, 2) AS weighted_rate,
   COALESCE(TRY_CAST(NULLIF(regexp_extract(COALESCE(notes, ''), 'items=([0-9.]+)', 1), '') AS DOUBLE), 0)
     AS items_handled
 FROM staff WHERE grade = 'WAREHOUSE_LABOR_TMP' ORDER BY total_score DESC, supplier_name LIMIT 10""", "staff")
+
+# ---------------------------------------------------------------- 2.2 / 2.9 scan ingestion and streaming
+cte("scan_feed", """
+SELECT event_id + 2 AS row_index, CAST(event_id % 8000 AS VARCHAR) AS scan_id,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S') AS event_time_stamps,
+  CASE WHEN event_id % 97 = 0 THEN '2024-13-01' ELSE strftime(ts, '%Y-%m-%d') END AS date,
+  CASE WHEN user_id % 10 = 0 THEN 'ds_other' ELSE 'ds_active' END AS dataset_id,
+  CASE WHEN event_id % 89 = 0 THEN 'x12' ELSE CAST(user_id AS VARCHAR) END AS item_id,
+  'item ' || CAST(user_id AS VARCHAR) AS item_name,
+  printf('LOC%02d', user_id % 4 + 1) AS location_id,
+  CASE event_type WHEN 'click' THEN 'RECEIPT' WHEN 'view' THEN 'ISSUE' WHEN 'purchase' THEN 'adjustment_waste'
+                  ELSE UPPER(event_type) END AS event_type,
+  CAST(value AS VARCHAR) AS quantity
+FROM events""")
+
+
+def _blank(c: str) -> str:
+    return f"TRIM(COALESCE({c}, '')) = ''"
+
+
+def _not_finite(c: str) -> str:
+    return f"(TRY_CAST(TRIM({c}) AS DOUBLE) IS NULL OR NOT isfinite(TRY_CAST(TRIM({c}) AS DOUBLE)))"
+
+
+cte("scan_checked", f"""
+SELECT *, CASE
+  WHEN {_blank('scan_id')} THEN 'scan_id is required'
+  WHEN {_blank('event_time_stamps')} THEN 'event_time_stamps is required'
+  WHEN {_blank('date')} THEN 'date is required'
+  WHEN {_blank('dataset_id')} THEN 'dataset_id is required'
+  WHEN TRIM(dataset_id) <> 'ds_active' THEN '__other_dataset__'
+  WHEN {_blank('item_id')} THEN 'item_id is required'
+  WHEN {_blank('item_name')} THEN 'item_name is required'
+  WHEN {_blank('location_id')} THEN 'location_id is required'
+  WHEN {_blank('event_type')} THEN 'event_type is required'
+  WHEN UPPER(TRIM(event_type)) NOT IN ('ADJUSTMENT_WASTE', 'ISSUE', 'RECEIPT')
+    THEN 'event_type must be one of [''ADJUSTMENT_WASTE'', ''ISSUE'', ''RECEIPT'']'
+  WHEN {_blank('quantity')} THEN 'quantity is required'
+  WHEN TRY_CAST(REPLACE(TRIM(event_time_stamps), ' ', 'T') AS TIMESTAMP) IS NULL
+    THEN 'event_time_stamps must be ISO-like datetime'
+  WHEN TRY_CAST(TRIM(date) AS DATE) IS NULL THEN 'date must be YYYY-MM-DD'
+  WHEN {_not_finite('item_id')} THEN 'item_id must be numeric'
+  WHEN {_not_finite('quantity')} THEN 'quantity must be numeric'
+END AS err
+FROM scan_feed""", ("scan_feed",))
+
+cte("scan_valid", """
+SELECT TRIM(scan_id) AS scan_id, TRY_CAST(REPLACE(TRIM(event_time_stamps), ' ', 'T') AS TIMESTAMP) AS event_ts,
+  TRY_CAST(TRIM(date) AS DATE) AS date, TRIM(dataset_id) AS dataset_id,
+  CAST(FLOOR(TRY_CAST(TRIM(item_id) AS DOUBLE)) AS BIGINT) AS item_id, TRIM(item_name) AS item_name,
+  UPPER(TRIM(location_id)) AS location_id, UPPER(TRIM(event_type)) AS event_type,
+  TRY_CAST(TRIM(quantity) AS DOUBLE) AS quantity,
+  CAST(NULL AS VARCHAR) AS lot_number, CAST(NULL AS VARCHAR) AS lot_expiry, CAST(NULL AS VARCHAR) AS reason,
+  row_index
+FROM scan_checked WHERE err IS NULL""", ("scan_checked",))
+
+cte("scan_quarantine", """
+SELECT row_index, err AS error, 'row ' || CAST(row_index AS VARCHAR) || ': ' || err AS message
+FROM scan_checked WHERE err IS NOT NULL AND err <> '__other_dataset__'""", ("scan_checked",))
+
+cte("scan_first", """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY scan_id ORDER BY row_index) AS rn FROM scan_valid) WHERE rn = 1""",
+    ("scan_valid",))
+
+cte("scan_new", """
+SELECT * FROM scan_first
+WHERE scan_id NOT IN (SELECT scan_id FROM scan_valid WHERE date < DATE '2024-01-08')""", ("scan_first", "scan_valid"))
+
+_QTY = """
+  CASE WHEN event_type = 'RECEIPT' THEN quantity ELSE 0.0 END AS receipts_qty,
+  CASE WHEN event_type = 'ISSUE' THEN quantity ELSE 0.0 END AS issues_qty"""
+
+
+def _fact(src: str) -> str:
+    return f"""
+SELECT row_index AS scan_row, event_ts, date, dataset_id, item_id, item_name, location_id, event_type, quantity,
+  {_QTY} FROM {src}"""
+
+
+def _metrics(new: str) -> str:
+    return f"""
+SELECT CAST(0 AS BIGINT) AS batch_id, (SELECT COUNT(*) FROM {new}) AS inserted,
+  (SELECT COUNT(*) FROM scan_valid) - (SELECT COUNT(*) FROM {new}) AS skipped_duplicates,
+  (SELECT COUNT(*) FROM {new}) AS inserted_total,
+  (SELECT CAST(COALESCE(MAX(row_index), 1) AS BIGINT) FROM scan_valid) AS last_row,
+  (SELECT COUNT(*) FROM scan_quarantine) AS parse_errors"""
+
+
+ORACLE["scan_header_check"] = with_("""
+SELECT row_index, scan_id, event_time_stamps, date, dataset_id, item_id, item_name, location_id, event_type, quantity,
+  CAST(NULL AS VARCHAR) AS lot_number, CAST(NULL AS VARCHAR) AS lot_expiry, CAST(NULL AS VARCHAR) AS reason
+FROM scan_feed""", "scan_feed")
+ORACLE["scan_validate"] = with_("SELECT * FROM scan_valid", "scan_valid")
+ORACLE["scan_quarantine"] = with_("SELECT * FROM scan_quarantine", "scan_quarantine")
+ORACLE["scan_dedupe"] = with_("SELECT * FROM scan_new", "scan_new")
+ORACLE["scan_explode_qty"] = with_(f"SELECT *, {_QTY} FROM scan_new", "scan_new")
+ORACLE["scan_append"] = with_(_fact("scan_new"), "scan_new")
+ORACLE["ingest_metrics"] = with_(_metrics("scan_new"), "scan_new", "scan_valid", "scan_quarantine")
+ORACLE["scan_stream"] = with_(_fact("scan_first"), "scan_first")
+ORACLE["scan_stream_quarantine"] = with_("SELECT * FROM scan_quarantine", "scan_quarantine")
+ORACLE["scan_stream_metrics"] = with_(_metrics("scan_first"), "scan_first", "scan_valid", "scan_quarantine")
+ORACLE["scan_stream_dedupe"] = with_("SELECT DISTINCT scan_id FROM scan_valid", "scan_valid")
+ORACLE["stream_movement_daily"] = with_(f"""
+SELECT CAST(l_shipdate AS DATE) AS day, 'LOC' || CAST(l_suppkey % 4 + 1 AS VARCHAR) AS location_id,
+  {EVENT_TYPE} AS event_type, SUM(l_quantity) AS qty
+FROM lineitem GROUP BY 1, 2, 3""")

@@ -269,7 +269,11 @@ def space_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spreadsheet-like scan rows (all strings) from the events table, with sheet row index."""
-    e = table(spark, sf_dir, "events")
+    return scan_rows_from_events(table(spark, sf_dir, "events"))
+
+
+def scan_rows_from_events(e: DataFrame) -> DataFrame:
+    """Events -> scan sheet rows; works on a batch or a streaming DataFrame."""
     et = (
         F.when(F.col("event_type") == "click", F.lit("RECEIPT"))
         .when(F.col("event_type") == "view", F.lit("ISSUE"))
@@ -292,3 +296,13 @@ def scan_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         et.alias("event_type"),
         F.col("value").cast("string").alias("quantity"),
     )
+
+
+def movements_from_lineitem(li: DataFrame) -> DataFrame:
+    """Lineitem rows as (event_ts, location code, event type, quantity); batch or streaming."""
+    return li.select(
+        F.col("l_shipdate").alias("event_ts"),
+        F.concat(F.lit("LOC"), (F.col("l_suppkey") % 4 + 1).cast("string")).alias("location_id"),
+        _event_type_from_flag(F.col("l_returnflag")).alias("event_type"),
+        F.col("l_quantity").alias("quantity"),
+    )
