@@ -35,7 +35,7 @@ HEADLINE = [
     "supplier_order_kpis",
     "labor_daily",
     "scan_dedupe",
-    "forecast_metrics",
+    "fc_metrics",
     "fc_select",
 ]
 

@@ -703,3 +703,166 @@ def q_stream_movement_daily(spark, sf_dir):
     q = ss.run_movement_daily(spark, dtab.movements_from_lineitem(src), base)
     q.awaitTermination()
     return ss.read_movement_daily(spark, base)
+
+
+# ---------------------------------------------------------------- 2.7 forecasting
+from stockroom.operators import forecast as fc  # noqa: E402
+
+
+def _fc_load(m: Model) -> DataFrame:
+    _cfg, cut = forecast_config(m)
+    return fc.fc_load(m.raw, m.datasets, cut)
+
+
+def _fc_frame(m: Model, materialize: bool = False) -> DataFrame:
+    f = fc.fc_calendar(fc.fc_smooth_target(fc.fc_gap_fill(fc.fc_monthly(_fc_load(m)))))
+    return fc.materialize(f) if materialize else f
+
+
+def _r6(df: DataFrame) -> DataFrame:
+    dbl = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
+    return _round6(df, dbl)
+
+
+def _native_preds(frame: DataFrame) -> DataFrame:
+    res = None
+    for t in fc.TARGETS:
+        p = fc.native_predictions(fc.fc_split(fc.fc_lags(frame, t)), t)
+        res = p if res is None else res.unionByName(p)
+    return res
+
+
+def _fc_run(m: Model):
+    """Native candidates end to end: frame, test predictions, metrics, best, 3-step forecast."""
+    frame = _fc_frame(m, materialize=True)
+    preds = fc.materialize(_native_preds(frame))
+    metrics = fc.fc_metrics(preds)
+    best = fc.fc_select(metrics)
+    future = fc.fc_recursive(best, frame)
+    return frame, preds, metrics, best, future
+
+
+def _published(m: Model) -> DataFrame:
+    frame, preds, _metrics, best, future = _fc_run(m)
+    as_of = m.scope().as_of
+    path = fc.publish_path(policy.scratch_path(m.spark, "forecast"))
+    return fc.fc_publish(frame, preds, best, future, dtab.ACTIVE_DATASET, as_of, f"{as_of} 02:00:00", path)
+
+
+@register("fc_load")
+def q_fc_load(spark, sf_dir):
+    return _fc_load(Model(spark, sf_dir))
+
+
+@register("fc_monthly")
+def q_fc_monthly(spark, sf_dir):
+    return _r6(fc.fc_monthly(_fc_load(Model(spark, sf_dir))))
+
+
+@register("fc_gap_fill")
+def q_fc_gap_fill(spark, sf_dir):
+    return _r6(fc.fc_gap_fill(fc.fc_monthly(_fc_load(Model(spark, sf_dir)))))
+
+
+@register("fc_smooth_target")
+def q_fc_smooth_target(spark, sf_dir):
+    f = fc.fc_smooth_target(fc.fc_gap_fill(fc.fc_monthly(_fc_load(Model(spark, sf_dir)))))
+    return _r6(f.select("item_id", "month_end", "target_nosmooth", "target_smooth"))
+
+
+@register("fc_calendar")
+def q_fc_calendar(spark, sf_dir):
+    f = _fc_frame(Model(spark, sf_dir))
+    return _r6(f.select("item_id", "month_end", "trend", "month", "quarter", "month_sin", "month_cos"))
+
+
+@register("fc_lags")
+def q_fc_lags(spark, sf_dir):
+    f = fc.fc_lags(_fc_frame(Model(spark, sf_dir)), "target_nosmooth")
+    return _r6(f.select("item_id", "month_end", "lag_1", "lag_2", "lag_3", "rolling_mean_2", "rolling_std_2",
+                        "rolling_min_2", "rolling_max_2", "rolling_mean_3", "rolling_std_3", "diff_1"))
+
+
+@register("fc_split")
+def q_fc_split(spark, sf_dir):
+    f = fc.fc_split(_fc_frame(Model(spark, sf_dir)))
+    return f.select("item_id", "month_end", "trend", "n_months", "test_size", "is_test")
+
+
+@register("fc_train_predict")
+def q_fc_train_predict(spark, sf_dir):
+    return fc.fc_train_predict(_fc_frame(Model(spark, sf_dir), materialize=True), include_ml=True)
+
+
+@register("fc_seasonal_trend")
+def q_fc_seasonal_trend(spark, sf_dir):
+    p = _native_preds(_fc_frame(Model(spark, sf_dir)))
+    return _r6(p.filter(F.col("model") == "seasonal_trend"))
+
+
+@register("fc_metrics")
+def q_fc_metrics(spark, sf_dir):
+    return _r6(fc.fc_metrics(_native_preds(_fc_frame(Model(spark, sf_dir), materialize=True))))
+
+
+@register("fc_select")
+def q_fc_select(spark, sf_dir):
+    return _r6(fc.fc_select(fc.fc_metrics(_native_preds(_fc_frame(Model(spark, sf_dir), materialize=True)))))
+
+
+@register("fc_recursive")
+def q_fc_recursive(spark, sf_dir):
+    return _fc_run(Model(spark, sf_dir))[4]
+
+
+@register("fc_publish")
+def q_fc_publish(spark, sf_dir):
+    return _r6(_published(Model(spark, sf_dir)))
+
+
+@register("fc_latest_run")
+def q_fc_latest_run(spark, sf_dir):
+    return fc.fc_latest_run(_published(Model(spark, sf_dir)), dtab.ACTIVE_DATASET)
+
+
+@register("fc_actuals")
+def q_fc_actuals(spark, sf_dir):
+    return fc.fc_actuals(_fc_load(Model(spark, sf_dir)))
+
+
+def _points(m: Model):
+    pub = _published(m)
+    latest = fc.fc_latest_run(pub, dtab.ACTIVE_DATASET)
+    return pub, latest, fc.fc_points(pub, latest, dtab.ACTIVE_DATASET)
+
+
+@register("fc_points")
+def q_fc_points(spark, sf_dir):
+    return _r6(_points(Model(spark, sf_dir))[2])
+
+
+@register("fc_date_info")
+def q_fc_date_info(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    pub, latest, _ = _points(m)
+    return fc.fc_date_info(_fc_load(m), pub, latest)
+
+
+@register("fc_run_summary")
+def q_fc_run_summary(spark, sf_dir):
+    pub, latest, _ = _points(Model(spark, sf_dir))
+    return _r6(fc.fc_run_summary(pub, latest))
+
+
+def _chart(m: Model) -> DataFrame:
+    return fc.fc_chart(fc.fc_actuals(_fc_load(m)), _points(m)[2])
+
+
+@register("fc_chart")
+def q_fc_chart(spark, sf_dir):
+    return _r6(_chart(Model(spark, sf_dir)))
+
+
+@register("fc_chart_dense")
+def q_fc_chart_dense(spark, sf_dir):
+    return _r6(fc.fc_chart_dense(_chart(Model(spark, sf_dir))))

@@ -849,3 +849,281 @@ ORACLE["stream_movement_daily"] = with_(f"""
 SELECT CAST(l_shipdate AS DATE) AS day, 'LOC' || CAST(l_suppkey % 4 + 1 AS VARCHAR) AS location_id,
   {EVENT_TYPE} AS event_type, SUM(l_quantity) AS qty
 FROM lineitem GROUP BY 1, 2, 3""")
+
+# ---------------------------------------------------------------- 2.7 forecasting
+cte("fc_load", """
+SELECT date, item_id, COALESCE(issues_qty, 0) AS issues_qty, COALESCE(receipts_qty, 0) AS receipts_qty,
+  COALESCE(closing_qty, 0) AS closing_qty, COALESCE(avg_usage_per_day, 0) AS avg_usage
+FROM raw_active
+WHERE item_id IS NOT NULL AND date IS NOT NULL
+  AND NOT (item_id IN (SELECT p_partkey FROM part WHERE p_size > 48) AND date >= DATE '2000-01-01')""",
+    ("raw_active",))
+
+cte("fc_m", """
+SELECT item_id, last_day(date) AS month_end, SUM(issues_qty) AS issues_qty, SUM(receipts_qty) AS receipts_qty,
+  AVG(closing_qty) AS closing_qty, AVG(avg_usage) AS avg_usage
+FROM fc_load GROUP BY 1, 2""", ("fc_load",))
+
+cte("fc_monthly", """
+SELECT s.item_id, s.month_end, m.issues_qty, m.receipts_qty, m.closing_qty, m.avg_usage
+FROM (SELECT item_id, last_day(CAST(UNNEST(generate_series(CAST(date_trunc('month', lo) AS TIMESTAMP),
+                                                           CAST(date_trunc('month', hi) AS TIMESTAMP),
+                                                           INTERVAL 1 MONTH)) AS DATE)) AS month_end
+      FROM (SELECT item_id, MIN(month_end) AS lo, MAX(month_end) AS hi FROM fc_m GROUP BY 1)) s
+LEFT JOIN fc_m m ON m.item_id = s.item_id AND m.month_end = s.month_end""", ("fc_m",))
+
+cte("fc_pos", """
+SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY month_end) - 1 AS pos FROM fc_monthly""", ("fc_monthly",))
+
+_W_ITEM = "PARTITION BY item_id ORDER BY pos"
+cte("fc_nb", f"""
+SELECT *,
+  MAX(CASE WHEN closing_qty IS NOT NULL THEN pos END)
+    OVER ({_W_ITEM} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c_pp,
+  MIN(CASE WHEN closing_qty IS NOT NULL THEN pos END)
+    OVER ({_W_ITEM} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c_np,
+  MAX(CASE WHEN avg_usage IS NOT NULL THEN pos END)
+    OVER ({_W_ITEM} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS u_pp,
+  MIN(CASE WHEN avg_usage IS NOT NULL THEN pos END)
+    OVER ({_W_ITEM} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS u_np
+FROM fc_pos""", ("fc_pos",))
+
+
+def _interp(col: str, p: str, pp: str, np_: str, a: str, b: str) -> str:
+    return f"""CASE WHEN {p}.{col} IS NOT NULL THEN {p}.{col}
+       WHEN {p}.{pp} IS NULL AND {p}.{np_} IS NULL THEN 0.0
+       WHEN {p}.{pp} IS NULL THEN {b}.{col}
+       WHEN {p}.{np_} IS NULL THEN {a}.{col}
+       ELSE {a}.{col} + ({b}.{col} - {a}.{col}) / ({p}.{np_} - {p}.{pp}) * ({p}.pos - {p}.{pp}) END"""
+
+
+cte("fc_gap_fill", f"""
+SELECT n.item_id, n.month_end, COALESCE(n.issues_qty, 0) AS issues_qty, COALESCE(n.receipts_qty, 0) AS receipts_qty,
+  {_interp('closing_qty', 'n', 'c_pp', 'c_np', 'cp', 'cn')} AS closing_qty,
+  {_interp('avg_usage', 'n', 'u_pp', 'u_np', 'up', 'un')} AS avg_usage
+FROM fc_nb n
+LEFT JOIN fc_pos cp ON cp.item_id = n.item_id AND cp.pos = n.c_pp
+LEFT JOIN fc_pos cn ON cn.item_id = n.item_id AND cn.pos = n.c_np
+LEFT JOIN fc_pos up ON up.item_id = n.item_id AND up.pos = n.u_pp
+LEFT JOIN fc_pos un ON un.item_id = n.item_id AND un.pos = n.u_np""", ("fc_nb", "fc_pos"))
+
+cte("fc_frame", """
+SELECT *, issues_qty AS target_nosmooth,
+  AVG(issues_qty) OVER (PARTITION BY item_id ORDER BY month_end ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS target_smooth,
+  ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY month_end) - 1 AS trend,
+  month(month_end) AS month, quarter(month_end) AS quarter,
+  sin(2 * pi() * month(month_end) / 12) AS month_sin, cos(2 * pi() * month(month_end) / 12) AS month_cos
+FROM fc_gap_fill""", ("fc_gap_fill",))
+
+
+def _r6(cols: list[str]) -> str:
+    # DuckDB's ROUND scales by 10^6 in double and loses digits above ~1e11; a double that
+    # large has no digits below 1e-6 anyway, so it is left as is
+    # below that, round the shortest decimal text of the double half-up, as Spark's round does
+    return ", ".join(
+        f"CASE WHEN ABS({c}) >= 1e11 THEN {c} "
+        f"ELSE CAST(CAST(ROUND(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,18)), 6) AS VARCHAR) AS DOUBLE) END AS {c}"
+        for c in cols)
+
+
+def _lags(y: str) -> str:
+    w = "PARTITION BY item_id ORDER BY month_end"
+    return f"""
+SELECT *,
+  COALESCE(LAG({y}, 1) OVER ({w}), {y}) AS lag_1,
+  COALESCE(LAG({y}, 2) OVER ({w}), LAG({y}, 1) OVER ({w}), {y}) AS lag_2,
+  COALESCE(LAG({y}, 3) OVER ({w}), LAG({y}, 2) OVER ({w}), LAG({y}, 1) OVER ({w}), {y}) AS lag_3,
+  COALESCE(AVG({y}) OVER ({w} ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), LAG({y}, 1) OVER ({w}), {y}) AS rolling_mean_2,
+  COALESCE(STDDEV_SAMP({y}) OVER ({w} ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) AS rolling_std_2,
+  COALESCE(MIN({y}) OVER ({w} ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), LAG({y}, 1) OVER ({w}), {y}) AS rolling_min_2,
+  COALESCE(MAX({y}) OVER ({w} ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), LAG({y}, 1) OVER ({w}), {y}) AS rolling_max_2,
+  COALESCE(AVG({y}) OVER ({w} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), LAG({y}, 1) OVER ({w}), {y}) AS rolling_mean_3,
+  COALESCE(STDDEV_SAMP({y}) OVER ({w} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS rolling_std_3,
+  COALESCE(LAG({y}, 1) OVER ({w}) - LAG({y}, 2) OVER ({w}), 0) AS diff_1
+FROM fc_frame"""
+
+
+cte("fc_split", """
+SELECT *, trend >= n_months - test_size AS is_test FROM (
+  SELECT *, GREATEST(3, CAST(FLOOR(n_months * 0.2) AS BIGINT)) AS test_size FROM (
+    SELECT *, COUNT(*) OVER (PARTITION BY item_id) AS n_months FROM fc_frame) WHERE n_months >= 8)""", ("fc_frame",))
+
+
+def _stats(src: str, y: str) -> str:
+    return f"""
+SELECT item_id, arg_max({y}, month_end) AS last_y, AVG(CASE WHEN rk <= 3 THEN {y} END) AS mean_last_3,
+  regr_slope({y}, CAST(trend AS DOUBLE)) AS slope, regr_intercept({y}, CAST(trend AS DOUBLE)) AS intercept,
+  MAX(CASE WHEN rk = 1 THEN {y} END) AS y1, MAX(CASE WHEN rk = 2 THEN {y} END) AS y2,
+  MAX(CASE WHEN rk = 3 THEN {y} END) AS y3, MAX(trend) AS last_trend, MAX(month_end) AS last_month
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY month_end DESC) AS rk FROM {src}) GROUP BY item_id"""
+
+
+def _season(src: str, stats: str, y: str) -> str:
+    return f"""
+SELECT t.item_id, t.month, AVG(t.{y} - (s.intercept + s.slope * t.trend)) AS season
+FROM {src} t JOIN {stats} s ON s.item_id = t.item_id GROUP BY 1, 2"""
+
+
+for _t in ("target_nosmooth", "target_smooth"):
+    cte(f"tr_{_t}", f"SELECT * FROM fc_split WHERE NOT is_test", ("fc_split",))
+    cte(f"st_{_t}", _stats(f"tr_{_t}", _t), (f"tr_{_t}",))
+    cte(f"se_{_t}", _season(f"tr_{_t}", f"st_{_t}", _t), (f"tr_{_t}", f"st_{_t}"))
+    _base = f"""(SELECT x.item_id, x.month_end, x.{_t} AS actual, x.trend, s.last_y, s.mean_last_3, s.slope, s.intercept,
+                   e.season
+                 FROM fc_split x JOIN st_{_t} s ON s.item_id = x.item_id
+                 LEFT JOIN se_{_t} e ON e.item_id = x.item_id AND e.month = x.month WHERE x.is_test) b"""
+    _models = {
+        "naive_last": "last_y",
+        "mean_last_3": "mean_last_3",
+        "linear_trend": "intercept + slope * trend",
+        "seasonal_trend": "intercept + slope * trend + COALESCE(season, 0)",
+    }
+    cte(f"pr_{_t}", "\nUNION ALL\n".join(
+        f"SELECT item_id, month_end, '{_t}' AS target, '{k}' AS model, actual, ROUND(GREATEST({v}, 0), 6) AS prediction "
+        f"FROM {_base}"
+        for k, v in _models.items()), ("fc_split", f"st_{_t}", f"se_{_t}"))
+
+cte("fc_preds", "SELECT * FROM pr_target_nosmooth UNION ALL SELECT * FROM pr_target_smooth",
+    ("pr_target_nosmooth", "pr_target_smooth"))
+
+def _dsum(x: str) -> str:
+    """Exact DECIMAL sum, converted to the nearest double via its decimal text."""
+    return f"CAST(CAST(SUM(CAST({x} AS DECIMAL(38,12))) AS VARCHAR) AS DOUBLE)"
+
+
+cte("fc_metrics", f"""
+SELECT *, wape - r2 * 10 AS score FROM (
+  SELECT item_id, target, model, SQRT(sse / n) AS rmse, sae / n AS mae, sae / (say + 1e-8) * 100 AS wape,
+    CASE WHEN n < 2 THEN NULL WHEN sst = 0 THEN CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - sse / sst END AS r2
+  FROM (
+    SELECT item_id, target, model, COUNT(*) AS n,
+      {_dsum('e * e')} AS sse, {_dsum('ABS(e)')} AS sae, {_dsum('ABS(actual)')} AS say, {_dsum('dev * dev')} AS sst
+    FROM (SELECT *, actual - prediction AS e, actual - AVG(actual) OVER (PARTITION BY item_id, target, model) AS dev
+          FROM fc_preds)
+    GROUP BY 1, 2, 3))""", ("fc_preds",))
+
+cte("fc_best", """
+SELECT * EXCLUDE (rk) FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY ROUND(score, 5) ASC NULLS LAST, ROUND(wape, 5) ASC,
+    ROUND(r2, 6) DESC NULLS LAST,
+    (CASE WHEN target = 'target_nosmooth' THEN 0 ELSE 1 END) * 100
+      + CASE model WHEN 'naive_last' THEN 0 WHEN 'mean_last_3' THEN 1 WHEN 'linear_trend' THEN 2
+                   WHEN 'seasonal_trend' THEN 3 ELSE 9 END) AS rk
+  FROM fc_metrics) WHERE rk = 1""", ("fc_metrics",))
+
+
+def _step_pred(k: int, h1: str, h2: str, h3: str) -> str:
+    t = f"(last_trend + {k})"
+    return f"""round_even(GREATEST(CASE model WHEN 'naive_last' THEN {h1}
+      WHEN 'mean_last_3' THEN ({h1} + {h2} + {h3}) / 3
+      WHEN 'linear_trend' THEN intercept + slope * {t}
+      ELSE intercept + slope * {t} + COALESCE(s{k}, 0) END, 0), 0)"""
+
+
+for _t in ("target_nosmooth", "target_smooth"):
+    cte(f"ff_{_t}", f"SELECT f.* FROM fc_frame f WHERE f.item_id IN (SELECT item_id FROM fc_best WHERE target = '{_t}')",
+        ("fc_frame", "fc_best"))
+    cte(f"fs_{_t}", _stats(f"ff_{_t}", _t), (f"ff_{_t}",))
+    cte(f"fz_{_t}", _season(f"ff_{_t}", f"fs_{_t}", _t), (f"ff_{_t}", f"fs_{_t}"))
+    cte(f"fq_{_t}", f"""
+SELECT b.item_id, b.model, s.slope, s.intercept, s.last_trend, s.y1, COALESCE(s.y2, s.y1) AS h2,
+  COALESCE(s.y3, s.y2, s.y1) AS h3,
+  last_day(s.last_month + INTERVAL 1 MONTH) AS d1, last_day(s.last_month + INTERVAL 2 MONTH) AS d2,
+  last_day(s.last_month + INTERVAL 3 MONTH) AS d3, z1.season AS s1, z2.season AS s2, z3.season AS s3
+FROM fc_best b JOIN fs_{_t} s ON s.item_id = b.item_id
+LEFT JOIN fz_{_t} z1 ON z1.item_id = b.item_id AND z1.month = month(last_day(s.last_month + INTERVAL 1 MONTH))
+LEFT JOIN fz_{_t} z2 ON z2.item_id = b.item_id AND z2.month = month(last_day(s.last_month + INTERVAL 2 MONTH))
+LEFT JOIN fz_{_t} z3 ON z3.item_id = b.item_id AND z3.month = month(last_day(s.last_month + INTERVAL 3 MONTH))
+WHERE b.target = '{_t}'""", ("fc_best", f"fs_{_t}", f"fz_{_t}"))
+    cte(f"fp_{_t}", f"""
+SELECT *, {_step_pred(3, 'p2', 'p1', 'y1')} AS p3 FROM (
+  SELECT *, {_step_pred(2, 'p1', 'y1', 'h2')} AS p2 FROM (
+    SELECT *, {_step_pred(1, 'y1', 'h2', 'h3')} AS p1 FROM fq_{_t}))""", (f"fq_{_t}",))
+
+_REC = "\nUNION ALL\n".join(
+    f"SELECT item_id, model, '{t}' AS target, {k} AS step, d{k} AS point_date, p{k} AS demand_qty FROM fp_{t}"
+    for t in ("target_nosmooth", "target_smooth") for k in (1, 2, 3))
+cte("fc_future", _REC, ("fp_target_nosmooth", "fp_target_smooth"))
+
+cte("fc_published", f"""
+SELECT 'ds_active' AS dataset_id, item_id, CAST(0 AS BIGINT) AS location_id, point_date, point_type, demand_qty,
+  best_model_name, wape, r2, TIMESTAMP '1998-06-01 02:00:00' AS created_at, 'ds_active:1998-06-01' AS run_id
+FROM (
+  SELECT f.item_id, f.month_end AS point_date, 'historical' AS point_type, f.issues_qty AS demand_qty,
+    b.model AS best_model_name, b.wape, b.r2
+  FROM fc_frame f JOIN fc_best b ON b.item_id = f.item_id WHERE f.issues_qty > 0
+  UNION ALL
+  SELECT p.item_id, p.month_end, 'prediction', p.prediction, b.model, b.wape, b.r2
+  FROM fc_preds p JOIN fc_best b ON b.item_id = p.item_id AND b.target = p.target AND b.model = p.model
+  WHERE p.prediction > 0
+  UNION ALL
+  SELECT u.item_id, u.point_date, 'forecast', u.demand_qty, b.model, b.wape, b.r2
+  FROM fc_future u JOIN fc_best b ON b.item_id = u.item_id WHERE u.demand_qty > 0)""",
+    ("fc_frame", "fc_best", "fc_preds", "fc_future"))
+
+cte("fc_points", """
+SELECT item_id, point_date AS date, point_type AS type, demand_qty AS demand FROM fc_published
+WHERE point_type IN ('prediction', 'forecast')""", ("fc_published",))
+
+cte("fc_actuals", """
+SELECT item_id, last_day(date) AS date, SUM(issues_qty) AS actual FROM fc_load WHERE issues_qty > 0
+GROUP BY 1, 2 HAVING SUM(issues_qty) > 0""", ("fc_load",))
+
+cte("fc_chart", """
+SELECT COALESCE(a.item_id, p.item_id) AS item_id, COALESCE(a.date, p.date) AS date, a.actual, p.prediction, p.future
+FROM fc_actuals a FULL OUTER JOIN (
+  SELECT item_id, date, MAX(CASE WHEN type = 'prediction' THEN demand END) AS prediction,
+    MAX(CASE WHEN type = 'forecast' THEN demand END) AS future
+  FROM fc_points GROUP BY 1, 2) p ON p.item_id = a.item_id AND p.date = a.date""", ("fc_actuals", "fc_points"))
+
+ORACLE["fc_load"] = with_("SELECT * FROM fc_load", "fc_load")
+ORACLE["fc_monthly"] = with_(f"""
+SELECT item_id, month_end, issues_qty, receipts_qty, {_r6(['closing_qty', 'avg_usage'])} FROM fc_monthly""",
+                             "fc_monthly")
+ORACLE["fc_gap_fill"] = with_(f"""
+SELECT item_id, month_end, issues_qty, receipts_qty, {_r6(['closing_qty', 'avg_usage'])} FROM fc_gap_fill""",
+                              "fc_gap_fill")
+ORACLE["fc_smooth_target"] = with_("SELECT item_id, month_end, target_nosmooth, ROUND(target_smooth, 6) AS target_smooth "
+                                   "FROM fc_frame", "fc_frame")
+ORACLE["fc_calendar"] = with_(f"""
+SELECT item_id, month_end, trend, month, quarter, {_r6(['month_sin', 'month_cos'])} FROM fc_frame""", "fc_frame")
+_LAG_COLS = ["lag_1", "lag_2", "lag_3", "rolling_mean_2", "rolling_std_2", "rolling_min_2", "rolling_max_2",
+             "rolling_mean_3", "rolling_std_3", "diff_1"]
+ORACLE["fc_lags"] = with_(f"SELECT item_id, month_end, {_r6(_LAG_COLS)} FROM ({_lags('target_nosmooth')})", "fc_frame")
+ORACLE["fc_split"] = with_("SELECT item_id, month_end, trend, n_months, test_size, is_test FROM fc_split", "fc_split")
+ORACLE["fc_seasonal_trend"] = with_(f"""
+SELECT item_id, month_end, target, model, {_r6(['actual', 'prediction'])} FROM fc_preds
+WHERE model = 'seasonal_trend'""", "fc_preds")
+ORACLE["fc_metrics"] = with_(f"""
+SELECT item_id, target, model, {_r6(['rmse', 'mae', 'wape', 'r2', 'score'])} FROM fc_metrics""", "fc_metrics")
+ORACLE["fc_select"] = with_(f"""
+SELECT item_id, target, model, {_r6(['rmse', 'mae', 'wape', 'r2', 'score'])} FROM fc_best""", "fc_best")
+ORACLE["fc_recursive"] = with_("SELECT * FROM fc_future", "fc_future")
+ORACLE["fc_publish"] = with_(f"""
+SELECT dataset_id, item_id, location_id, point_date, point_type, {_r6(['demand_qty', 'wape', 'r2'])},
+  best_model_name, created_at, run_id FROM fc_published""", "fc_published")
+ORACLE["fc_latest_run"] = with_("SELECT DISTINCT item_id, run_id FROM fc_published", "fc_published")
+ORACLE["fc_actuals"] = with_("SELECT * FROM fc_actuals", "fc_actuals")
+ORACLE["fc_points"] = with_("SELECT item_id, date, type, ROUND(demand, 6) AS demand FROM fc_points", "fc_points")
+ORACLE["fc_date_info"] = with_("""
+SELECT d.item_id, d.raw_data_end_date, d.last_historical_month, f.forecast_start_date
+FROM (SELECT item_id, MAX(date) AS raw_data_end_date, MAX(last_day(date)) AS last_historical_month
+      FROM fc_load GROUP BY 1) d
+LEFT JOIN (SELECT item_id, MIN(point_date) AS forecast_start_date FROM fc_published WHERE point_type = 'forecast'
+           GROUP BY 1) f ON f.item_id = d.item_id""", "fc_load", "fc_published")
+ORACLE["fc_run_summary"] = with_("""
+SELECT item_id, run_id, dataset_id, best_model_name AS model, ROUND(wape, 6) AS wape, ROUND(r2, 6) AS r2,
+  MAX(created_at) AS generated_at
+FROM fc_published GROUP BY item_id, run_id, dataset_id, best_model_name, wape, r2""", "fc_published")
+ORACLE["fc_chart"] = with_(f"SELECT item_id, date, {_r6(['actual', 'prediction', 'future'])} FROM fc_chart", "fc_chart")
+ORACLE["fc_chart_dense"] = with_(f"""
+SELECT item_id, date, {_r6(['actual', 'prediction', 'future'])},
+  future IS NOT NULL AND ROW_NUMBER() OVER (PARTITION BY item_id
+                                            ORDER BY CASE WHEN future IS NOT NULL THEN 0 ELSE 1 END, date) <= 3 AS in_table
+FROM (
+  SELECT s.item_id, s.date, c.actual, c.prediction, c.future
+  FROM (SELECT item_id, last_day(CAST(UNNEST(generate_series(CAST(date_trunc('month', lo) AS TIMESTAMP),
+                                                             CAST(date_trunc('month', hi) AS TIMESTAMP),
+                                                             INTERVAL 1 MONTH)) AS DATE)) AS date
+        FROM (SELECT item_id, MIN(date) AS lo, MAX(date) AS hi FROM fc_chart GROUP BY 1)) s
+  LEFT JOIN fc_chart c ON c.item_id = s.item_id AND c.date = s.date)""", "fc_chart")
