@@ -74,11 +74,14 @@ def parse_date_multi(col: Column | str) -> Column:
     """
     s = F.trim(_c(col).cast("string"))
     # fixed formats tried in order (day/month/year, month/day/year, ISO date, ISO datetime)
+    # an ISO datetime (with 'T' or ' ', optional zone) keeps the calendar day written in it,
+    # whatever the session time zone
+    iso_dt = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
     return F.coalesce(
         F.try_to_date(s, "d/M/yyyy"),
         F.try_to_date(s, "M/d/yyyy"),
         F.try_to_date(s, "yyyy-MM-dd"),
-        F.to_date(F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X"))),
+        iso_dt,
     )
 
 

@@ -866,3 +866,125 @@ def q_fc_chart(spark, sf_dir):
 @register("fc_chart_dense")
 def q_fc_chart_dense(spark, sf_dir):
     return _r6(fc.fc_chart_dense(_chart(Model(spark, sf_dir))))
+
+
+# ---------------------------------------------------------------- 2.2 report (CSV) loading
+from stockroom.functions.normalize import parse_date_multi, parse_number  # noqa: E402
+from stockroom.sources import csv_load as cl  # noqa: E402
+
+_NO_POS = ["source_file", "line_no", "org_id", "location_id", "item_id"]
+
+
+def _drop_pos(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in _NO_POS if c in df.columns])
+
+
+@register("csv_with_preamble")
+def q_csv_with_preamble(spark, sf_dir):
+    r = cl.csv_with_preamble(dtab.closing_balance_report(spark, sf_dir), cl.CLOSING_BALANCE_COLUMNS)
+    return r.select("source_file", "Subinventory Name", "Item Name", "Start Date", "Costed Onhand Quantity")
+
+
+@register("preamble_period")
+def q_preamble_period(spark, sf_dir):
+    lines = dtab.opening_receipts_issues_report(spark, sf_dir).unionByName(dtab.closing_balance_report(spark, sf_dir))
+    return cl.preamble_period(lines)
+
+
+@register("parse_number")
+def q_parse_number(spark, sf_dir):
+    li = dtab.table(spark, sf_dir, "lineitem")
+    text = (
+        F.when(F.col("l_linenumber") == 1, F.lit(" "))
+        .when(F.col("l_linenumber") == 2, F.lit("null"))
+        .when(F.col("l_linenumber") == 3, F.lit("n/a"))
+        .otherwise(F.format_number("l_extendedprice", 2))
+    )
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", parse_number(text).alias("value"))
+
+
+@register("parse_date_multi")
+def q_parse_date_multi(spark, sf_dir):
+    li = dtab.table(spark, sf_dir, "lineitem")
+    day = F.to_date("l_shipdate")
+    text = (
+        F.when(F.col("l_linenumber") == 7, F.lit("bad"))
+        .when(F.col("l_linenumber") % 4 == 0, F.date_format(day, "dd/MM/yyyy"))
+        .when(F.col("l_linenumber") % 4 == 1, F.date_format(day, "MM/dd/yyyy"))
+        .when(F.col("l_linenumber") % 4 == 2, F.date_format(day, "yyyy-MM-dd"))
+        .otherwise(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T10:30:00Z")))
+    )
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", parse_date_multi(text).alias("value"))
+
+
+@register("dim_upsert")
+def q_dim_upsert(spark, sf_dir):
+    bal = cl.load_closing_balance(dtab.closing_balance_report(spark, sf_dir))
+    existing = cl.dim_upsert(None, bal, ["org_code", "location_code"], "location_id")
+    mm = cl.load_min_max(dtab.min_max_report(spark, sf_dir))
+    dim = cl.dim_upsert(existing, mm, ["org_code", "location_code"], "location_id")
+    return dim.select("org_code", "location_code", F.col("location_id").isNotNull().alias("has_id"))
+
+
+@register("dim_fill_missing")
+def q_dim_fill_missing(spark, sf_dir):
+    c = cl.load_consumption(dtab.consumption_report(spark, sf_dir)).withColumn("load_seq", F.struct("source_file", "line_no"))
+    return cl.dim_fill_missing(None, c, ["item_number"], ["category_name", "item_class"])
+
+
+@register("load_categories")
+def q_load_categories(spark, sf_dir):
+    return cl.load_categories(dtab.categories_report(spark, sf_dir)).drop("category_id")
+
+
+@register("load_item_types")
+def q_load_item_types(spark, sf_dir):
+    return cl.load_item_types(dtab.item_types_report(spark, sf_dir)).drop("item_type_id")
+
+
+@register("load_closing_balance")
+def q_load_closing_balance(spark, sf_dir):
+    return _drop_pos(cl.load_closing_balance(dtab.closing_balance_report(spark, sf_dir)))
+
+
+def _ori(spark, sf_dir) -> DataFrame:
+    return cl.load_opening_receipts_issues(dtab.opening_receipts_issues_report(spark, sf_dir), org="MAIN_ORG")
+
+
+@register("load_opening_receipts_issues")
+def q_load_opening_receipts_issues(spark, sf_dir):
+    return _drop_pos(_ori(spark, sf_dir))
+
+
+@register("unpivot_movements")
+def q_unpivot_movements(spark, sf_dir):
+    return cl.unpivot_movements(_ori(spark, sf_dir))
+
+
+@register("load_min_max")
+def q_load_min_max(spark, sf_dir):
+    return _drop_pos(cl.load_min_max(dtab.min_max_report(spark, sf_dir)))
+
+
+@register("load_consumption")
+def q_load_consumption(spark, sf_dir):
+    return _drop_pos(cl.load_consumption(dtab.consumption_report(spark, sf_dir)))
+
+
+@register("load_expiry_waste")
+def q_load_expiry_waste(spark, sf_dir):
+    return _drop_pos(cl.load_expiry_waste(dtab.expiry_report(spark, sf_dir)))
+
+
+@register("classify_waste")
+def q_classify_waste(spark, sf_dir):
+    return cl.classify_waste(cl.load_expiry_waste(dtab.expiry_report(spark, sf_dir)))
+
+
+@register("export_event_feed")
+def q_export_event_feed(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    path = policy.scratch_path(spark, "event-feed-csv")
+    cl.export_event_feed(movement.event_feed(m.raw, m.datasets, m.scope(), full=True), path)
+    schema = "`Type` string, `Item ID` bigint, `Location` string, `Quantity` double, `Timestamp` string"
+    return spark.read.option("header", True).schema(schema).csv(path)

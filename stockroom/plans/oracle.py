@@ -1127,3 +1127,121 @@ FROM (
                                                              INTERVAL 1 MONTH)) AS DATE)) AS date
         FROM (SELECT item_id, MIN(date) AS lo, MAX(date) AS hi FROM fc_chart GROUP BY 1)) s
   LEFT JOIN fc_chart c ON c.item_id = s.item_id AND c.date = s.date)""", "fc_chart")
+
+# ---------------------------------------------------------------- 2.2 report (CSV) loading
+# Expected parse results, computed directly from the columns the report text was rendered from.
+_ORG = "CASE WHEN l_suppkey % 3 = 0 THEN 'UNKNOWN' ELSE 'ORG' || CAST(l_suppkey % 3 AS VARCHAR) END"
+_SUB = "'SUB' || CAST(l_suppkey % 4 + 1 AS VARCHAR)"
+_ITM = "'ITM' || CAST(l_partkey AS VARCHAR)"
+_KDESC = "l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC"
+_KASC = "l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice"
+
+ORACLE["csv_with_preamble"] = f"""
+SELECT 'closing_balance.csv' AS source_file, {_SUB} AS "Subinventory Name", {_ITM} AS "Item Name",
+  strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS "Start Date",
+  CASE WHEN l_linenumber = 3 THEN 'null' ELSE CAST(l_quantity AS VARCHAR) END AS "Costed Onhand Quantity"
+FROM lineitem"""
+
+ORACLE["preamble_period"] = """
+SELECT * FROM (VALUES ('opening_receipts_issues.csv', DATE '1998-01-01', DATE '1998-12-31'),
+                      ('closing_balance.csv', CAST(NULL AS DATE), CAST(NULL AS DATE))) t(source_file, period_start, period_end)
+WHERE (SELECT COUNT(*) FROM part) > 0 AND (SELECT COUNT(*) FROM lineitem) > 0"""
+
+ORACLE["parse_number"] = """
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber IN (1, 2, 3) THEN NULL ELSE l_extendedprice END AS value
+FROM lineitem"""
+
+ORACLE["parse_date_multi"] = """
+SELECT l_orderkey, l_linenumber, l_partkey,
+  CASE WHEN l_linenumber = 7 THEN NULL
+       WHEN l_linenumber % 4 = 1 AND day(d) <= 12 THEN make_date(year(d), day(d), month(d))
+       ELSE d END AS value
+FROM (SELECT *, CAST(l_shipdate AS DATE) AS d FROM lineitem)"""
+
+cte("cb_rows", f"""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS period_start, last_day(CAST(l_shipdate AS DATE)) AS period_end,
+    {_ORG} AS org_code, {_SUB} AS location_code, {_ITM} AS item_number,
+    CAST(NULL AS DOUBLE) AS opening_qty, CAST(NULL AS DOUBLE) AS receipts_qty, CAST(NULL AS DOUBLE) AS issues_qty,
+    CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS closing_qty, l_extendedprice AS inventory_value,
+    ROUND(l_discount * 100, 2) AS unit_cost,
+    ROW_NUMBER() OVER (PARTITION BY CAST(date_trunc('month', l_shipdate) AS DATE), {_ORG}, {_SUB}, {_ITM}
+                       ORDER BY {_KDESC}) AS rn
+  FROM lineitem WHERE l_linenumber <> 7) WHERE rn = 1""")
+
+cte("mm_rows", f"""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT {_ORG} AS org_code, {_SUB} AS location_code, {_ITM} AS item_number, 'EA' AS uom_code,
+    l_quantity % 10 AS min_qty, l_quantity AS max_qty, 'MINMAX' AS planning_code,
+    CASE WHEN l_linenumber = 2 THEN NULL ELSE 'CENTRAL' END AS source_subinventory,
+    CAST(l_shipdate AS DATE) AS created_at, CAST(l_shipdate AS DATE) AS updated_at,
+    ROW_NUMBER() OVER (PARTITION BY {_ORG}, {_SUB}, {_ITM} ORDER BY {_KDESC}) AS rn
+  FROM lineitem) WHERE rn = 1""")
+
+cte("ori_rows", """
+SELECT DATE '1998-01-01' AS period_start, DATE '1998-12-31' AS period_end, 'MAIN_ORG' AS org_code,
+  'SUB' || CAST(p_partkey % 4 + 1 AS VARCHAR) AS location_code, 'ITM' || CAST(p_partkey AS VARCHAR) AS item_number,
+  p_type AS category_name, p_name AS item_description, CASE WHEN p_size % 2 = 0 THEN 'EA' ELSE 'BOX' END AS uom_code,
+  CAST(p_size AS DOUBLE) AS opening_qty, CAST(p_partkey % 11 AS DOUBLE) AS receipts_qty,
+  CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_partkey % 13 AS DOUBLE) END AS issues_qty,
+  CAST(p_size + p_partkey % 11 - p_partkey % 13 AS DOUBLE) AS closing_qty, CAST(p_size * 100 AS DOUBLE) AS inventory_value,
+  p_retailprice AS unit_cost
+FROM part""")
+
+cte("cons_rows", f"""
+SELECT {_ORG} AS org_code, {_SUB} AS location_code, {_ITM} AS item_number,
+  'CAT' || CAST(l_partkey % 5 AS VARCHAR) AS category_name,
+  CASE WHEN l_linenumber = 1 THEN NULL ELSE 'C' || CAST(l_linenumber AS VARCHAR) END AS item_class,
+  'EA' AS uom_code, ROUND(l_discount * 100, 2) AS unit_cost, l_quantity AS quantity, l_extendedprice AS total_cost,
+  ['A', 'B', 'C'][l_linenumber % 3 + 1] AS abc_class,
+  l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice
+FROM lineitem WHERE l_returnflag = 'N'""")
+
+cte("exp_rows", f"""
+SELECT {_ORG} AS org_code, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS event_ts, {_ITM} AS item_number,
+  {_SUB} AS location_code, l_quantity AS quantity, 'EA' AS uom_code, ROUND(l_discount * 100, 2) AS unit_cost,
+  l_extendedprice AS total_cost,
+  CASE l_linenumber % 3 WHEN 0 THEN 'Expired' WHEN 1 THEN 'Damaged - waste' ELSE 'WASTE bin' END AS reason,
+  'CAT' || CAST(l_partkey % 5 AS VARCHAR) AS category_name, 'LOT' || CAST(l_orderkey % 500 AS VARCHAR) AS lot_number,
+  CAST(l_shipdate AS DATE) + 30 AS lot_expiry
+FROM lineitem WHERE l_returnflag = 'R'""")
+
+ORACLE["dim_upsert"] = with_("""
+SELECT DISTINCT org_code, location_code, TRUE AS has_id FROM (
+  SELECT org_code, location_code FROM cb_rows UNION ALL SELECT org_code, location_code FROM mm_rows)""",
+                             "cb_rows", "mm_rows")
+
+ORACLE["dim_fill_missing"] = with_(f"""
+SELECT item_number, first(category_name ORDER BY {_KASC}) FILTER (WHERE category_name IS NOT NULL) AS category_name,
+  first(item_class ORDER BY {_KASC}) FILTER (WHERE item_class IS NOT NULL) AS item_class
+FROM cons_rows GROUP BY item_number""", "cons_rows")
+
+ORACLE["load_categories"] = """
+SELECT p_type AS category_name,
+  first(d ORDER BY p_partkey) FILTER (WHERE d <> '') AS category_description
+FROM (SELECT p_type, p_partkey, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand || ' ' || lower(p_type) END AS d FROM part)
+GROUP BY p_type"""
+
+ORACLE["load_item_types"] = "SELECT DISTINCT p_brand AS item_type_name FROM part WHERE p_size % 17 <> 0"
+ORACLE["load_closing_balance"] = with_("SELECT * FROM cb_rows", "cb_rows")
+ORACLE["load_opening_receipts_issues"] = with_("SELECT * FROM ori_rows", "ori_rows")
+ORACLE["unpivot_movements"] = with_("""
+SELECT org_code, location_code, item_number, event_type, quantity, unit_cost,
+  CAST(CASE WHEN event_type = 'OPENING' THEN period_start ELSE period_end END AS TIMESTAMP) AS event_ts, TRUE AS is_aggregate
+FROM (SELECT *, 'OPENING' AS event_type, opening_qty AS quantity FROM ori_rows
+      UNION ALL SELECT *, 'RECEIPT', receipts_qty FROM ori_rows
+      UNION ALL SELECT *, 'ISSUE', issues_qty FROM ori_rows)
+WHERE quantity IS NOT NULL AND quantity <> 0""", "ori_rows")
+ORACLE["load_min_max"] = with_("SELECT * FROM mm_rows", "mm_rows")
+ORACLE["load_consumption"] = with_(
+    "SELECT * EXCLUDE (l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) FROM cons_rows", "cons_rows")
+ORACLE["load_expiry_waste"] = with_("SELECT * FROM exp_rows", "exp_rows")
+ORACLE["classify_waste"] = with_("""
+SELECT org_code, location_code, item_number,
+  CASE WHEN lower(COALESCE(reason, '')) LIKE '%waste%' THEN 'WASTE' ELSE 'EXPIRE' END AS event_type,
+  quantity, unit_cost, total_cost, event_ts, FALSE AS is_aggregate
+FROM exp_rows""", "exp_rows")
+ORACLE["export_event_feed"] = with_(f"""
+SELECT UPPER(TRIM(COALESCE(event_type, ''))) AS "Type", item_id AS "Item ID", UPPER(TRIM(location_id)) AS "Location",
+  ABS(COALESCE(quantity, 0)) AS "Quantity", strftime(event_ts, '%Y-%m-%d %H:%M:%S') AS "Timestamp"
+FROM raw_active WHERE {IN_RANGE_TS}""", "raw_active", "rng")

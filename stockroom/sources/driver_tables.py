@@ -306,3 +306,159 @@ def movements_from_lineitem(li: DataFrame) -> DataFrame:
         _event_type_from_flag(F.col("l_returnflag")).alias("event_type"),
         F.col("l_quantity").alias("quantity"),
     )
+
+
+# ---------------------------------------------------------------- report files rendered as CSV lines
+# Each report is a DataFrame of (source_file, line_no, value) like ``csv_load.read_lines``
+# returns; line_no is an orderable struct (section, row key) so preamble < header < data.
+
+_POS = "struct<s:int,k1:bigint,k2:int,k3:bigint,k4:double,k5:double>"
+
+
+def _pos(section: int, k1=None, k2=None, k3=None, k4=None, k5=None) -> Column:
+    z = lambda v, t: (v if v is not None else F.lit(0)).cast(t)
+    return F.struct(
+        F.lit(section).alias("s"), z(k1, "bigint").alias("k1"), z(k2, "int").alias("k2"), z(k3, "bigint").alias("k3"),
+        z(k4, "double").alias("k4"), z(k5, "double").alias("k5"),
+    )
+
+
+def _fixed_lines(spark: SparkSession, source: str, texts: list[str], section: int) -> DataFrame:
+    rows = [(source, i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "source_file string, i int, value string")
+    return df.select("source_file", _pos(section, F.col("i")).alias("line_no"), "value")
+
+
+def _li_pos(section: int) -> Column:
+    return _pos(section, F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_quantity"),
+                F.col("l_extendedprice"))
+
+
+def _org() -> Column:
+    return F.when(F.col("l_suppkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("ORG"), (F.col("l_suppkey") % 3).cast("string")))
+
+
+def _sub() -> Column:
+    return F.concat(F.lit("SUB"), (F.col("l_suppkey") % 4 + 1).cast("string"))
+
+
+def _itm(col: str = "l_partkey") -> Column:
+    return F.concat(F.lit("ITM"), F.col(col).cast("string"))
+
+
+def _q(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def _dmy(c: Column) -> Column:
+    return F.date_format(c, "dd/MM/yyyy")
+
+
+def categories_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    desc = F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(F.concat_ws(" ", "p_brand", F.lower("p_type")))
+    body = p.select(F.lit("categories.csv").alias("source_file"), _pos(1, F.col("p_partkey")).alias("line_no"),
+                    F.concat_ws(",", "p_type", desc).alias("value"))
+    return _fixed_lines(spark, "categories.csv", ["Category Name,Category Description"], 0).unionByName(body)
+
+
+def item_types_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    first = F.when(F.col("p_size") % 17 == 0, F.lit(" ")).otherwise(F.col("p_brand"))
+    body = p.select(F.lit("item_types.csv").alias("source_file"), _pos(1, F.col("p_partkey")).alias("line_no"),
+                    F.concat_ws(",", first, "p_name").alias("value"))
+    return _fixed_lines(spark, "item_types.csv", ["Item Type,Example"], 0).unionByName(body)
+
+
+def closing_balance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    day = F.to_date("l_shipdate")
+    cells = [
+        _org(), _sub(), _itm(),
+        F.format_number(F.col("l_discount") * 100, 2),
+        F.when(F.col("l_linenumber") == 3, F.lit("null")).otherwise(F.col("l_quantity").cast("string")),
+        _q(F.format_number("l_extendedprice", 2)),
+        F.date_format(F.trunc(day, "MM"), "yyyy-MM-dd"),
+        F.when(F.col("l_linenumber") == 7, F.lit("")).otherwise(_dmy(F.last_day(day))),
+        F.lit("ok"),
+    ]
+    body = li.select(F.lit("closing_balance.csv").alias("source_file"), _li_pos(2).alias("line_no"),
+                     F.concat_ws(",", *cells).alias("value"))
+    pre = _fixed_lines(spark, "closing_balance.csv", ["Quantity on hand - closing balance", "Generated,01/06/1998", ""], 0)
+    head = _fixed_lines(spark, "closing_balance.csv", [
+        "Inventory Organization Code,Subinventory Name,Item Name,Unit Cost,Costed Onhand Quantity,"
+        "Costed Onhand Amount,Start Date,End Date,Notes"], 1)
+    return pre.unionByName(head).unionByName(body)
+
+
+def opening_receipts_issues_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    rec, iss = F.col("p_partkey") % 11, F.col("p_partkey") % 13
+    cells = [
+        F.concat(F.lit("SUB"), (F.col("p_partkey") % 4 + 1).cast("string")), F.col("p_type"), _itm("p_partkey"),
+        F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.lit("EA")).otherwise(F.lit("BOX")),
+        _q(F.format_number("p_retailprice", 2)), F.col("p_size").cast("string"), rec.cast("string"),
+        F.when(iss == 0, F.lit("null")).otherwise(iss.cast("string")),
+        (F.col("p_size") + rec - iss).cast("string"), (F.col("p_size") * 100).cast("string"),
+    ]
+    body = p.select(F.lit("opening_receipts_issues.csv").alias("source_file"), _pos(2, F.col("p_partkey")).alias("line_no"),
+                    F.concat_ws(",", *cells).alias("value"))
+    pre = _fixed_lines(spark, "opening_receipts_issues.csv",
+                       ["Opening stock, receipts and issues", "Period Start,01/01/1998", "Period End,12/31/1998", ""], 0)
+    head = _fixed_lines(spark, "opening_receipts_issues.csv", [
+        "Valuation Unit,Category,Item,Description,UOM,Unit Cost,Opening Quantity,Receipts,Issues,Closing Quantity,"
+        "Inventory Value"], 1)
+    return pre.unionByName(head).unionByName(body)
+
+
+def min_max_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    day = F.to_date("l_shipdate")
+    cells = [
+        _org(), _sub(), _itm(), F.lit("EA"), (F.col("l_quantity") % 10).cast("string"), F.col("l_quantity").cast("string"),
+        F.lit("MINMAX"), F.when(F.col("l_linenumber") == 2, F.lit("")).otherwise(F.lit("CENTRAL")),
+        _dmy(day), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")),
+    ]
+    body = li.select(F.lit("min_max.csv").alias("source_file"), _li_pos(1).alias("line_no"),
+                     F.concat_ws(",", *cells).alias("value"))
+    head = _fixed_lines(spark, "min_max.csv", [
+        "ORGANIZATION_CODE,DESTINATION,ITEM_NUMBER,MINMAX_QUANTITY_UOM,MIN_MINMAX_QUANTITY,MAX_MINMAX_QUANTITY,"
+        "INVENTORY_PLANNING_CODE,SOURCE_SUBINVENTORY,CREATION_DATE,LAST_UPDATE_DATE"], 0)
+    return head.unionByName(body)
+
+
+def consumption_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "N")
+    cells = [
+        _org(), _sub(), _itm(), F.concat(F.lit("CAT"), (F.col("l_partkey") % 5).cast("string")),
+        F.when(F.col("l_linenumber") == 1, F.lit("")).otherwise(F.concat(F.lit("C"), F.col("l_linenumber").cast("string"))),
+        F.lit("EA"), F.format_number(F.col("l_discount") * 100, 2), F.col("l_quantity").cast("string"),
+        _q(F.format_number("l_extendedprice", 2)),
+        F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("l_linenumber") % 3 + 1).cast("int")),
+    ]
+    body = li.select(F.lit("consumption.csv").alias("source_file"), _li_pos(1).alias("line_no"),
+                     F.concat_ws(",", *cells).alias("value"))
+    head = _fixed_lines(spark, "consumption.csv", [
+        "ORGANIZATION_CODE,Location,ITEM_NUMBER,CATEGORY,ITEM_CLASS,PRIMARY_UOM_CODE,UNIT_COST,QUANTITY,COST,ABCCLASS"], 0)
+    return head.unionByName(body)
+
+
+def expiry_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
+    day = F.to_date("l_shipdate")
+    reason = (
+        F.when(F.col("l_linenumber") % 3 == 0, F.lit("Expired"))
+        .when(F.col("l_linenumber") % 3 == 1, F.lit("Damaged - waste"))
+        .otherwise(F.lit("WASTE bin"))
+    )
+    cells = [
+        _org(), F.date_format(day, "yyyy-MM-dd"), _itm(), _sub(), F.col("l_quantity").cast("string"), F.lit("EA"),
+        F.format_number(F.col("l_discount") * 100, 2), _q(F.format_number("l_extendedprice", 2)), reason,
+        F.concat(F.lit("CAT"), (F.col("l_partkey") % 5).cast("string")),
+        F.concat(F.lit("LOT"), (F.col("l_orderkey") % 500).cast("string")), _dmy(F.date_add(day, 30)),
+    ]
+    body = li.select(F.lit("expiry.csv").alias("source_file"), _li_pos(1).alias("line_no"),
+                     F.concat_ws(",", *cells).alias("value"))
+    head = _fixed_lines(spark, "expiry.csv", [
+        "Source,Txn Date,Item,Location,Quantity,UOM,Unit Cost,Value,Reason,Category,Lot Number,Lot Expiry Date"], 0)
+    return head.unionByName(body)
