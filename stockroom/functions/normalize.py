@@ -88,3 +88,14 @@ def parse_date_multi(col: Column | str) -> Column:
 def expiry_date(col: Column | str) -> Column:
     """``date(substr(TRIM(x), 1, 10))``: NULL for blank or unparsable text."""
     return F.try_to_date(F.substring(F.trim(_c(col).cast("string")), 1, 10), "yyyy-MM-dd")
+
+
+def literal_rows(spark, rows: list[tuple], names: list[str]):
+    """A small literal table built on the JVM (``inline`` of an array of structs).
+
+    ``createDataFrame`` on Python lists goes through a Python RDD and starts Python
+    workers when the plan runs; this keeps constant tables (dataset list, category
+    list, report preambles) inside the JVM plan.
+    """
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

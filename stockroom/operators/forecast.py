@@ -77,10 +77,13 @@ def fc_monthly(load: DataFrame) -> DataFrame:
 def _interpolate(col: str) -> Column:
     """Linear interpolation by position; leading gaps take the first value, trailing the last, all-NULL -> 0."""
     w = _by_item()
+    back = Window.partitionBy("item_id").orderBy(F.col("month_end").desc())
     pos = F.row_number().over(w) - 1
     known = F.when(F.col(col).isNotNull(), F.struct(pos.alias("p"), F.col(col).alias("v")))
+    # both neighbours from running frames (a frame reaching to the partition end would be
+    # re-evaluated for every row): last known value so far, forwards and backwards
     prev = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    nxt = F.first(known, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    nxt = F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     slope = (nxt["v"] - prev["v"]) / (nxt["p"] - prev["p"])
     return (
         F.when(F.col(col).isNotNull(), F.col(col))
@@ -106,20 +109,21 @@ def fc_gap_fill(monthly: DataFrame) -> DataFrame:
 def fc_smooth_target(filled: DataFrame) -> DataFrame:
     """raw target and its 2-month trailing mean (at least one month)."""
     w = _by_item().rowsBetween(-1, Window.currentRow)
-    return filled.withColumn("target_nosmooth", F.col("issues_qty")).withColumn(
-        "target_smooth", F.avg("issues_qty").over(w)
+    return filled.select(
+        "*", F.col("issues_qty").alias("target_nosmooth"), F.avg("issues_qty").over(w).alias("target_smooth")
     )
 
 
 def fc_calendar(df: DataFrame) -> DataFrame:
     """trend index, month, quarter and the month's position on the unit circle."""
     month = F.month("month_end")
-    return (
-        df.withColumn("trend", (F.row_number().over(_by_item()) - 1).cast("bigint"))
-        .withColumn("month", month)
-        .withColumn("quarter", F.quarter("month_end"))
-        .withColumn("month_sin", F.sin(F.lit(2 * math.pi) * month / 12))
-        .withColumn("month_cos", F.cos(F.lit(2 * math.pi) * month / 12))
+    return df.select(
+        "*",
+        (F.row_number().over(_by_item()) - 1).cast("bigint").alias("trend"),
+        month.alias("month"),
+        F.quarter("month_end").alias("quarter"),
+        F.sin(F.lit(2 * math.pi) * month / 12).alias("month_sin"),
+        F.cos(F.lit(2 * math.pi) * month / 12).alias("month_cos"),
     )
 
 
@@ -137,28 +141,31 @@ def fc_lags(frame: DataFrame, target: str, parity_diff: bool = False) -> DataFra
     """
     w = _by_item()
     y = F.col(target)
-    out = frame.withColumn("lag_1", F.coalesce(F.lag(y, 1).over(w), y))
-    out = out.withColumn("lag_2", F.coalesce(F.lag(y, 2).over(w), F.col("lag_1")))
-    out = out.withColumn("lag_3", F.coalesce(F.lag(y, 3).over(w), F.col("lag_2")))
+    l1, l2, l3 = F.lag(y, 1).over(w), F.lag(y, 2).over(w), F.lag(y, 3).over(w)
+    lag_1 = F.coalesce(l1, y)
     p2, p3 = w.rowsBetween(-2, -1), w.rowsBetween(-3, -1)
-    out = (
-        out.withColumn("rolling_mean_2", F.coalesce(F.avg(y).over(p2), F.col("lag_1")))
-        .withColumn("rolling_std_2", F.coalesce(F.stddev_samp(y).over(p2), F.lit(0.0)))
-        .withColumn("rolling_min_2", F.coalesce(F.min(y).over(p2), F.col("lag_1")))
-        .withColumn("rolling_max_2", F.coalesce(F.max(y).over(p2), F.col("lag_1")))
-        .withColumn("rolling_mean_3", F.coalesce(F.avg(y).over(p3), F.col("lag_1")))
-        .withColumn("rolling_std_3", F.coalesce(F.stddev_samp(y).over(p3), F.lit(0.0)))
+    diff = (y - l1) if parity_diff else (l1 - l2)
+    return frame.select(
+        "*",
+        lag_1.alias("lag_1"),
+        F.coalesce(l2, lag_1).alias("lag_2"),
+        F.coalesce(l3, l2, lag_1).alias("lag_3"),
+        F.coalesce(F.avg(y).over(p2), lag_1).alias("rolling_mean_2"),
+        F.coalesce(F.stddev_samp(y).over(p2), F.lit(0.0)).alias("rolling_std_2"),
+        F.coalesce(F.min(y).over(p2), lag_1).alias("rolling_min_2"),
+        F.coalesce(F.max(y).over(p2), lag_1).alias("rolling_max_2"),
+        F.coalesce(F.avg(y).over(p3), lag_1).alias("rolling_mean_3"),
+        F.coalesce(F.stddev_samp(y).over(p3), F.lit(0.0)).alias("rolling_std_3"),
+        F.coalesce(diff, F.lit(0.0)).alias("diff_1"),
     )
-    diff = (y - F.lag(y, 1).over(w)) if parity_diff else (F.lag(y, 1).over(w) - F.lag(y, 2).over(w))
-    return out.withColumn("diff_1", F.coalesce(diff, F.lit(0.0)))
 
 
 def fc_split(frame: DataFrame, min_months: int = MIN_MONTHS) -> DataFrame:
     """items with at least ``min_months`` months; the last max(3, int(0.2 n)) months are the test set."""
     n = F.count(F.lit(1)).over(Window.partitionBy("item_id"))
-    out = frame.withColumn("n_months", n).filter(F.col("n_months") >= min_months)
+    out = frame.select("*", n.alias("n_months")).filter(F.col("n_months") >= min_months)
     test_size = F.greatest(F.lit(3), F.floor(F.col("n_months") * 0.2).cast("bigint"))
-    return out.withColumn("test_size", test_size).withColumn("is_test", F.col("trend") >= F.col("n_months") - test_size)
+    return out.select("*", test_size.alias("test_size"), (F.col("trend") >= F.col("n_months") - test_size).alias("is_test"))
 
 
 # ---------------------------------------------------------------- F8/F9 models
@@ -484,10 +491,20 @@ def publish_path(base: str) -> str:
     return os.path.join(base, "forecast_results")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a reused intermediate (reliable checkpoint in ``spark.checkpoint.dir``),
-    so the forecast stages do not recompute the monthly frame from the fact table each time."""
+def materialize(df: DataFrame, name: str = "forecast-stage") -> DataFrame:
+    """Cut the lineage of a reused intermediate: write it once as a parquet table under the
+    shared ``spark.checkpoint.dir`` and read it back.
+
+    The forecast stages reuse the monthly frame and the test predictions several times;
+    without this each use would recompute them from the fact table. (An RDD
+    ``checkpoint()`` would compute the data twice, once for the action and once for the
+    checkpoint write; the written table is computed once and re-read column-pruned.)
+    """
+    import uuid
+
     from stockroom.session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

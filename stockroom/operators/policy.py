@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockroom.functions.normalize import is_blank
+from stockroom.functions.normalize import is_blank, literal_rows
 from stockroom.operators.prefix_sum import running_sum_desc
 from stockroom.operators.scope import Scope, day_between, in_active_dataset, period_days
 from stockroom.operators.snapshot import latest_snapshot
@@ -127,10 +127,11 @@ def abc_snapshot_write(lines: DataFrame, base_path: str, scope: Scope, snapshot_
         .partitionBy("snapshot_id")
         .parquet(os.path.join(base_path, "lines"))
     )
-    header = spark.createDataFrame(
-        [(snapshot_id, scope.as_of, scope.start, scope.end, "Generated from ISSUE events")],
-        "snapshot_id int, snapshot_date string, period_start string, period_end string, notes string",
-    )
+    header = literal_rows(
+        spark, [(int(snapshot_id), scope.as_of, scope.start, scope.end, "Generated from ISSUE events")],
+        ["snapshot_id", "snapshot_date", "period_start", "period_end", "notes"],
+    ).select(F.col("snapshot_id").cast("int"), *[F.col(c).cast("string") for c in
+                                                  ["snapshot_date", "period_start", "period_end", "notes"]])
     header.write.mode("append").parquet(headers_path)
     return snapshot_id
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockroom.functions.normalize import literal_rows
 from stockroom.operators.scope import in_active_dataset
 
 # fixed values: categories shown in the category chart, in display order
@@ -91,7 +92,7 @@ def risk_cost_exposure(latest: DataFrame) -> DataFrame:
 def risks_by_category(latest: DataFrame) -> DataFrame:
     """Counts for the fixed category list (0 when absent); other categories are not shown."""
     spark = latest.sparkSession
-    shown = spark.createDataFrame([(k, c) for k, c in enumerate(SHOWN_CATEGORIES)], "pos int, category string")
+    shown = literal_rows(spark, [(k, c) for k, c in enumerate(SHOWN_CATEGORIES)], ["pos", "category"])
     counts = latest.groupBy("category").agg(F.count(F.lit(1)).alias("_n"))
     return (
         shown.join(counts, "category", "left")

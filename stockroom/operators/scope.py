@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stockroom.functions.normalize import is_blank, norm_location
+from stockroom.functions.normalize import is_blank, literal_rows, norm_location
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ def default_range(events: DataFrame, scope: Scope | None = None) -> DataFrame:
     """A3: if start or end is missing, both become the min/max event day."""
     scope = scope or Scope()
     if scope.has_range:
-        return events.sparkSession.createDataFrame([(scope.start, scope.end)], "start string, end string").select(
+        return literal_rows(events.sparkSession, [(scope.start, scope.end)], ["start", "end"]).select(
             F.to_date("start").alias("start"), F.to_date("end").alias("end")
         )
     day = F.to_date("event_ts")

@@ -11,22 +11,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockroom.functions.normalize import literal_rows
+
 # The fact table carries ``ingest_seq``, an orderable struct standing in for SQLite's rowid
 # ("last inserted wins"): (orderkey, linenumber, suppkey, quantity, extendedprice) is unique
 # per lineitem row.
 
 ACTIVE_DATASET = "ds_active"
 
-_TABLES = (
-    "region nation customer supplier part orders lineitem events documents "
-    "embeddings pages benchmark labels conversations"
-).split()
+# explicit schemas of the driver tables (no inference pass over file footers)
+_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+_TABLES = list(_SCHEMAS)
+
+# inputs below this size with fewer files than task slots are spread before the first exchange
+SPREAD_MAX_BYTES = 256 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if name not in _TABLES:
+    if name not in _SCHEMAS:
         raise ValueError(f"unknown driver table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_scan(df)
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Parallelism guard for small inputs held in fewer files than task slots.
+
+    A parquet file with a single row group is read by a single task, and everything
+    before the first exchange (joins to broadcast dimensions, parsing, the map-side
+    top-1 sort) would run on one core. Only for such small inputs (size from the
+    logical plan's statistics, no job) the scan is spread round-robin over the default
+    parallelism; a large table is never touched, so there is no extra exchange at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= target:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_MAX_BYTES:
+        return df
+    return df.repartition(target)
 
 
 def _event_type_from_flag(flag: Column) -> Column:
@@ -85,13 +126,14 @@ def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def datasets(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     """Dataset versions: two active loads (the newer one wins) and a newer inactive one."""
-    return spark.createDataFrame(
+    return literal_rows(
+        spark,
         [
             ("ds_prev", "previous load", "prev.csv", "2024-01-01 00:00:00", True),
             (ACTIVE_DATASET, "current load", "current.csv", "2024-02-01 00:00:00", True),
             ("ds_archived", "archived load", "archived.csv", "2024-03-01 00:00:00", False),
         ],
-        "dataset_id string, dataset_name string, source_file string, imported_at string, is_active boolean",
+        ["dataset_id", "dataset_name", "source_file", "imported_at", "is_active"],
     ).withColumn("imported_at", F.to_timestamp_ntz("imported_at"))
 
 
@@ -325,7 +367,7 @@ def _pos(section: int, k1=None, k2=None, k3=None, k4=None, k5=None) -> Column:
 
 def _fixed_lines(spark: SparkSession, source: str, texts: list[str], section: int) -> DataFrame:
     rows = [(source, i, t) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "source_file string, i int, value string")
+    df = literal_rows(spark, rows, ["source_file", "i", "value"])
     return df.select("source_file", _pos(section, F.col("i")).alias("line_no"), "value")
 
 
