@@ -53,3 +53,12 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for materialized intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem API (works for shared filesystems and
+    object stores, not only local paths)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))

@@ -7,7 +7,6 @@ the first failing rule wins exactly as in a sequential row check, with no Python
 from __future__ import annotations
 
 import datetime as dt
-import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +76,9 @@ def scan_validate(df: DataFrame, active_dataset: str) -> tuple[DataFrame, DataFr
     Non-finite numbers (inf, NaN) are quarantined (the source crashes on an infinite id
     and accepts a NaN quantity).
     """
+    for opt in OPTIONAL_HEADERS:
+        if opt not in df.columns:
+            df = df.withColumn(opt, F.lit(None).cast("string"))
     tagged = df.withColumn("_error", scan_error(active_dataset))
     valid = tagged.filter(F.col("_error").isNull()).select(
         _v("scan_id").alias("scan_id"),
@@ -150,7 +152,9 @@ def scan_append(new: DataFrame, fact_path: str, ledger_path: str, batch_id: int,
 
 def read_ledger(spark, ledger_path: str, before_batch: int | None = None) -> DataFrame | None:
     """Ledger ids, excluding the batch being (re)written so a replay is not deduped against itself."""
-    if not os.path.exists(ledger_path):
+    from stockroom.session import path_exists
+
+    if not path_exists(spark, ledger_path):
         return None
     led = spark.read.parquet(ledger_path)
     if before_batch is not None:

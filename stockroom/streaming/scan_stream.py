@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stockroom.session import path_exists
 from stockroom.sources import scans
 
 
@@ -62,7 +63,7 @@ def process_scan_batch(spark: SparkSession, batch: DataFrame, batch_id: int, sin
             .partitionBy("batch_id").parquet(sink.quarantine)
         )
         before = 0
-        if os.path.exists(sink.metrics):
+        if path_exists(spark, sink.metrics):
             prev = spark.read.parquet(sink.metrics).filter(F.col("batch_id") < batch_id)
             before = prev.agg(F.coalesce(F.sum("inserted"), F.lit(0))).first()[0]
         inserted_new = spark.read.parquet(sink.fact).filter(F.col("batch_id") == batch_id)
