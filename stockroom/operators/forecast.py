@@ -74,35 +74,44 @@ def fc_monthly(load: DataFrame) -> DataFrame:
     return spine.join(m, ["item_id", "month_end"], "left")
 
 
-def _interpolate(col: str) -> Column:
-    """Linear interpolation by position; leading gaps take the first value, trailing the last, all-NULL -> 0."""
-    w = _by_item()
-    back = Window.partitionBy("item_id").orderBy(F.col("month_end").desc())
-    pos = F.row_number().over(w) - 1
-    known = F.when(F.col(col).isNotNull(), F.struct(pos.alias("p"), F.col(col).alias("v")))
-    # both neighbours from running frames (a frame reaching to the partition end would be
-    # re-evaluated for every row): last known value so far, forwards and backwards
-    prev = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    nxt = F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+def _interpolated(col: str) -> Column:
+    """Linear interpolation by position from the neighbour columns added by ``fc_gap_fill``;
+    leading gaps take the first value, trailing the last, all-NULL -> 0."""
+    prev, nxt = F.col(f"_prev_{col}"), F.col(f"_next_{col}")
     slope = (nxt["v"] - prev["v"]) / (nxt["p"] - prev["p"])
     return (
         F.when(F.col(col).isNotNull(), F.col(col))
         .when(prev.isNull() & nxt.isNull(), F.lit(0.0))
         .when(prev.isNull(), nxt["v"])
         .when(nxt.isNull(), prev["v"])
-        .otherwise(prev["v"] + slope * (pos - prev["p"]))
+        .otherwise(prev["v"] + slope * (F.col("_pos") - prev["p"]))
     )
 
 
 def fc_gap_fill(monthly: DataFrame) -> DataFrame:
-    """sums -> 0; means interpolated linearly by position (ends held)."""
-    return monthly.select(
+    """sums -> 0; means interpolated linearly by position (ends held).
+
+    The position and, per column, the last known (position, value) before and after each
+    month are computed once as columns: running frames forwards and backwards (a frame
+    reaching to the partition end would be re-evaluated for every row).
+    """
+    w = _by_item()
+    back = Window.partitionBy("item_id").orderBy(F.col("month_end").desc())
+    upto = Window.unboundedPreceding, Window.currentRow
+    m = monthly.select("*", (F.row_number().over(w) - 1).alias("_pos"))
+    neighbours = []
+    for c in ("closing_qty", "avg_usage"):
+        known = F.when(F.col(c).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(c).alias("v")))
+        neighbours.append(F.last(known, ignorenulls=True).over(w.rowsBetween(*upto)).alias(f"_prev_{c}"))
+        neighbours.append(F.last(known, ignorenulls=True).over(back.rowsBetween(*upto)).alias(f"_next_{c}"))
+    m = m.select("*", *neighbours)
+    return m.select(
         "item_id",
         "month_end",
         F.coalesce("issues_qty", F.lit(0.0)).alias("issues_qty"),
         F.coalesce("receipts_qty", F.lit(0.0)).alias("receipts_qty"),
-        _interpolate("closing_qty").alias("closing_qty"),
-        _interpolate("avg_usage").alias("avg_usage"),
+        _interpolated("closing_qty").alias("closing_qty"),
+        _interpolated("avg_usage").alias("avg_usage"),
     )
 
 
