@@ -16,6 +16,7 @@ from stockroom.functions import normalize as N
 from stockroom.operators import expiry, movement, scope as sc, stock
 from stockroom.operators.snapshot import latest_snapshot
 from stockroom.plans.context import Model
+from stockroom.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -443,8 +444,8 @@ def q_daily_demand_dense(spark, sf_dir):
     return _round6(_moments(Model(spark, sf_dir)), ["mean_daily_qty", "demand_std_dev"])
 
 
-def _safety(m: Model) -> DataFrame:
-    pairs = _policy_pairs(m).select("item_id", "location_id", "restock_lead_time")
+def _safety(m: Model, pairs: DataFrame | None = None) -> DataFrame:
+    pairs = (pairs if pairs is not None else _policy_pairs(m)).select("item_id", "location_id", "restock_lead_time")
     mom = _moments(m).join(pairs, ["item_id", "location_id"], "inner")
     return policy.safety_stock(mom, F.col("restock_lead_time"), SERVICE_LEVEL)
 
@@ -460,9 +461,11 @@ def q_safety_stock(spark, sf_dir):
 @register("rop")
 def q_rop(spark, sf_dir):
     m = Model(spark, sf_dir)
-    matched = policy.policy_item_match(_policy_pairs(m), m.items)
+    # the pairs feed the match, the safety stock and the ROP itself: written once, read three times
+    pairs = materialize(_policy_pairs(m), "policy-pairs")
+    matched = policy.policy_item_match(pairs, m.items)
     saved = (
-        _safety(m)
+        _safety(m, pairs)
         .join(matched.select("item_id", "location_id", "storage_item_id"), ["item_id", "location_id"])
         .select(
             F.col("storage_item_id").alias("item_id"), "location_id", "demand_std_dev", "lead_time_days",

@@ -80,6 +80,11 @@ class Model:
         return dt.scan_feed(self.spark, self.sf_dir)
 
     def scope(self, **kw) -> Scope:
-        """The request scope with the default day range resolved from the event table."""
+        """The request scope with the default day range resolved from the event table
+        (resolved once per query: every operator of one request sees the same range)."""
         kw.setdefault("as_of", AS_OF)
-        return resolve_scope(self.events, Scope(**kw))
+        key = tuple(sorted(kw.items()))
+        cache = self.__dict__.setdefault("_scopes", {})
+        if key not in cache:
+            cache[key] = resolve_scope(self.events, Scope(**kw))
+        return cache[key]

@@ -62,3 +62,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(p))
+
+
+def materialize(df, name: str = "stage"):
+    """Write an intermediate once as a parquet table under the shared ``spark.checkpoint.dir``
+    and read it back: cuts the lineage (survives executor loss) and, unlike an RDD
+    ``checkpoint()``, computes the data only once."""
+    import uuid
+
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
