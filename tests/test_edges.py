@@ -246,3 +246,33 @@ def test_forecast_month_rules(spark):
     assert metrics["naive_last"].n if hasattr(metrics["naive_last"], "n") else True
     best = fc.fc_select(fc.fc_metrics(preds)).collect()
     assert len(best) == 1
+
+
+def test_snapshot_carry_balance(spark):
+    d1, d2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    ts1, ts2 = dt.datetime(2024, 1, 1, 9), dt.datetime(2024, 1, 2, 9)
+    rows = [
+        ("d1", d1, "LOC01", 1, "a", ts1, 8.0, 1.0, 1),
+        ("d1", d2, "LOC01", 1, "a", ts2, None, None, 2),  # a scan row carries no balance
+    ]
+    raw = spark.createDataFrame(rows, RAW_SCHEMA)
+    plain = latest_snapshot(raw, _datasets(spark)).first()
+    carried = latest_snapshot(raw, _datasets(spark), carry_balance=True).first()
+    assert plain.closing_qty is None and carried.closing_qty == 8.0 and carried.date == d2
+
+
+def test_risk_cells_flat_and_nested_agree(spark):
+    from stockroom.operators import risk
+
+    latest = spark.createDataFrame(
+        [("R1", "a", 4.0, 4.0, 1.0), ("R2", "b", 4.0, 4.0, 2.0), ("R3", "c", 1.0, 2.0, 3.0),
+         ("R4", " ", 3.0, 3.0, 4.0), ("R5", "e", 0.0, 3.0, 5.0)],
+        "risk_id string, title string, probability double, impact double, cost double",
+    )
+    flat = {(r.probability, r.impact): (r.label, r.n_risks) for r in risk.risk_matrix_cells(latest).collect()}
+    nested = {(r.probability, r.impact): (r.label, r.n_risks, [x.risk_id for x in r.risks])
+              for r in risk.risk_matrix_cells_nested(latest).collect()}
+    assert flat == {(4.0, 4.0): ("2 risks", 2), (1.0, 2.0): ("R3", 1)}
+    assert nested == {(4.0, 4.0): ("2 risks", 2, ["R1", "R2"]), (1.0, 2.0): ("R3", 1, ["R3"])}
+    zones = {(r.probability, r.impact): r.zone for r in risk.risk_zone(risk.risk_matrix_cells(latest)).collect()}
+    assert zones == {(4.0, 4.0): "High", (1.0, 2.0): "Low"}
