@@ -30,7 +30,7 @@ from .grams import _SECOND, covered, prefix_sums, stretch_hash, word_symbols
 from .repeats import HELD, RUN, by_document, repeated_runs, run_rows, settle, with_first
 
 LENGTH = 13
-GRAM = 6
+GRAM = 5
 
 
 def symbols_of_words(raw: bytes) -> np.ndarray:
@@ -41,12 +41,14 @@ def _edges(length: int):
     """Each stretch taken apart into its edges, settled inside the task like the stretches were."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, held, none = [], 0, np.empty(0, np.uint64)
         for batch in it:
             looks = batch.column("spans")
             for i, (doc, raw) in enumerate(zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True)):
                 symbols = symbols_of_words(raw)
                 look = looks[i].values
+                if look is None:
+                    continue
                 s, w = look.field("s").to_numpy().astype(np.int64), look.field("w").to_numpy().astype(np.int64)
                 at = np.unique(np.repeat(s - (np.cumsum(w) - w), w) + np.arange(w.sum()))
                 at = at[at + length <= len(symbols)]
@@ -56,10 +58,10 @@ def _edges(length: int):
                     parts.append((e, f, np.full(len(at), doc, np.int64), at, np.ones(len(at), np.int64)))
                     held += len(at)
                 if held >= HELD:
-                    yield from settle(parts, "doc")
+                    yield from settle(parts, "doc", none)
                     parts, held = [], 0
         if parts:
-            yield from settle(parts, "doc")
+            yield from settle(parts, "doc", none)
 
     return batches
 
@@ -88,6 +90,8 @@ def _spans(length: int, joined: bool):
             pieces, parts = batch.column("spans"), []
             for i, (doc, raw) in enumerate(zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True)):
                 own = pieces[i].values
+                if own is None:
+                    continue
                 s, w = (own.field(x).to_numpy().astype(np.int64) for x in ("s", "w"))
                 of, at = (own.field(x).to_numpy().astype(np.int64) for x in ("src_doc", "src_s")) if joined else (np.full(len(s), doc), s)
                 if joined:
@@ -111,11 +115,11 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, length: int = LENGTH, gram
     """Verified spans (doc, s, w windows, src_doc, src_s): each reads the same at its source, in a smaller document."""
 
     def at_text(spans: DataFrame) -> DataFrame:
-        return texts.join(spans.hint("shuffle_merge"), texts.doc_id == spans.doc, "left").where("spans IS NOT NULL").select("doc_id", "text", "spans")
+        return texts.join(spans.hint("shuffle_merge"), texts.doc_id == spans.doc, "left").select("doc_id", "text", "spans")
 
     gone, look = repeated_runs(run_rows(docs, symbols_of_words, length, gram, "doc"), "doc")
     edges = with_first(map_batches(at_text(by_document(look, "s", "w")), _edges(length), RUN), "doc")
-    pieces = gone.unionByName(edges.where("gone").select(gone.columns))
+    pieces = gone.unionByName(edges.where("gone").select(*gone.columns))
     spans = map_batches(at_text(by_document(pieces, "s", "w", "src_doc", "src_s")), _spans(length, True), _SPAN)
     asked = spans.select(F.col("src_doc").alias("doc"), F.col("src_s").alias("s"), "w").distinct()
     sources = map_batches(at_text(by_document(asked, "s", "w")), _spans(length, False), _SPAN).select(F.col("doc").alias("src_doc"), F.col("s").alias("src_s"), "w", "digest").distinct()

@@ -77,6 +77,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def picked(hashes: np.ndarray) -> int:
+    """Place of the gram that a window with these gram hashes picks."""
+    return int(np.argmin((hashes & ~PLACE) | np.arange(len(hashes)).astype(U64)))
+
+
 def word_symbols(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit symbol for each word of a text, with the words' first and past-last byte."""
     b = np.frombuffer(raw, np.uint8)

@@ -1,10 +1,10 @@
-"""Runs of windows that occur more than once, found with Spark aggregates and joins; shared by the two repeat removers.
+"""Runs of windows that occur more than once, found with one shuffle; shared by the two repeat removers.
 
 ``later`` says which occurrences go: those in a larger document (``"doc"``) or in a larger document or at a later
-place of the same one (``"place"``). Each map task first settles what repeats inside itself: such a run is marked
-``again``, with where it stands first, and travels under a key of its own. So a passage that a third of all
-documents hold meets in one task once for each map task, not once for each document. The result does not depend on
-how rows are dealt to tasks.
+place of the same one (``"place"``). Runs meet by their gram. Two things keep a gram that a third of all documents
+hold from meeting in one task: each map task first settles what repeats inside itself (such a run is marked
+``again``, with where it stands first, and travels under a key of its own), and grams that a sample shows to be
+frequent are dealt by their whole run, which is what has to meet. The result does not depend on either.
 """
 
 from __future__ import annotations
@@ -16,16 +16,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import map_batches
-from .grams import runs
+from .grams import U64, mix, runs
 
 #: Runs that a task holds before it settles them.
 HELD = 1_500_000
-RUN = "a long, c long, doc long, s int, w int, again boolean, of_doc long, of_s int"
+#: One in so many documents is looked at for frequent grams; a gram is frequent from so many sampled runs on, and
+#: from one in so many of them, which bounds how many there are.
+SAMPLED, FREQUENT, ONE_IN = 64, 16, 10_000
 
+#: place: first window, number of windows (under 128), settled in the task (2), frequent gram (1), as bits.
+RUN = "key long, c long, doc long, place long"
 
-def settle(parts: list[tuple], later: str) -> Iterator[pa.RecordBatch]:
-    """Rows of RUN from arrays (a, c, doc, s, w)."""
+
+def settle(parts: list[tuple], later: str, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of RUN from arrays (a, c, doc, s, w). A settled run has its first place in key (upper half) and c."""
     a, c, doc, s, w = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((s, doc, c, a))
     a, c, doc, s, w = a[order], c[order], doc[order], s[order], w[order]
@@ -34,25 +40,38 @@ def settle(parts: list[tuple], later: str) -> Iterator[pa.RecordBatch]:
     again = doc > doc[first]
     if later == "place":
         again |= s > s[first]
+    often = np.isin(a, frequent) & ~again
+    own = mix(doc.view(U64) * U64(0x9E3779B97F4A7C15) + s.astype(U64) + a) & U64(0xFFFFFFFF)
+    key = np.where(again, (s[first].astype(U64) << U64(32)) | own, np.where(often, mix(a ^ c), a)).view(np.int64)
+    c = np.where(again, doc[first], c.view(np.int64))
+    place = (s.astype(np.int64) << 9) | (w.astype(np.int64) << 2) | (again.astype(np.int64) << 1) | often
     for at in range(0, len(a), 100_000):
         k = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(a[k].view(np.int64)),
-                pa.array(np.where(again[k], 0, c[k].view(np.int64))),
-                pa.array(doc[k]),
-                pa.array(s[k].astype(np.int32)),
-                pa.array(w[k].astype(np.int32)),
-                pa.array(again[k]),
-                pa.array(doc[first[k]], mask=~again[k]),
-                pa.array(s[first[k]].astype(np.int32), mask=~again[k]),
-            ],
-            names=["a", "c", "doc", "s", "w", "again", "of_doc", "of_s"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (key, c, doc, place)], names=["key", "c", "doc", "place"])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+
+def frequent_grams(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], length: int, gram: int) -> np.ndarray:
+    """Grams that many documents of a sample hold: at most ``ONE_IN`` of them."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [np.unique(runs(symbols(t.as_py()), length, gram)[0]) for t in batch.column("text").cast(pa.large_binary())]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["a"])
+
+    rows = map_batches(_texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0), batches, "a long")
+    counts = rows.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    total = rows.count()
+    return np.array([r.a for r in counts.where(F.col("n") * ONE_IN >= total).collect()], np.int64).view(U64)
 
 
 def run_rows(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], length: int, gram: int, later: str) -> DataFrame:
-    """All runs of all documents."""
+    """All runs of all documents, as rows of RUN."""
+    frequent = frequent_grams(docs, symbols, length, gram)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -64,46 +83,52 @@ def run_rows(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], length: in
                     parts.append((a, c, np.full(len(a), doc, np.int64), s, w))
                     held += len(a)
                 if held >= HELD:
-                    yield from settle(parts, later)
+                    yield from settle(parts, later, frequent)
                     parts, held = [], 0
         if parts:
-            yield from settle(parts, later)
+            yield from settle(parts, later, frequent)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return map_batches(rows, batches, RUN)
+    return map_batches(_texts(docs), batches, RUN)
 
 
 def with_first(rows: DataFrame, later: str) -> DataFrame:
-    """Rows of RUN with ``src_doc, src_s`` (where an equal run stands first) and ``gone`` (that is earlier)."""
-    if "key" not in rows.columns:
-        rows = rows.withColumn("key", own_key())
-    equal = Window.partitionBy("key", "c").orderBy("doc", "s")
-    rows = rows.withColumn("src_doc", F.coalesce("of_doc", F.first("doc").over(equal))).withColumn("src_s", F.coalesce("of_s", F.first("s").over(equal)))
-    earlier = F.col("src_doc") < F.col("doc")
+    """doc, s, w, key, c of each run, with ``src_doc, src_s`` (where an equal run stands first), ``gone`` (that is earlier),
+    ``often`` (its gram occurs again) and ``mixed`` (in other surroundings)."""
+    again, hot = F.col("place").bitwiseAND(F.lit(2)) != 0, F.col("place").bitwiseAND(F.lit(1)) != 0
+    equal, gram = Window.partitionBy("key", "c").orderBy("doc", "place"), Window.partitionBy("key")
+    seen = (
+        rows.withColumn("src_doc", F.first("doc").over(equal))
+        .withColumn("src_place", F.first("place").over(equal))
+        .withColumn("n", F.count("*").over(gram))
+        .withColumn("lo", F.min("c").over(gram))
+        .withColumn("hi", F.max("c").over(gram))
+    )
+    src_doc = F.when(again, F.col("c")).otherwise(F.col("src_doc"))
+    src_s = F.when(again, F.shiftright("key", 32)).otherwise(F.shiftright("src_place", 9)).cast("int")
+    s = F.shiftright("place", 9).cast("int")
+    earlier = src_doc < F.col("doc")
     if later == "place":
-        earlier = earlier | ((F.col("src_doc") == F.col("doc")) & (F.col("src_s") < F.col("s")))
-    return rows.withColumn("gone", earlier)
-
-
-def own_key() -> F.Column:
-    """The gram, but for runs that are settled a key that nobody shares."""
-    return F.when(F.col("again"), F.xxhash64("doc", "s", "a")).otherwise(F.col("a"))
+        earlier = earlier | ((src_doc == F.col("doc")) & (src_s < s))
+    return seen.select(
+        "doc",
+        s.alias("s"),
+        F.shiftright("place", 2).bitwiseAND(F.lit(127)).cast("int").alias("w"),
+        src_doc.alias("src_doc"),
+        src_s.alias("src_s"),
+        earlier.alias("gone"),
+        (again | hot | (F.col("n") > 1)).alias("often"),
+        (~again & (hot | (F.col("lo") != F.col("hi")))).alias("mixed"),
+    )
 
 
 def repeated_runs(rows: DataFrame, later: str) -> tuple[DataFrame, DataFrame]:
-    """(runs that go: doc, s, w, src_doc, src_s; runs to look into window by window: a, doc, s, w).
+    """(runs that go: doc, s, w, src_doc, src_s; runs to look into window by window: doc, s, w).
 
     A run goes if an equal run stands earlier. A run that is the first of its kind, but whose gram also occurs in
     runs that differ, may still share some of its windows with those: it is looked into.
     """
-    often = rows.groupBy(F.col("a").alias("often")).agg(F.count("*").alias("n")).where("n > 1").select("often")
-    keyed = rows.withColumn("key", own_key())
-    same = keyed.join(often.hint("shuffle_merge"), keyed.key == often.often, "left").where("again OR often IS NOT NULL").drop("often")
-    flow = with_first(same, later)
-    first = flow.where("NOT gone").select("a", "c", "doc", "s", "w")
-    kinds = first.groupBy(F.col("a").alias("kind")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("kind")
-    look = first.join(kinds.hint("shuffle_merge"), first.a == kinds.kind).select("a", "doc", "s", "w")
-    return flow.where("gone").select("doc", "s", "w", "src_doc", "src_s"), look
+    flow = materialize(with_first(rows, later).where("gone OR mixed").drop("often"), "repeated-runs")
+    return flow.where("gone").select("doc", "s", "w", "src_doc", "src_s"), flow.where("NOT gone").select("doc", "s", "w")
 
 
 def by_document(spans: DataFrame, *columns: str) -> DataFrame:

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches
-from .grams import BYTES, U64, covered, prefix_sums, stretch_hash
+from .grams import BYTES, U64, covered, picked, prefix_sums, stretch_hash
 from .repeats import by_document, repeated_runs, run_rows
 
 LENGTH = 100
 GRAM = 32
 #: Windows compared at once in a bucket (a gram with more of them is still taken whole).
 BLOCK = 1_000_000
-SUFFIX = "lead long, next long, a long, doc long, s int, w int, p int, context binary"
+SUFFIX = "lead long, next long, before long, a long, doc long, s int, w int, p int, context binary"
 FOUND = "doc long, s int, w int, a long, h long"
 
 
@@ -45,26 +45,28 @@ def _as_key(raw: bytes) -> int:
 def _suffixes(length: int, gram: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows: list[list] = [[] for _ in range(8)]
-            docs, looks = batch.column("doc").to_pylist(), batch.column("looks")
+            rows: list[list] = [[] for _ in range(9)]
+            docs, looks = batch.column("doc").to_pylist(), batch.column("spans")
             texts = batch.column("text").cast(pa.large_binary())
             for i, doc in enumerate(docs):
                 raw = texts[i].as_py() or b""
                 look = looks[i].values
                 if look is None or not len(look):
                     continue
-                for s, w, a in zip(*(look.field(x).to_pylist() for x in ("s", "w", "a")), strict=True):
+                for s, w in zip(look.field("s").to_pylist(), look.field("w").to_pylist(), strict=True):
                     context = raw[s : s + w + length - 1]
                     if len(context) < w + length - 1:
                         continue  # of another text with the same doc_id
                     sums = prefix_sums(byte_symbols(context))
-                    at = np.arange(len(context) - gram + 1)
-                    p = int(np.argmax(stretch_hash(sums, at, at + gram).view(np.int64) == a))
-                    for col, v in zip(rows, (_as_key(context[p:]), _as_key(context[p + gram :]), a, doc, s, w, p, context), strict=True):
+                    at = np.arange(length - gram + 1)
+                    own = stretch_hash(sums, at, at + gram)
+                    p = picked(own)
+                    a = int(own[p : p + 1].view(np.int64)[0])
+                    for col, v in zip(rows, (_as_key(context[p:]), _as_key(context[p + gram :]), _as_key(context[max(0, p - 8) : p][::-1]), a, doc, s, w, p, context), strict=True):
                         col.append(v)
             if rows[0]:
-                types = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["lead", "next", "a", "doc", "s", "w", "p", "context"])
+                types = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["lead", "next", "before", "a", "doc", "s", "w", "p", "context"])
 
     return batches
 
@@ -91,6 +93,29 @@ def multikey_sort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
+def _alike(x: np.ndarray, y: int, n: np.ndarray) -> np.ndarray:
+    """Whether the first n bytes (8 at most) of keys are those of y."""
+    n = np.minimum(n, 8)
+    return (n == 0) | (((x ^ y).view(U64) >> (U64(64) - U64(8) * np.maximum(n, 1).astype(U64))) == 0)
+
+
+def _at_ends(group: np.ndarray, after: np.ndarray, before: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which windows can equal one in the bucket before or behind.
+
+    Suffixes of a gram are in the order of what follows it, then of what stands before it. Windows that hold ``right``
+    bytes behind the gram are equal only if those are, so they stand together in that order, and beyond the bucket only
+    if they are the same at its first or last suffix; likewise the ``left`` bytes, where all of the key behind is equal.
+    """
+    out = np.zeros(len(group), bool)
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        order = own[np.lexsort((before[own], after[own]))]
+        for end in (order[0], order[-1]):
+            follows = _alike(after[own], after[end], right[own])
+            out[own] |= follows & ((right[own] < 8) | _alike(before[own], before[end], left[own]))
+    return out
+
+
 def _bucket(length: int, gram: int):
     """Settle a bucket's suffixes; give the runs that go, and the windows at the bucket's ends with their hash."""
 
@@ -106,7 +131,7 @@ def _bucket(length: int, gram: int):
         if not got:
             return
         table = pa.Table.from_batches(got)
-        a, doc, s, w, p = (table[x].to_numpy() for x in ("a", "doc", "s", "w", "p"))
+        a, doc, s, w, p, after, before = (table[x].to_numpy() for x in ("a", "doc", "s", "w", "p", "next", "before"))
         contexts = table["context"].to_pylist()
         del table, got
         size = np.fromiter(map(len, contexts), np.int64, len(contexts))
@@ -162,6 +187,8 @@ def _bucket(length: int, gram: int):
                 b = np.flatnonzero(new)
                 yield rows(d[i[b]], place[i[b]], np.diff(np.append(b, len(i))))
             left = np.flatnonzero(edge[row] & ~goes)
+            if len(left):  # only those that can equal a window beyond the bucket's ends
+                left = left[_at_ends(of[left], after[k][row[left]], before[k][row[left]], nth[left] + length - gram - p[k][row[left]], p[k][row[left]] - nth[left])]
             for b in range(0, len(left), 100_000):
                 j = left[b : b + 100_000]
                 yield rows(d[j], place[j], np.ones(len(j), np.int64), a[k][row[j]], h[j].view(np.int64))
@@ -172,11 +199,11 @@ def _bucket(length: int, gram: int):
 
 def spans_to_remove(docs: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, s, w): runs of windows that also stand earlier. ``texts``: doc_id and text, dealt by doc_id."""
-    gone, look = repeated_runs(run_rows(docs, byte_symbols, length, gram, "place").drop("of_doc", "of_s").selectExpr("*", "CAST(NULL AS BIGINT) AS of_doc", "CAST(NULL AS INT) AS of_s"), "place")
-    looks = look.groupBy(F.col("doc").alias("look_doc")).agg(F.collect_list(F.struct("s", "w", "a")).alias("looks"))
-    joined = texts.join(looks.hint("shuffle_merge"), texts.doc_id == looks.look_doc, "left").where("looks IS NOT NULL").select(F.col("doc_id").alias("doc"), "text", "looks")
+    gone, look = repeated_runs(run_rows(docs, byte_symbols, length, gram, "place"), "place")
+    looks = by_document(look, "s", "w")
+    joined = texts.join(looks.hint("shuffle_merge"), texts.doc_id == looks.doc, "left").select(F.col("doc_id").alias("doc"), "text", "spans")
     suffixes = map_batches(joined, _suffixes(length, gram), SUFFIX)
-    dealt = suffixes.repartitionByRange(F.col("lead"), F.col("a"), F.col("next"), F.col("doc"), F.col("s"))
+    dealt = suffixes.repartitionByRange(F.col("lead"), F.col("a"), F.col("next"), F.col("before"), F.col("doc"), F.col("s"))
     found = map_batches(dealt, _bucket(length, gram), FOUND)
     inside = found.where("h IS NULL").select("doc", "s", "w")
     ends = found.where("h IS NOT NULL")
