@@ -379,7 +379,8 @@ def fc_recursive(best: DataFrame, frame: DataFrame, horizon: int = HORIZON) -> D
                 F.when(F.col("model") == "naive_last", F.col("h1"))
                 .when(F.col("model") == "mean_last_3", (F.col("h1") + F.col("h2") + F.col("h3")) / 3)
                 .when(F.col("model") == "linear_trend", trend_fit)
-                .otherwise(trend_fit + s)
+                .when(F.col("model") == "seasonal_trend", trend_fit + s)
+                .otherwise(F.raise_error(F.concat(F.lit("no recursive form of model "), F.coalesce("model", F.lit("null")))).cast("double"))
             )
             st = st.withColumn(f"_p{step}", F.bround(F.greatest(pred, F.lit(0.0)), 0)).withColumn(
                 f"_d{step}", month_end

@@ -17,6 +17,7 @@ from stockroom.functions.normalize import is_blank, literal_rows
 from stockroom.operators.prefix_sum import running_sum_desc
 from stockroom.operators.scope import Scope, day_between, in_active_dataset, period_days
 from stockroom.operators.snapshot import latest_snapshot
+from stockroom.session import path_exists
 
 # fixed values: service level (percent, as text) -> z score; anything else -> 1.65
 Z_BY_SERVICE_LEVEL = {"90": 1.28, "95": 1.65, "97.5": 1.96, "99": 2.33}
@@ -59,13 +60,13 @@ def abc_input(raw: DataFrame, datasets: DataFrame, items: DataFrame, scope: Scop
     )
 
 
-def abc_classify(df: DataFrame, threshold: int = 10_000) -> DataFrame:
+def abc_classify(df: DataFrame) -> DataFrame:
     """Value share, running share (value desc, item id asc) and class A <= 0.8 < B <= 0.95 < C.
 
     ``annual_value`` should be DECIMAL; the running sum is the two-level prefix sum.
     """
     total = df.agg(F.sum("annual_value").alias("_total"))
-    ran = running_sum_desc(df, "annual_value", "item_id", "_running", threshold=threshold)
+    ran = running_sum_desc(df, "annual_value", "item_id", "_running")
     j = ran.crossJoin(F.broadcast(total))  # one row: the global total
     t = F.col("_total").cast("double")
     share = F.when(t > 0, F.col("annual_value").cast("double") / t).otherwise(F.lit(0.0))
@@ -107,10 +108,7 @@ def abc_snapshot_write(lines: DataFrame, base_path: str, scope: Scope, snapshot_
     spark = lines.sparkSession
     headers_path = os.path.join(base_path, "headers")
     if snapshot_id is None:
-        try:
-            last = spark.read.parquet(headers_path).agg(F.max("snapshot_id")).first()[0]
-        except Exception:  # no snapshot yet
-            last = None
+        last = spark.read.parquet(headers_path).agg(F.max("snapshot_id")).first()[0] if path_exists(spark, headers_path) else None
         snapshot_id = (last or 0) + 1
     out = lines.select(
         F.col("storage_item_id").alias("item_id"),

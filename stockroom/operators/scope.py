@@ -166,14 +166,16 @@ def forecast_items(raw: DataFrame, datasets: DataFrame, item_cfg: DataFrame, cut
 
 
 def adhoc_scoped_sql(spark: SparkSession, sql: str, raw: DataFrame, datasets: DataFrame,
-                     view_name: str = "raw_inventory_v", limit: int = 200) -> DataFrame:
+                     view_name: str = "raw_inventory_v", limit: int | None = None) -> DataFrame:
     """Run a user SELECT where the fact view resolves to the active dataset only.
 
     The view is a temp view of the pre-filtered DataFrame, so Catalyst pushes the dataset
-    filter under whatever the user wrote; the result is always capped at ``limit`` rows.
+    filter under whatever the user wrote. ``limit`` caps the result only where a caller asks
+    for it; a LIMIT the user wrote is never cut.
     """
     in_active_dataset(raw, datasets).createOrReplaceTempView(view_name)
-    return spark.sql(sql).limit(limit)
+    out = spark.sql(sql)
+    return out if limit is None else out.limit(limit)
 
 
 def period_days(start: str | None, end: str | None) -> int:

@@ -219,7 +219,7 @@ WHERE item_id IS NOT NULL AND COALESCE(issues_qty, 0) > 0
 
 ORACLE["adhoc_scoped_sql"] = with_("""
 SELECT location_id, event_type, COUNT(*) AS n, SUM(quantity) AS quantity
-FROM raw_active GROUP BY location_id, event_type LIMIT 200""", "raw_active")
+FROM raw_active GROUP BY location_id, event_type""", "raw_active")
 
 # ---------------------------------------------------------------- 2.3 snapshot KPIs
 ORACLE["latest_snapshot"] = with_("""

@@ -41,33 +41,11 @@ _SCHEMAS = {
 }
 _TABLES = list(_SCHEMAS)
 
-# inputs below this size with fewer files than task slots are spread before the first exchange
-SPREAD_MAX_BYTES = 256 * 1024 * 1024
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in _SCHEMAS:
         raise ValueError(f"unknown driver table {name!r}")
-    df = spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_scan(df)
-
-
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Parallelism guard for small inputs held in fewer files than task slots.
-
-    A parquet file with a single row group is read by a single task, and everything
-    before the first exchange (joins to broadcast dimensions, parsing, the map-side
-    top-1 sort) would run on one core. Only for such small inputs (size from the
-    logical plan's statistics, no job) the scan is spread round-robin over the default
-    parallelism; a large table is never touched, so there is no extra exchange at scale.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= target:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SPREAD_MAX_BYTES:
-        return df
-    return df.repartition(target)
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _event_type_from_flag(flag: Column) -> Column:

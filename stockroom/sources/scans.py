@@ -61,13 +61,19 @@ def scan_error(active_dataset: str) -> Column:
         (~F.upper(_v("event_type")).isin(*ALLOWED_EVENT_TYPES), EVENT_TYPE_MESSAGE),
         (_v("quantity") == "", "quantity is required"),
         (F.try_to_timestamp(ts).isNull(), "event_time_stamps must be ISO-like datetime"),
-        (F.try_to_date(_v("date"), "yyyy-MM-dd").isNull(), "date must be YYYY-MM-DD"),
+        (_scan_date().isNull(), "date must be YYYY-MM-DD"),
         (~_is_finite_number(_v("item_id")), "item_id must be numeric"),
         (~_is_finite_number(_v("quantity")), "quantity must be numeric"),
     ]
     return F.coalesce(*[F.when(cond, F.lit(msg)) for cond, msg in rules])
 
 
+def _scan_date():
+    """A plain date, or the day of an ISO date-time."""
+    timed = F.when(_v("date").rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d"), F.try_to_timestamp(F.regexp_replace(_v("date"), " ", "T")))
+    return F.coalesce(F.try_to_date(_v("date"), "yyyy-MM-dd"), F.to_date(timed))
+
+
 def scan_validate(df: DataFrame, active_dataset: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """I2 + I3: (valid rows, quarantine rows, other-dataset rows).
 
@@ -83,9 +89,9 @@ def scan_validate(df: DataFrame, active_dataset: str) -> tuple[DataFrame, DataFr
     valid = tagged.filter(F.col("_error").isNull()).select(
         _v("scan_id").alias("scan_id"),
         F.try_to_timestamp(F.regexp_replace(_v("event_time_stamps"), " ", "T")).cast("timestamp_ntz").alias("event_ts"),
-        F.try_to_date(_v("date"), "yyyy-MM-dd").alias("date"),
+        _scan_date().alias("date"),
         _v("dataset_id").alias("dataset_id"),
-        F.floor(_v("item_id").try_cast("double")).cast("bigint").alias("item_id"),
+        _v("item_id").try_cast("double").cast("bigint").alias("item_id"),
         _v("item_name").alias("item_name"),
         F.upper(_v("location_id")).alias("location_id"),
         F.upper(_v("event_type")).alias("event_type"),

@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stockroom.functions import normalize as N
@@ -86,8 +87,9 @@ def test_prefix_sum_buckets_equal_single_window_with_hot_value(spark):
         F.col("id").alias("item_id"),
         F.when(F.col("id") % 3 == 0, F.lit(50)).otherwise(F.col("id") % 97).cast("decimal(18,2)").alias("v"),
     )
-    plain = running_sum_desc(df, "v", "item_id", "run", threshold=10 ** 9)
-    bucketed = running_sum_desc(df, "v", "item_id", "run", threshold=10, buckets=16, samples_per_bucket=20)
+    whole = Window.orderBy(F.col("v").desc(), F.col("item_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = df.withColumn("run", F.sum("v").over(whole))
+    bucketed = running_sum_desc(df, "v", "item_id", "run", buckets=16, samples_per_bucket=20)
     a = {r.item_id: r.run for r in plain.collect()}
     b = {r.item_id: r.run for r in bucketed.collect()}
     assert a == b
