@@ -1,3 +1,35 @@
 """DuckDB SQL for the registered queries of this package that SQL can express."""
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op2_debruijn_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 12, 0))) AS s FROM d),
+windows AS (SELECT doc_id, s, array_to_string(list_slice(ws, s + 1, s + 13), ' ') AS g FROM starts),
+firsts AS (SELECT g, min(doc_id) AS m FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, s + o.o AS p FROM windows JOIN firsts USING (g), (SELECT unnest(range(0, 13)) AS o) o WHERE doc_id > m),
+words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+# base32 of the SHA-1: the 40 hex digits as 160 bits, five at a time
+ORACLE_SQL["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+hexed AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h FROM p),
+bits AS (
+  SELECT page_id, n, array_to_string(list_transform(range(1, 41), lambda i: substr(
+    '0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', substr(h, i, 1)) - 1) + 1, 4)), '') AS b
+  FROM hexed),
+coded AS (
+  SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * CAST(substr(b, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(b, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(b, 5 * i + 3, 1) AS INT)
+      + 2 * CAST(substr(b, 5 * i + 4, 1) AS INT) + CAST(substr(b, 5 * i + 5, 1) AS INT), 1)), '') AS c
+  FROM bits),
+newest AS (SELECT *, max(page_id) OVER (PARTITION BY c) AS m FROM coded)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, c AS payload_digest, CASE WHEN m > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN m > page_id THEN m END AS refers_to
+FROM newest"""
