@@ -11,7 +11,7 @@ from stockroom.operators.scope import Scope, day_between, filter_events, filter_
 
 def money(col: Column) -> Column:
     """Monetary amounts are summed as DECIMAL so totals do not depend on partition order."""
-    return col.cast("decimal(18,2)")
+    return col.cast("decimal(38,6)")
 
 
 def money_sum(col: Column) -> Column:

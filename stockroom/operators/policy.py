@@ -45,7 +45,7 @@ def abc_input(raw: DataFrame, datasets: DataFrame, items: DataFrame, scope: Scop
         F.min(F.when(has_id, F.col("item_id").cast("bigint"))).alias("item_id"),
         F.min(F.when(has_id, F.trim("item_name"))).alias("item_name"),
         F.sum(F.when(in_period, F.coalesce("issues_qty", F.lit(0.0)))).alias("annual_qty"),
-        F.sum(F.when(in_period, F.coalesce("annual_consumption_value", F.lit(0.0)).cast("decimal(18,2)"))).alias(
+        F.sum(F.when(in_period, F.coalesce("annual_consumption_value", F.lit(0.0)).cast("decimal(38,6)"))).alias(
             "annual_value"
         ),
     ).filter(F.col("item_id").isNotNull())
@@ -156,7 +156,7 @@ def abc_snapshot_read(
     disp_name = F.coalesce("m_item_name", "i_item_name", F.col("item_id").cast("string"))
     g = j.groupBy(disp_id.alias("item_id"), disp_name.alias("item_name")).agg(
         F.sum(F.col("annual_qty")).alias("annual_qty"),
-        F.sum(F.col("annual_value").cast("decimal(18,2)")).alias("annual_value"),
+        F.sum(F.col("annual_value").cast("decimal(38,6)")).alias("annual_value"),
     )
     return abc_classify(g)
 

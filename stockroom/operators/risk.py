@@ -105,11 +105,11 @@ def risks_by_category(latest: DataFrame) -> DataFrame:
 def procurement_kpis(latest: DataFrame, supplier_scores: DataFrame) -> DataFrame:
     """Average supplier score, risks with p >= 4 and i >= 4, total risk cost (NULL when empty)."""
     s = supplier_scores.agg(
-        (F.sum(F.col("total_score").cast("decimal(18,2)")).cast("double") / F.count("total_score")).alias("_avg")
+        (F.sum(F.col("total_score").cast("decimal(38,6)")).cast("double") / F.count("total_score")).alias("_avg")
     ).select(F.round("_avg", 6).alias("avg_supplier_score"))
     r = latest.agg(
         F.count_if((F.col("probability") >= 4) & (F.col("impact") >= 4)).alias("high_risk_count"),
-        F.sum(F.col("cost").cast("decimal(18,2)")).cast("double").alias("total_risk_cost"),
+        F.sum(F.col("cost").cast("decimal(38,6)")).cast("double").alias("total_risk_cost"),
     )
     return s.crossJoin(r)  # two one-row aggregates
 

@@ -45,7 +45,7 @@ def latest_space(space: DataFrame, locations: DataFrame) -> DataFrame:
 def labor_daily(labor: DataFrame) -> DataFrame:
     """Units, hours and units/hour per day (2 dp; 0 without hours)."""
     g = labor.groupBy(F.col("metric_date").alias("date")).agg(
-        F.coalesce(F.sum(F.col("units_moved").cast("decimal(18,2)")), F.lit(0)).cast("double").alias("_u"),
+        F.coalesce(F.sum(F.col("units_moved").cast("decimal(38,6)")), F.lit(0)).cast("double").alias("_u"),
         F.coalesce(F.sum("labor_hours"), F.lit(0.0)).alias("_h"),
     )
     return g.select(
@@ -59,7 +59,7 @@ def labor_daily(labor: DataFrame) -> DataFrame:
 def labor_overall(labor: DataFrame) -> DataFrame:
     """Totals; the rate is computed from the rounded totals."""
     a = labor.agg(
-        F.round(F.coalesce(F.sum(F.col("units_moved").cast("decimal(18,2)")), F.lit(0)).cast("double"), 2).alias("items"),
+        F.round(F.coalesce(F.sum(F.col("units_moved").cast("decimal(38,6)")), F.lit(0)).cast("double"), 2).alias("items"),
         F.round(F.coalesce(F.sum("labor_hours"), F.lit(0.0)), 2).alias("hours"),
     )
     return a.withColumn("rate", F.when(F.col("hours") > 0, F.round(F.col("items") / F.col("hours"), 2)).otherwise(F.lit(0.0)))
