@@ -278,3 +278,18 @@ def test_risk_cells_flat_and_nested_agree(spark):
     assert nested == {(4.0, 4.0): ("2 risks", 2, ["R1", "R2"]), (1.0, 2.0): ("R3", 1, ["R3"])}
     zones = {(r.probability, r.impact): r.zone for r in risk.risk_zone(risk.risk_matrix_cells(latest)).collect()}
     assert zones == {(4.0, 4.0): "High", (1.0, 2.0): "Low"}
+
+
+def test_adhoc_sql_keeps_the_users_limit(spark):
+    from stockroom.operators.scope import adhoc_scoped_sql
+
+    raw = spark.range(1000).selectExpr("'d1' AS dataset_id", "id AS item_id")
+    datasets = spark.createDataFrame([("d1", True, dt.datetime(2024, 1, 1))], "dataset_id string, is_active boolean, imported_at timestamp_ntz")
+    assert adhoc_scoped_sql(spark, "SELECT * FROM raw_inventory_v LIMIT 500", raw, datasets).count() == 500
+    assert adhoc_scoped_sql(spark, "SELECT * FROM raw_inventory_v", raw, datasets).count() == 1000
+
+
+def test_money_below_a_cent_counts(spark):
+    from stockroom.operators.movement import money_sum
+
+    assert spark.range(1000).select(F.lit(0.004).alias("c")).agg(money_sum(F.col("c"))).first()[0] == 4.0
