@@ -229,3 +229,24 @@ def docs_extra():
     from pyspark.sql import functions as F
 
     return F.lit("x")
+
+
+def test_bitmaps_never_refute_a_link(spark):
+    """The bound of the bitmaps holds for any pair of sets; pairs without a bitmap are allowed."""
+    from pyspark.sql import functions as F
+
+    from stockroom.llm.ngram_join import bitmaps_allow, parity_bitmap
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for size in (1, 4, 40, 400, 6000):
+        base = rng.integers(-(2**63), 2**63, size)
+        for lost in (0.0, 0.1, 0.14, 0.25, 0.6):
+            a, b = (np.unique(base[rng.random(size) >= lost]) for _ in range(2))
+            common = len(np.intersect1d(a, b))
+            links = 100 * common >= 75 * (len(a) + len(b) - common)
+            rows.append((len(a), len(b), parity_bitmap(a).tolist(), parity_bitmap(b).tolist(), bool(links)))
+    df = spark.createDataFrame(rows, "n int, m int, bits array<long>, other array<long>, links boolean")
+    got = df.select("links", bitmaps_allow(df.n, df.m, df.bits, df.other).alias("allowed"), bitmaps_allow(df.n, df.m, df.bits, F.lit(None).cast("array<long>")).alias("unknown")).collect()
+    assert all(r.allowed for r in got if r.links) and any(not r.allowed for r in got)
+    assert all(r.unknown for r in got)
