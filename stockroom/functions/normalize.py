@@ -55,11 +55,6 @@ def js_round(col: Column | str) -> Column:
     return F.floor(_c(col) + F.lit(0.5)).cast("bigint")
 
 
-def safe_ratio(num: Column, den: Column) -> Column:
-    """num/den, 0 when the denominator is NULL or 0 (ANSI mode would raise on /0)."""
-    return F.when(den.isNull() | (den == 0), F.lit(0.0)).otherwise(num.cast("double") / den.cast("double"))
-
-
 def parse_number(col: Column | str) -> Column:
     """Strip, drop thousands commas, blank/'null' -> NULL, unparsable -> NULL."""
     s = F.regexp_replace(F.trim(_c(col).cast("string")), ",", "")
