@@ -250,3 +250,35 @@ def test_bitmaps_never_refute_a_link(spark):
     got = df.select("links", bitmaps_allow(df.n, df.m, df.bits, df.other).alias("allowed"), bitmaps_allow(df.n, df.m, df.bits, F.lit(None).cast("array<long>")).alias("unknown")).collect()
     assert all(r.allowed for r in got if r.links) and any(not r.allowed for r in got)
     assert all(r.unknown for r in got)
+
+
+def test_ngram_join_beside_crowded_groups(spark, monkeypatch):
+    """Near copies that stand half inside a crowded group, with few stars: every link is found by the last step."""
+    from stockroom.llm import ngram_join as op
+
+    monkeypatch.setattr(op, "FREQUENT", 3)
+    monkeypatch.setattr(op, "STARS", 1)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(4000)]
+    shared = rng.sample(words, 12)
+    texts = []
+    for _ in range(25):
+        own = rng.sample(words, 60)
+        texts += [" ".join(shared + own), " ".join(shared[: rng.randrange(13)] + own), " ".join(own[rng.randrange(12) :] + rng.sample(words, 3))]
+    rng.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    top = list(range(len(texts)))
+
+    def root(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                lo, hi = sorted((root(a), root(b)))
+                top[hi] = lo
+    got = op.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: root(k) for k in range(len(texts))}
+    assert len({root(k) for k in range(len(texts))}) < len(texts)
