@@ -1,7 +1,7 @@
 """Suffix-array dedup: remove every byte covered by a ``length``-byte string that also starts earlier.
 
 A sparse suffix array: the suffixes that start at anchors (the picked gram of each window, see ``grams``) are
-range-partitioned by their leading bytes with sampled splitters, each bucket sorts its own by multikey quicksort and
+range-partitioned by their gram's bytes, then what follows it, with sampled splitters, each bucket sorts its own by multikey quicksort and
 settles the windows of neighbours that share the gram, and what stands at a bucket's two ends is compared across the
 boundaries. Runs of windows whose whole surroundings repeat are settled beforehand, by aggregates alone.
 
@@ -29,7 +29,7 @@ LENGTH = 100
 GRAM = 32
 #: Windows compared at once in a bucket (a gram with more of them is still taken whole).
 BLOCK = 1_000_000
-SUFFIX = "lead long, next long, before long, a long, doc long, s int, w int, p int, context binary"
+SUFFIX = "lead binary, next long, before long, a long, doc long, s int, w int, p int, context binary"
 FOUND = "doc long, s int, w int, a long, h long"
 
 
@@ -62,10 +62,10 @@ def _suffixes(length: int, gram: int):
                     own = stretch_hash(sums, at, at + gram)
                     p = picked(own)
                     a = int(own[p : p + 1].view(np.int64)[0])
-                    for col, v in zip(rows, (_as_key(context[p:]), _as_key(context[p + gram :]), _as_key(context[max(0, p - 8) : p][::-1]), a, doc, s, w, p, context), strict=True):
+                    for col, v in zip(rows, (context[p : p + gram], _as_key(context[p + gram :]), _as_key(context[max(0, p - 8) : p][::-1]), a, doc, s, w, p, context), strict=True):
                         col.append(v)
             if rows[0]:
-                types = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
+                types = [pa.binary()] + [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["lead", "next", "before", "a", "doc", "s", "w", "p", "context"])
 
     return batches
@@ -203,7 +203,8 @@ def spans_to_remove(docs: DataFrame, texts: DataFrame, length: int = LENGTH, gra
     looks = by_document(look, "s", "w")
     joined = texts.join(looks.hint("shuffle_merge"), texts.doc_id == looks.doc, "left").select(F.col("doc_id").alias("doc"), "text", "spans")
     suffixes = map_batches(joined, _suffixes(length, gram), SUFFIX)
-    dealt = suffixes.repartitionByRange(F.col("lead"), F.col("a"), F.col("next"), F.col("before"), F.col("doc"), F.col("s"))
+    # by the bytes that a bucket sorts by, so that only its first and last gram can go on in another
+    dealt = suffixes.repartitionByRange(F.col("lead"), F.col("next"), F.col("before"), F.col("doc"), F.col("s"))
     found = map_batches(dealt, _bucket(length, gram), FOUND)
     inside = found.where("h IS NULL").select("doc", "s", "w")
     ends = found.where("h IS NOT NULL")

@@ -282,3 +282,35 @@ def test_ngram_join_beside_crowded_groups(spark, monkeypatch):
     got = op.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {k: root(k) for k in range(len(texts))}
     assert len({root(k) for k in range(len(texts))}) < len(texts)
+
+
+def test_suffix_dedup_across_buckets(spark):
+    """Many grams that share their first eight bytes, dealt to many buckets: equal windows meet across the boundaries."""
+    from stockroom.llm.suffix_dedup import suffix_dedup
+
+    own = random.Random(3)
+
+    def bits(n: int) -> str:
+        return "".join("b" if own.random() < 0.06 else "a" for _ in range(n))
+
+    shared = [bits(130) for _ in range(12)]
+    texts = [f"{bits(20)}{p}{bits(20)}" for p in shared for _ in range(12)]
+    own.shuffle(texts)
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(t[s : s + 100])
+        want[i] = sum(gone), "".join(c for c, g in zip(t, gone) if not g)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: (r.n_removed, bytes(r.kept).decode()) for r in suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want and sum(x[0] for x in want.values()) > 0
