@@ -2,8 +2,10 @@
 
 Candidate blocks are the stretches around words that license notices use, as long to either side as a template is.
 Each is compressed alone and with the template as a zstandard raw dictionary; what the template saves, as a share of
-its own compressed size, ranks the templates. Those that save enough are held against the block word by word: the
-template is laid where it fits best, and the words that differ are counted and reported. Few differences confirm it.
+its own compressed size, ranks the templates. Those that save enough are held against the block word by word, the
+block longer at both ends by as many words as may differ: of all ways to lay the template into it, the one with the
+fewest words missing and added counts, and those words are reported. Words before and behind it are no differences; those
+that stand in place of the template's first or last words are. Few differences confirm it.
 Of confirmed templates that overlap in the text, the one that agrees in most words stays.
 
 Defined results. Words are lower-cased and stripped of punctuation at their ends. Null or empty texts and texts
@@ -19,7 +21,6 @@ import bisect
 import functools
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -90,7 +91,11 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str]) -> None:
         self.words = {k: words_of(t.encode()) for k, t in templates.items()}
-        self.longest = max(map(len, self.words.values()))
+        self.longest = max(n + int(n * DIFFERENT) for n in map(len, self.words.values()))
+        self.places: dict[str, dict[bytes, list[int]]] = {k: {} for k in self.words}
+        for k, own in self.words.items():
+            for j, w in enumerate(own):
+                self.places[k].setdefault(w, []).append(j)
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given, self.size = {}, {}
         for k, w in self.words.items():
@@ -98,8 +103,8 @@ class Scanner:
             self.size[k] = len(self.plain.compress(raw))
             self.given[k] = zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
-    def ranked(self, words: list[bytes], cue: int) -> list[tuple[float, str, int]]:
-        """(share saved, template, place of its block) around a cue, best first."""
+    def ranked(self, words: list[bytes], cue: int) -> list[tuple[float, str]]:
+        """(share saved, template) of the blocks around a cue, best first."""
         out, alone = [], {}
         for name, own in self.words.items():
             n = len(own)
@@ -107,23 +112,46 @@ class Scanner:
             raw = b" ".join(words[lo : cue + n + 1])
             if n not in alone:
                 alone[n] = len(self.plain.compress(raw))
-            out.append(((alone[n] - len(self.given[name].compress(raw))) / self.size[name], name, lo))
+            out.append(((alone[n] - len(self.given[name].compress(raw))) / self.size[name], name))
         return sorted(out, reverse=True)
 
-    def differences(self, name: str, block: list[bytes]) -> tuple[int, int, list[str]]:
-        """(place, number of words that differ, those words: '-' missing, '+' added) where the template fits best."""
-        own = self.words[name]
-        match = SequenceMatcher(None, block, own, autojunk=False)
-        best = max(match.get_matching_blocks(), key=lambda m: m.size)
-        lo = max(0, best.a - best.b)
-        part = block[lo : lo + len(own) + int(len(own) * DIFFERENT) + 1]
-        found = [op for op in SequenceMatcher(None, part, own, autojunk=False).get_opcodes() if op[0] != "equal"]
-        if found and found[-1][2] == len(part) and found[-1][3] == found[-1][4]:
-            found.pop()  # what follows the template is no difference
-        if found and found[0][1] == 0 and found[0][3] == found[0][4] and found[0][0] == "delete":
-            lo += found.pop(0)[2]
-        changed = [f"-{w.decode()}" for _, _, _, a, b in found for w in own[a:b]] + [f"+{w.decode()}" for _, a, b, _, _ in found for w in part[a:b]]
-        return lo, len(changed), changed
+    def differences(self, name: str, block: list[bytes], cue: int) -> list[tuple[int, int, list[str], bool]]:
+        """(place, number of words that differ, those words: '-' missing, '+' added; whether it holds the cue) where the
+        template fits best: around the cue, wholly before it, and wholly behind it, if it fits well enough there."""
+        own, places = self.words[name], self.places[name]
+        n, limit = len(own), int(len(self.words[name]) * DIFFERENT)
+        # chains of equal words, by the pair (place in the block, place in the template) that they end with
+        reached: dict[tuple[int, int], tuple[int, int, tuple[int, int] | None]] = {}  # (differences, start, pair before)
+        best: dict[int, tuple[int, int, tuple[int, int]]] = {}
+        for i, word in enumerate(block):
+            for j in places.get(word, ()):
+                found = []
+                if j + min(i, j) <= limit:  # words in place of the template's first ones are added
+                    found.append((j + min(i, j), i - min(i, j), None))
+                for x in range(min(limit, i - 1) + 1):
+                    for y in range(min(limit - x, j - 1) + 1):
+                        had = reached.get((i - 1 - x, j - 1 - y))
+                        if had and had[0] + x + y <= limit:
+                            found.append((had[0] + x + y, had[1], (i - 1 - x, j - 1 - y)))
+                if not found:
+                    continue
+                reached[i, j] = now = min(found, key=lambda f: f[:2])
+                behind = min(n - 1 - j, len(block) - 1 - i)
+                differ = now[0] + n - 1 - j + behind
+                side = (now[1] > cue) - (i + behind < cue)
+                if differ <= limit and (side not in best or (differ, now[1]) < best[side][:2]):
+                    best[side] = (differ, now[1], (i, j))
+        out = []
+        for side, (differ, start, pair) in best.items():
+            kept, last = [], pair
+            while pair:
+                kept.append(pair)
+                pair = reached[pair][2]
+            same, agree = {i for i, _ in kept}, {j for _, j in kept}
+            end = last[0] + 1 + min(n - 1 - last[1], len(block) - 1 - last[0])
+            changed = [f"-{w.decode()}" for j, w in enumerate(own) if j not in agree] + [f"+{block[i].decode()}" for i in range(start, end) if i not in same]
+            out.append((start, differ, changed, side == 0))
+        return out
 
     def scan(self, raw: bytes) -> dict[str, tuple]:
         """license -> (differences, word place, share saved, changed words, places)."""
@@ -131,20 +159,22 @@ class Scanner:
             return {}
         words = words_of(raw)
         found: dict[tuple[int, str], tuple] = {}
-        known: dict[bytes, list[tuple]] = {}
+        known: dict[tuple[int, bytes], list[tuple]] = {}
         for cue in (i for i, w in enumerate(words) if has_cue(w)):
-            around = b" ".join(words[max(0, cue - self.longest) : cue + self.longest + 1])
+            before = min(cue, self.longest)
+            around = before, b" ".join(words[cue - before : cue + self.longest + 1])
             if around not in known:
                 known[around] = []
-                for saved, name, lo in self.ranked(words, cue):
+                for saved, name in self.ranked(words, cue):
                     if saved < SAVED:
                         break
-                    n = len(self.words[name])
-                    place, differ, changed = self.differences(name, words[lo : cue + n + 1])
-                    if differ <= n * DIFFERENT:
-                        known[around].append((lo + place - cue, name, differ, saved, changed))
-            for place, name, differ, saved, changed in known[around]:
-                found[cue + place, name] = (differ, saved, changed)
+                    n = len(self.words[name]) + int(len(self.words[name]) * DIFFERENT)
+                    lo = max(0, cue - n)
+                    for place, differ, changed, holds in self.differences(name, words[lo : cue + n + 1], cue - lo):
+                        known[around].append((lo + place - cue, name, differ, saved, changed, holds))
+            for place, name, differ, saved, changed, holds in known[around]:
+                if holds or (cue + place, name) not in found:
+                    found[cue + place, name] = (differ, saved, changed)
         taken, out = [], {}
         for (place, name), (differ, saved, changed) in sorted(found.items(), key=lambda x: (x[1][0] - len(self.words[x[0][1]]), x[1][0], x[0])):
             end = place + len(self.words[name])

@@ -314,3 +314,30 @@ def test_suffix_dedup_across_buckets(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == want and sum(x[0] for x in want.values()) > 0
+
+
+def test_license_scan_counts_each_word_once():
+    from stockroom.llm.license_scan import TEMPLATES, Scanner
+
+    scan, mit = Scanner(TEMPLATES), TEMPLATES["MIT"]
+    for added in ("by the authors", "by the authors listed", "by the authors listed below,", "by all the authors listed below,"):
+        got = scan.scan(f"{prose(30)} {mit.replace('free of charge,', 'free of charge, ' + added)} {prose(30)}".encode())
+        assert list(got) == ["MIT"] and got["MIT"][0] == len(added.split()) and got["MIT"][1] == 30
+        assert sorted(got["MIT"][3]) == sorted("+" + w.strip(",") for w in added.split())
+    assert not scan.scan(mit.replace("free of charge,", "free of charge, one two three four five six seven").encode())
+    got = scan.scan(f"{prose(30)} {mit.replace('free of charge, to any person', 'free of charge, to every')} {prose(30)}".encode())["MIT"]
+    assert got[0] == 3 and sorted(got[3]) == ["+every", "-any", "-person"]
+    got = scan.scan(f"{prose(30)} {mit.replace('following conditions:', 'following terms:')} {prose(30)}".encode())["MIT"]
+    assert got[0] == 2 and got[3] == ["-conditions", "+terms"]
+    # the only cue is the template's first word: words added behind it do not push its end out of the block
+    got = scan.scan(f"{prose(30)} {TEMPLATES['BSD'].replace('binary forms', 'all other binary forms')} {prose(30)}".encode())
+    assert list(got) == ["BSD"] and got["BSD"][:2] == (2, 30)
+    # a word in place of the last one is a word missing and a word added
+    assert not scan.scan(f"{prose(30)} {TEMPLATES['LGPL-3.0-notice'].replace('version 3', 'version 2.1')} {prose(30)}".encode())
+
+
+def test_license_scan_cues_of_a_short_text():
+    from stockroom.llm.license_scan import TEMPLATES, Scanner
+
+    got = Scanner(TEMPLATES).scan(f"license {prose(40)} Released under the MIT License.".encode())
+    assert list(got) == ["MIT-notice"] and got["MIT-notice"][:2] == (0, 41)
