@@ -341,3 +341,33 @@ def test_license_scan_cues_of_a_short_text():
 
     got = Scanner(TEMPLATES).scan(f"license {prose(40)} Released under the MIT License.".encode())
     assert list(got) == ["MIT-notice"] and got["MIT-notice"][:2] == (0, 41)
+
+
+def test_ngram_join_repeated_rows(spark):
+    """Rows that repeat a doc_id beside documents that have 40 to 80 % of their shingles in common."""
+    from stockroom.llm.ngram_join import ngram_join
+
+    own = random.Random(17)
+    words = [f"v{k}" for k in range(9000)]
+    rows, at = [], 0
+    for share in (0.4, 0.5, 0.55, 0.6, 0.65, 0.7, 0.74, 0.8, 0.86, 0.9):
+        for twice in ((True, False), (False, True), (True, True), (False, False)):
+            base, other = own.sample(words, 204), own.sample(words, 204)
+            keep = int(204 * share)
+            for again, t in zip(twice, (base, base[:keep] + other[keep:]), strict=True):
+                rows += [(at, " ".join(t))] * (2 if again else 1)
+                at += 1
+    # a doc_id with two texts, one of them a copy and the other a near copy; one with a blank text too; both texts new
+    a, b, c = (own.sample(words, 100) for _ in range(3))
+    rows += [(at, " ".join(a)), (at + 1, " ".join(b)), (at + 2, " ".join(a)), (at + 2, " ".join([*b, "end"]))]
+    rows += [(at + 3, " "), (at + 3, " ".join(c)), (at + 4, " ".join([*c, "end"])), (-1, " ".join(own.sample(words, 50))), (-1, " ".join([*a, "more"]))]
+    sets = [frozenset(_shingles(t.encode())) for _, t in rows]
+    reach = {i: i for i, _ in rows}
+    for _ in range(6):
+        for (i, _), x in zip(rows, sets, strict=True):
+            for (j, _), y in zip(rows, sets, strict=True):
+                if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                    reach[i] = reach[j] = min(reach[i], reach[j])
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((i, len(x), reach[i] if x else i) for (i, _), x in zip(rows, sets, strict=True))
+    assert {reach[at + k] for k in range(3)} == {-1}
