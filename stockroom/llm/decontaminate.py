@@ -1,8 +1,10 @@
 """Benchmark decontamination with DataFrame functions only: SimHash of item-sized windows, Hamming blocks, exact check.
 
-A window has as many words as an item (or is the whole document, if that is shorter) and stands so that a shingle it
-shares with an item of that length has the same place in both; windows that share no shingle have similarity 0 and
-are passed over. Equal windows are one. Each window and item gets a 64-bit SimHash of its shingles, weighted by how
+A window has as many words as an item (or is the whole document, if that is shorter). Looked at are the windows that stand
+so that a shingle shared with an item of that length has the same place in both, and those that begin with a shingle of
+the item and hold as many of its shingles as similarity 0.75 needs, in whatever order. Passed over are windows that hold
+fewer, and windows whose first shingle is not the item's: the next one, one word on, is at least as similar. Equal windows
+are one. Each window and item gets a 64-bit SimHash of its shingles, weighted by how
 often they occur. Fingerprints are cut into ``radius + 1`` blocks: two within the radius agree in a block at least,
 so joining on (length, block, value) finds all of them. Candidates are then held against the exact weighted
 similarity: shingles common to both over shingles in either, repeats counted.
@@ -12,7 +14,7 @@ The default radius of 20 is three standard deviations above the expected distanc
 Defined results. Words are lower-cased (A-Z), parted by ASCII white space and known by 64-bit hashes; a shingle has five of them, an item
 with fewer is one shingle. Null or blank texts, null ids: never reported. Rows that repeat a ``doc_id`` or an item
 are one. Of several windows of a document that hold an item, the most similar is reported, the first of those that
-tie. Other columns are ignored. An empty table on either side gives an empty result. Very long texts are read whole.
+tie of those looked at. Other columns are ignored. An empty table on either side gives an empty result. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -78,6 +80,19 @@ def _blocked(prints: DataFrame, radius: int) -> DataFrame:
     return prints.select("*", F.posexplode(values).alias("block", "value"))
 
 
+def crowded_starts(hits: DataFrame, item_grams: DataFrame) -> DataFrame:
+    """(doc_id, n, k, s): places of an item's shingles from which on a window of the item's size holds as many of them as
+    similarity 0.75 needs, in any order. Places near the end stand for the last window."""
+    own = item_grams.select("k", "h", "n", "of").distinct()
+    held = hits.join(own, ["k", "h"]).groupBy("doc_id", "of", "n", "k").agg(F.sort_array(F.collect_list("at")).alias("at"))  # bounded by a document's length
+    size = F.col("n") - F.col("k") + 1
+    # two sets of ``size`` with c in common are alike from c / (2 size - c) = 0.75 on
+    held = held.withColumn("needed", F.ceil(size * (2 * NEAR[0]) / (NEAR[0] + NEAR[1])).cast("int")).where(F.size("at") >= F.col("needed"))
+    ahead = F.slice("at", F.col("needed"), F.size("at"))  # the shingle with which a place's window has enough
+    near = F.filter(F.arrays_zip(F.col("at").alias("s"), ahead.alias("last")), lambda x: x["last"] - x["s"] < size)
+    return held.select("doc_id", "n", "k", F.explode(near).alias("w")).select("doc_id", "n", "k", F.col("w.s").alias("s"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, word_start, n_words, hamming, similarity): documents that hold an item, with the best window."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("words")).where("doc_id IS NOT NULL")
@@ -100,8 +115,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) ->
         hits = part if hits is None else hits.unionByName(part)
     hits = materialize(hits, "shared-shingles")
     places = item_grams.select("k", "h", "n", F.col("at").alias("item_at"))
-    starts = hits.join(places, ["k", "h"]).select("doc_id", "n", "k", F.greatest(F.col("at") - F.col("item_at"), F.lit(0)).alias("s")).distinct()
-    starts = materialize(starts, "window-starts")
+    starts = hits.join(places, ["k", "h"]).select("doc_id", "n", "k", F.greatest(F.col("at") - F.col("item_at"), F.lit(0)).alias("s"))
+    starts = materialize(starts.unionByName(crowded_starts(hits, item_grams)).distinct(), "window-starts")
 
     wanted = starts.groupBy("doc_id").agg(F.collect_set(F.struct("s", "n", "k")).alias("windows"))  # bounded by a document's length
     few = starts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

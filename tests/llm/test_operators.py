@@ -371,3 +371,35 @@ def test_ngram_join_repeated_rows(spark):
     got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((i, len(x), reach[i] if x else i) for (i, _), x in zip(rows, sets, strict=True))
     assert {reach[at + k] for k in range(3)} == {-1}
+
+
+def test_decontaminate_parts_in_another_order(spark):
+    """Items whose parts stand in another order inside longer documents, against all windows."""
+    from stockroom.llm.decontaminate import contaminated
+
+    own = random.Random(23)
+
+    def fresh(n: int) -> list[str]:
+        return [f"u{own.randrange(10**9)}" for _ in range(n)]
+
+    items, docs = {}, {}
+    for i, n in enumerate((40, 60, 80, 120, 200)):
+        w = fresh(n)
+        items[i] = w
+        for part in (0.5, 0.3, 0.9):
+            cut = int(n * part)
+            docs[len(docs)] = [*fresh(30), *w[cut:], *w[:cut], *fresh(25)]
+            docs[len(docs)] = [*fresh(30), *w[cut:], *w[:cut]]
+            docs[len(docs)] = [*w[cut:], *w[:cut], *fresh(30)]
+        docs[len(docs)] = [*fresh(20), *w[: n // 3], *fresh(2), *w[n // 3 :], *fresh(20)]
+    grams = lambda w: Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    want = {}
+    for d, w in docs.items():
+        for i, item in items.items():
+            g = grams(item)
+            best = max(sum((c & g).values()) / sum((c | g).values()) for c in (grams(w[s : s + len(item)]) for s in range(max(1, len(w) - len(item) + 1))))
+            if best >= 0.75:
+                want[d, i] = best
+    table = lambda x, key: spark.createDataFrame([(k, " ".join(w)) for k, w in x.items()], f"{key} long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(table(docs, "doc_id"), table(items, "item_id")).collect()}
+    assert set(got) == set(want) and len(want) > 40 and all(abs(got[k] - want[k]) < 1e-9 for k in got)
