@@ -4,8 +4,8 @@ A window has as many words as an item (or is the whole document, if that is shor
 so that a shingle shared with an item of that length has the same place in both, and those that begin with a shingle of
 the item and hold as many of its shingles as similarity 0.75 needs, in whatever order. Passed over are windows that hold
 fewer, and windows whose first shingle is not the item's: the next one, one word on, is at least as similar. Equal windows
-are one. Each window and item gets a 64-bit SimHash of its shingles, weighted by how
-often they occur. Fingerprints are cut into ``radius + 1`` blocks: two within the radius agree in a block at least,
+are one. Each window and item gets a 64-bit SimHash of its shingles; of one that occurs again, each
+occurrence counts as a shingle of its own, as in the similarity. Fingerprints are cut into ``radius + 1`` blocks: two within the radius agree in a block at least,
 so joining on (length, block, value) finds all of them. Candidates are then held against the exact weighted
 similarity: shingles common to both over shingles in either, repeats counted.
 
@@ -55,7 +55,13 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def fingerprints(shingles: DataFrame, keys: list[str]) -> DataFrame:
-    """SimHash of each group of (*keys, h): the bits that more than half of the hashes have. Two bits are counted in each sum."""
+    """SimHash of each group of (*keys, h): the bits that more than half of the hashes have. Two bits are counted in each sum.
+
+    Occurrences of a shingle beyond the first have hashes of their own: the similarity of sets holds for them, and with
+    it the distance that the radius allows for."""
+    counts = shingles.groupBy(*keys, "h").agg(F.count("*").cast("int").alias("c"))
+    nth = counts.select(*keys, "h", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("nth"))
+    shingles = nth.withColumn("h", F.when(F.col("nth") == 1, F.col("h")).otherwise(F.xxhash64("h", "nth")))
     mask = (1 << 32) | 1
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(mask))).alias(f"b{i}") for i in range(32)]
     counted = shingles.groupBy(*keys).agg(F.count("*").alias("m"), *sums)

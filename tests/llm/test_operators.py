@@ -403,3 +403,14 @@ def test_decontaminate_parts_in_another_order(spark):
     table = lambda x, key: spark.createDataFrame([(k, " ".join(w)) for k, w in x.items()], f"{key} long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(table(docs, "doc_id"), table(items, "item_id")).collect()}
     assert set(got) == set(want) and len(want) > 40 and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_decontaminate_before_equal_words(spark):
+    """Items of which the larger part stands before many equal words: weighted similarity 0.75."""
+    from stockroom.llm.decontaminate import contaminated
+
+    own = random.Random(29)
+    items = [(i, [f"u{own.randrange(10**9)}" for _ in range(200)]) for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join([*w[:172], *["|"] * 40])) for i, w in items], "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.word_start, r.similarity) for r in got) == [(i, i, 0, 0.75) for i in range(12)]
