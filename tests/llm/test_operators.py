@@ -414,3 +414,54 @@ def test_decontaminate_before_equal_words(spark):
     docs = spark.createDataFrame([(i, " ".join([*w[:172], *["|"] * 40])) for i, w in items], "doc_id long, text string")
     got = contaminated(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id, r.word_start, r.similarity) for r in got) == [(i, i, 0, 0.75) for i in range(12)]
+
+
+def test_pipeline_stages_keep_the_right_documents(spark, tmp_path):
+    """Each stage's doc_ids and texts on planted documents, against a brute-force version of the stage."""
+    import corpus_pipeline
+
+    def best(text: str, item: str) -> float:
+        w, own = text.lower().split(), item.lower().split()
+        grams = lambda x: Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4))
+        g = grams(own)
+        return max(((c := grams(w[s : s + len(own)])), sum((c & g).values()) / sum((c | g).values()))[1] for s in range(max(1, len(w) - len(own) + 1)))
+
+    item, passage = prose(30), prose(30)
+    rows = {i: prose(50) + "." if i % 3 else "junk | " * 40 for i in range(300)}
+    for i in (1, 2, 4, 40, 100):
+        rows[300 + i] = rows[i] + " tail."
+        rows[700 + i] = f"{prose(20)} {passage} {prose(20)}."
+        rows[1000 + i] = f"{prose(20)} {item} {prose(20)}."
+        rows[1300 + i] = f"{prose(20)} {' '.join(item.split()[:14])} {prose(20)}."  # too little of the item
+    labels = {i: int(t[:4] != "junk") for i, t in rows.items()}
+    spark.createDataFrame(list(labels.items()), "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t, len(t)) for i, t in rows.items()], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents")
+
+    good = {i: t for i, t in rows.items() if labels[i]}
+    sets = {i: set(_shingles(t.encode())) for i, t in good.items()}
+    reach = {i: i for i in good}
+    near = [(a, b) for a in good for b in good if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in range(4):
+        for a, b in near:
+            reach[a] = reach[b] = min(reach[a], reach[b])
+    single = {i: t for i, t in good.items() if reach[i] == i}
+    seen, cut = set(), {}
+    for i, t in sorted(single.items()):
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - 99):
+            if raw[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(raw[s : s + 100])
+        cut[i] = bytes(b for b, g in zip(raw, gone) if not g).decode("utf-8", "ignore")
+    clean = {i: t for i, t in cut.items() if best(t, item) < 0.75}
+    assert len(rows) > len(good) > len(single) > len(clean) and cut != single
+
+    kept = spark.read.parquet(f"{tmp_path}/documents")
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], (good, single, cut, clean), strict=True):
+        stage(spark, kept, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+        got = kept.collect()
+        assert len(got) == len(want) and {r.doc_id: r.text for r in got} == want, name
+        assert all(r.n_chars == len(r.text) for r in got), name
