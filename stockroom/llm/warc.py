@@ -6,7 +6,9 @@ blank lines as the separator, both gzipped), so any store that Spark reaches wil
 ``build_index`` scans the archives and sorts the captures by reversed-host URL key and page id; every sorted part is
 cut into compressed blocks, and the first key of each block is its entry in the sparse directory.
 ``read_captures`` finds keys: the part by its first keys, the block by binary search in the part's directory, the
-capture by binary search in the unpacked block; then it reads just the captures' byte ranges of each archive.
+capture by binary search in the unpacked block; then it unpacks just the captures' byte ranges of each archive. What is
+loaded is not restricted by that: Spark reads and shuffles all index blocks and all archives whole, however few captures
+are asked for.
 
 Defined results. Null html: empty payload. Null url: an empty target, key "-". Null page_id: a record without a page,
 that never is the one others revisit. Rows that repeat a page_id with the same payload are all kept with one type
