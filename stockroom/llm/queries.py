@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import materialize
+from .alignment import align
 from .bpe import bpe
 from .debruijn_dedup import substring_dedup
 from .decontaminate import contaminated
 from .license_scan import license_scan
 from .nearest import nearest
 from .ngram_join import ngram_join
+from .packing import pack
 from .quality import score, train, with_statistics
 from .sharding import shard
 from .suffix_dedup import suffix_dedup
+from .vector_codes import vector_codes
 from .warc import round_trip
 
 
@@ -65,7 +68,19 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))[0].drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_debruijn_dedup, op3_bpe, op4_quality, op5_ngram_join, op6_suffix_dedup, op7_license_scan, op8_nearest, op9_warc, op10_shards)
+    for f in (op1_decontaminate, op2_debruijn_dedup, op3_bpe, op4_quality, op5_ngram_join, op6_suffix_dedup, op7_license_scan, op8_nearest, op9_warc, op10_shards, op11_packing, op12_alignment, op13_vector_codes)
 }
