@@ -39,11 +39,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .bpe import byte_letters
 from .common import map_batches
 
 CAPACITY = 4096
@@ -53,37 +55,123 @@ END_ID = 1
 #: sequence; sizes that large lengths are rounded up to, at most; whether configurations leave room for small pieces.
 SCHEMES = ((3, 256, True), (4, 256, False), (8, 96, False), (16, 96, False), (2, 96, False))
 #: Different words that a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 PLACEMENT = "length long, first long, last long, sequence long, each long, at long"
 
 
+class _Seen(dict):
+    """Numbers words in order of appearance; ``new`` are those that are not encoded yet."""
+
+    def __init__(self, words=()) -> None:
+        super().__init__(words)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Words:
-    """Encodes texts as a tokenizers file does. Where its pattern drops white space, words between blanks and line
-    feeds are encoded on their own and remembered; other files get the text whole."""
+    """Encodes texts as a tokenizers file does.
+
+    Where its pattern drops white space, words between blanks and line feeds are encoded on their own and remembered.
+    If the file only composes, folds white space and case and marks word ends, words of printable Latin-1 letters
+    (which composing leaves alone) are lowered and split here, and the library merges many of them in one call: the
+    marked ends tell them apart. Other words, and other files' texts, go through the library whole.
+    """
 
     def __init__(self, source: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task a core already
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.apart = drops_space(json.loads(source))
-        self.seen: dict[str, bytes] = {"": b""}
+        data = json.loads(source)
+        self.apart, plain = drops_space(data), folds_case(data)
+        self.added = [t["content"] for t in data.get("added_tokens") or []]
+        if self.apart and plain:
+            pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            self.pattern = regex.compile(pattern)
+            bare = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+            self.merger = Tokenizer.from_str(json.dumps(data | bare))
+            self.letters = {b: c for c, b in byte_letters().items()} | {32: " "}
+            vocab = data["model"]["vocab"]
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(data["model"]["end_of_word_suffix"])]] = True
+        else:
+            self.pattern = None
+        self.seen, self.ids = _Seen({"": 0}), [b""]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def simple(self, text: str) -> bool:
+        """Whether the words of a text may be lowered and split here."""
+        return self.pattern is not None and text.isprintable() and (text.isascii() or max(text) < "\u0100") and not any(t in text for t in self.added)
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        found: list[bytes | None] = [None] * len(words)
+        places = range(len(words)) if self.simple("".join(words)) else [k for k, w in enumerate(words) if self.simple(w)]
+        lowered = " ".join([words[k] for k in places]).lower().split(" ") if places else []
+        counts = [1] * len(places)
+        for i, word in enumerate(lowered):
+            if not word.isalpha():
+                parts = self.pattern.findall(word)
+                lowered[i], counts[i] = " ".join(parts), len(parts)
+        for s in range(0, len(lowered), 1000):
+            block = " ".join(lowered[s : s + 1000])
+            if not block.isascii():
+                block = block.encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.merger.encode_batch_fast([block], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1]) * 4
+            until = np.cumsum([0, *counts[s : s + 1000]])
+            if len(cuts) == until[-1] + 1:  # as many ends as there are parts
+                raw, at = ids.tobytes(), cuts[until].tolist()
+                for k, a, b in zip(places[s : s + 1000], at[:-1], at[1:], strict=True):
+                    found[k] = raw[a:b]
+        rest = [k for k, x in enumerate(found) if x is None]
+        for k, x in zip(rest, self.whole([words[k] for k in rest]), strict=True):
+            found[k] = x
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (null: none) as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         if not self.apart:
-            return self.whole(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.seen) > REMEMBERED:
-            self.seen = {"": b""}
-        new = list({w for words in split for w in words}.difference(self.seen))
-        self.seen.update(zip(new, self.whole(new), strict=True))
-        return [b"".join(map(self.seen.__getitem__, words)) for words in split]
+            return self.whole(texts.to_pylist())
+        if len(self.ids) > REMEMBERED:  # the words met first are the common ones
+            self.seen, self.ids = _Seen(list(self.seen.items())[: REMEMBERED // 4]), self.ids[: REMEMBERED // 4]
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        numbers = list(map(self.seen.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        self.ids += self.learn(self.seen.new)
+        self.seen.new = []
+        own = [self.ids[n] for n in numbers]
+        flat, size = np.frombuffer(b"".join(own), "<u4"), np.array([len(x) // 4 for x in own], np.int64)
+        word = words.indices.to_numpy()
+        long = size[word]
+        until = np.concatenate([[0], np.cumsum(long)])
+        ids = flat[np.repeat((np.cumsum(size) - size)[word] - until[:-1], long) + np.arange(until[-1])]
+        cuts = until[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def folds_case(data: dict) -> bool:
+    """Whether all that the file does to a printable Latin-1 word is to lower it, to split it by the pattern and to
+    merge its bytes up to a marked end."""
+    normalizer, model = data.get("normalizer") or {}, data["model"]
+    steps = (data.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    composed = [(n["type"], (n.get("pattern") or {}).get("Regex"), n.get("content")) for n in normalizer.get("normalizers") or []]
+    bytes_ = [{k: s.get(k) for k in ("type", "add_prefix_space", "use_regex")} for s in steps[1:]]
+    return (
+        composed == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
+        and bytes_ == [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+        and model["type"] == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("dropout") and not model.get("ignore_merges")
+    )
 
 
 def drops_space(data: dict) -> bool:
@@ -126,7 +214,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         words, part, taken = words_of(source.value), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in it:
             rows: list[tuple] = []
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), words.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text")), strict=True):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     piece = raw[at : at + 4 * capacity]
