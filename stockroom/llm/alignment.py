@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,9 +42,13 @@ STEP = 1 << 16
 #: A block ends with so many different pairs, or so many (document, pair) entries.
 BLOCK_PAIRS, BLOCK_ENTRIES = 1 << 19, 1 << 22
 #: Different chunks that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 #: A blank between a character that is no blank and one that is no white space.
 BORDER = re.compile(r"(?<! ) (?=\S)")
+#: Texts that cannot be cut at every blank: white space after a blank, at the start, or a blank at the end. The first is
+#: for Arrow, whose \\s knows ASCII only; it names all that Python takes for white space.
+ODD = "( |^)([\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}])| $"
+IRREGULAR = re.compile(r"(?: |\A)\s| \Z|\A\Z")
 ALIGNED = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, pairs binary, times binary, number int, a int, b int, n long"
 
 
@@ -73,36 +78,96 @@ class Encoders:
         before = data.get("pre_tokenizer") or {}
         byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not data.get("normalizer")
         self.apart = bool(byte_level) and not any(re.search("[^▁]▁", p) for p in names)
-        self.seen_a: dict[str, bytes] = {}
-        self.seen_b: dict[str, bytes] = {}
-        self.unequal: set[str] = set()
+        self.seen: dict[str, int] = {}
+        self.ids_a: list[bytes] = []
+        self.ids_b: list[bytes] = []
+        self.unequal: list[bool] = []
         # a token's text in the groups: A followed by "," or "|", B by ",", ";" or nothing
         n_a, n_b = len(self.a_bytes), len(self.b_bytes)
         self.written = [f"{i}{end}" for end in ",|" for i in range(n_a)] + [f"{i}{end}" for end in (",", ";", "") for i in range(n_b)]
 
     def learn(self, chunks: list[str]) -> None:
-        for chunk, a, b in zip(chunks, self.a.encode_batch(chunks, add_special_tokens=False), self.b.encode([c[1:] for c in chunks], num_threads=1), strict=True):
-            ids, raw = a.ids, chunk.encode()
-            self.seen_a[chunk], self.seen_b[chunk] = np.array(ids, "<u4").tobytes(), np.array(b, "<u4").tobytes()
-            if b"".join([self.a_bytes[i] for i in ids]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-                self.unequal.add(chunk)
-
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of A and B for each text; none where the bytes differ."""
-        split: list[list[str]] = []
-        for t in texts:
-            if not t:
-                split.append([])
-            elif self.apart:
-                head, *rest = BORDER.split(" " + t)
-                split.append([head] * bool(head) + [" " + c for c in rest])
-            else:
-                split.append([" " + t])
-        if len(self.seen_a) > REMEMBERED:
-            self.seen_a, self.seen_b, self.unequal = {}, {}, set()
-        self.learn(list({c for chunks in split for c in chunks}.difference(self.seen_a)))
-        split = [[] if self.unequal and not self.unequal.isdisjoint(chunks) else chunks for chunks in split]
-        return tuple([np.frombuffer(b"".join(map(seen.__getitem__, chunks)), "<u4").astype(np.int64) for chunks in split] for seen in (self.seen_a, self.seen_b))
+        """Encode new chunks (given without their first blank). Regular ones are encoded many at a time: the bytes of
+        the tokens tell where each chunk ends."""
+        for s in range(0, len(chunks), 500):
+            own = chunks[s : s + 500]
+            raw = [(" " + c).encode() for c in own]
+            if not self.apart or IRREGULAR.search(" ".join(own)) or not self._learn_together(own, raw):
+                self._learn_each(own, raw)
+
+    def _learn_together(self, chunks: list[str], raw: list[bytes]) -> bool:
+        text, joined = " ".join(chunks), b"".join(raw)
+        until = np.cumsum([len(r) for r in raw])
+        for encode, lengths, known, kept in (
+            (lambda: self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.a_len, self.a_bytes, self.ids_a),
+            (lambda: self.b.encode(text), self.b_len, self.b_bytes, self.ids_b),
+        ):
+            ids = np.array(encode(), "<u4")
+            ends = np.cumsum(lengths[ids])
+            at = np.searchsorted(ends, until)
+            if not len(ids) or ends[-1] != until[-1] or (ends[at] != until).any() or b"".join(map(known.__getitem__, ids.tolist())) != joined:
+                del self.ids_a[len(self.ids_b) :]
+                return False
+            cuts, flat = (4 * np.concatenate([[0], at + 1])).tolist(), ids.tobytes()
+            kept += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        self.unequal += [False] * len(chunks)
+        return True
+
+    def _learn_each(self, chunks: list[str], raw: list[bytes]) -> None:
+        for r, a, b in zip(raw, self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False), self.b.encode(chunks, num_threads=1), strict=True):
+            self.ids_a.append(np.array(a.ids, "<u4").tobytes())
+            self.ids_b.append(np.array(b, "<u4").tobytes())
+            self.unequal.append(b"".join([self.a_bytes[i] for i in a.ids]) != r or b"".join([self.b_bytes[i] for i in b]) != r)
+
+    def chunks(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different chunks of the texts, each chunk's place among them, and where each text's chunks begin."""
+        empty = pc.equal(pc.binary_length(texts), 0)
+        if self.apart:
+            odd = pc.match_substring_regex(texts, ODD)
+            own = pc.split_pattern(pc.if_else(pc.or_(odd, empty), None, texts), " ")
+        else:
+            odd = pc.invert(empty)
+            own = pc.split_pattern(pc.if_else(pc.is_valid(texts), None, texts), " ")
+        words = own.flatten().dictionary_encode()
+        size = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        found, place = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy().astype(np.int64)
+        rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(rows):
+            return found, place, np.concatenate([[0], np.cumsum(size)])
+        starts = np.cumsum(size) - size
+        numbers, places, at = {c: i for i, c in enumerate(found)}, [], 0
+        for row in rows.tolist():
+            text = texts[row].as_py()
+            cut = [c for c in BORDER.split(" " + text)] if self.apart else [" " + text]
+            cut = ([cut[0][1:]] if cut[0] else []) + cut[1:]  # each without its first blank
+            places += [place[at : starts[row]], np.array([numbers.setdefault(c, len(numbers)) for c in cut], np.int64)]
+            at, size[row] = starts[row], len(cut)
+        return list(numbers), np.concatenate([*places, place[at:]]), np.concatenate([[0], np.cumsum(size)])
+
+    def encode(self, texts: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """For A and for B: the ids of all texts, and how many each text has; none where the bytes differ."""
+        if len(self.ids_a) > REMEMBERED:  # the chunks met first are the common ones
+            keep = REMEMBERED // 4
+            self.seen = dict(list(self.seen.items())[:keep])
+            self.ids_a, self.ids_b, self.unequal = self.ids_a[:keep], self.ids_b[:keep], self.unequal[:keep]
+        chunks, place, first = self.chunks(pc.fill_null(texts.cast(pa.string()), ""))
+        new = [c for c in chunks if c not in self.seen]
+        self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new)), strict=True))
+        self.learn(new)
+        numbers = [self.seen[c] for c in chunks]
+        unequal = np.array([self.unequal[n] for n in numbers], bool)[place]
+        bad = np.concatenate([[0], np.cumsum(unequal)])[first]
+        good = np.repeat(bad[1:] == bad[:-1], np.diff(first))
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        out = []
+        for ids in (self.ids_a, self.ids_b):
+            own = [ids[n] for n in numbers]
+            flat, size = np.frombuffer(b"".join(own), "<u4").astype(np.int64), np.array([len(x) // 4 for x in own], np.int64)
+            size_of = size[place] * good
+            until = np.concatenate([[0], np.cumsum(size_of)])
+            take = np.repeat((np.cumsum(size) - size)[place] - until[:-1], size_of) + np.arange(until[-1])
+            out.append((flat[take], np.bincount(text, size_of, len(first) - 1).astype(np.int64)))
+        return out[0], out[1]
 
 
 _encoders: dict[str, Encoders] = {}
@@ -222,9 +287,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, groups: bool, step: int =
         model = encoders_of(*sources.value)
         number, block = TaskContext.get().partitionId() << 32, Block()
         for batch in it:
-            ids_a, ids_b = model.encode(batch.column("text").to_pylist())
-            size_a, size_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-            a, b = np.concatenate([*ids_a, np.empty(0, np.int64)]), np.concatenate([*ids_b, np.empty(0, np.int64)])
+            (a, size_a), (b, size_b) = model.encode(batch.column("text"))
             x, y, group_a, group_b = merge(np.cumsum(model.a_len[a]), np.cumsum(model.b_len[b]), step)
             until_a, until_b = np.cumsum(size_a), np.cumsum(size_b)
             link_doc = np.searchsorted(until_a, x, side="right")
