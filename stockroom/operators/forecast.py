@@ -4,8 +4,7 @@ The monthly frame is keyed by (item_id, month_end); every feature is a window ov
 ``partitionBy(item_id).orderBy(month_end)``, so one item's frame is bounded by its
 number of months (not by its number of fact rows: the monthly aggregate is a map-side
 combined ``groupBy``). Native baselines are column expressions over per-item train
-statistics; the learned models are Spark ML regressors fitted once, pooled over all
-items on an item-scaled target, instead of one fit per item.
+statistics; models that are fitted on an item's months are in ``forecast_run``.
 """
 
 from __future__ import annotations
@@ -18,9 +17,11 @@ from pyspark.sql import functions as F
 
 from stockroom.operators.scope import in_active_dataset
 
+# fixed values: the targets and features of the models, in the order in which candidates are tried and columns stand
 TARGETS = ["target_nosmooth", "target_smooth"]
 NATIVE_MODELS = ["naive_last", "mean_last_3", "linear_trend", "seasonal_trend"]
-ML_MODELS = ["linear_regression", "random_forest", "gbt"]
+#: Fitted on each item's own months, in ``forecast_run``.
+FITTED_MODELS = ["changepoint_trend", "ridge", "random_forest", "boosted", "boosted_l1"]
 FEATURES = [
     "trend", "month", "quarter", "month_sin", "month_cos", "receipts_qty", "closing_qty", "avg_usage",
     "lag_1", "lag_2", "lag_3", "rolling_mean_2", "rolling_std_2", "rolling_min_2", "rolling_max_2",
@@ -227,62 +228,6 @@ def native_predictions(split: DataFrame, target: str) -> DataFrame:
     )
 
 
-def _ml_estimator(name: str, seed: int = 7):
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-
-    if name == "linear_regression":
-        return LinearRegression(featuresCol="features", labelCol="_y", regParam=0.01, elasticNetParam=0.0)
-    if name == "random_forest":
-        return RandomForestRegressor(featuresCol="features", labelCol="_y", numTrees=60, maxDepth=5, seed=seed)
-    if name == "gbt":
-        return GBTRegressor(featuresCol="features", labelCol="_y", maxIter=30, maxDepth=3, seed=seed)
-    raise ValueError(name)
-
-
-def ml_fit(train: DataFrame, target: str, model: str):
-    """Fit one pooled Spark ML model on all items' training months (target scaled by item mean)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-
-    scale = train.groupBy("item_id").agg((F.avg(target) + F.lit(1e-9)).alias("_scale"))
-    t = train.join(scale, "item_id").withColumn("_y", F.col(target) / F.col("_scale"))
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), _ml_estimator(model)])
-    return pipe.fit(t), scale
-
-
-def ml_predictions(split: DataFrame, target: str, models: list[str] = ML_MODELS) -> DataFrame:
-    """F8 (learned part): pooled Spark ML regressors, predictions for the test months."""
-    train = split.filter(~F.col("is_test"))
-    test = split.filter(F.col("is_test"))
-    outs = []
-    for name in models:
-        fitted, scale = ml_fit(train, target, name)
-        p = fitted.transform(test.join(scale, "item_id"))
-        outs.append(
-            p.select(
-                "item_id", "month_end", F.lit(target).alias("target"), F.lit(name).alias("model"),
-                F.col(target).alias("actual"),
-                F.greatest(F.col("prediction") * F.col("_scale"), F.lit(0.0)).alias("prediction"),
-            )
-        )
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
-
-
-def fc_train_predict(frame: DataFrame, include_ml: bool = True, parity_diff: bool = False) -> DataFrame:
-    """F8 + F9: test-month predictions of every candidate, both targets."""
-    res = None
-    for target in TARGETS:
-        split = fc_split(fc_lags(frame, target, parity_diff))
-        p = native_predictions(split, target)
-        if include_ml:
-            p = p.unionByName(ml_predictions(split, target))
-        res = p if res is None else res.unionByName(p)
-    return res
-
-
 # ---------------------------------------------------------------- F10/F11 metrics and selection
 
 
@@ -325,7 +270,7 @@ def fc_metrics(preds: DataFrame) -> DataFrame:
 
 def candidate_no(target: Column, model: Column) -> Column:
     """Evaluation order: targets in order, then models in order (first candidate wins ties)."""
-    models = NATIVE_MODELS + ML_MODELS
+    models = NATIVE_MODELS + FITTED_MODELS
     t = F.when(target == TARGETS[0], 0).otherwise(1)
     m = F.coalesce(*[F.when(model == k, F.lit(i)) for i, k in enumerate(models)], F.lit(len(models)))
     return t * 100 + m
@@ -499,22 +444,3 @@ def fc_chart_dense(chart: DataFrame, table_rows: int = 3) -> DataFrame:
 
 def publish_path(base: str) -> str:
     return os.path.join(base, "forecast_results")
-
-
-def materialize(df: DataFrame, name: str = "forecast-stage") -> DataFrame:
-    """Cut the lineage of a reused intermediate: write it once as a parquet table under the
-    shared ``spark.checkpoint.dir`` and read it back.
-
-    The forecast stages reuse the monthly frame and the test predictions several times;
-    without this each use would recompute them from the fact table. (An RDD
-    ``checkpoint()`` would compute the data twice, once for the action and once for the
-    checkpoint write; the written table is computed once and re-read column-pruned.)
-    """
-    import uuid
-
-    from stockroom.session import ensure_checkpoint_dir
-
-    spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)

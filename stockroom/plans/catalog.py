@@ -710,6 +710,7 @@ def q_stream_movement_daily(spark, sf_dir):
 
 # ---------------------------------------------------------------- 2.7 forecasting
 from stockroom.operators import forecast as fc  # noqa: E402
+from stockroom.operators import forecast_run as fr  # noqa: E402
 
 
 def _fc_load(m: Model) -> DataFrame:
@@ -717,9 +718,9 @@ def _fc_load(m: Model) -> DataFrame:
     return fc.fc_load(m.raw, m.datasets, cut)
 
 
-def _fc_frame(m: Model, materialize: bool = False) -> DataFrame:
+def _fc_frame(m: Model, keep: bool = False) -> DataFrame:
     f = fc.fc_calendar(fc.fc_smooth_target(fc.fc_gap_fill(fc.fc_monthly(_fc_load(m)))))
-    return fc.materialize(f) if materialize else f
+    return materialize(f, "forecast-frame") if keep else f
 
 
 def _r6(df: DataFrame) -> DataFrame:
@@ -737,14 +738,21 @@ def _native_preds(frame: DataFrame) -> DataFrame:
 
 def _fc_run(m: Model):
     """Native candidates end to end: frame, test predictions, metrics, best, 3-step forecast."""
-    frame = _fc_frame(m, materialize=True)
-    preds = fc.materialize(_native_preds(frame))
+    frame = _fc_frame(m, keep=True)
+    preds = materialize(_native_preds(frame))
     metrics = fc.fc_metrics(preds)
     best = fc.fc_select(metrics)
     future = fc.fc_recursive(best, frame)
     return frame, preds, metrics, best, future
 
 
+def _daily_run(m: Model):
+    """The daily job: the configured items with all candidates, as (frame, predictions, metrics, best, future)."""
+    cfg, cut = forecast_config(m)
+    frame = materialize(fc.fc_frame(m.raw, m.datasets, cut, cfg), "forecast-frame")
+    return frame, *fr.fc_run(frame, lambda df: materialize(df, "forecast-run"))
+
+
 def _published(m: Model) -> DataFrame:
     frame, preds, _metrics, best, future = _fc_run(m)
     as_of = m.scope().as_of
@@ -794,23 +802,48 @@ def q_fc_split(spark, sf_dir):
 
 @register("fc_train_predict")
 def q_fc_train_predict(spark, sf_dir):
-    return fc.fc_train_predict(_fc_frame(Model(spark, sf_dir), materialize=True), include_ml=True)
+    return _daily_run(Model(spark, sf_dir))[1]
 
 
 @register("fc_seasonal_trend")
 def q_fc_seasonal_trend(spark, sf_dir):
-    p = _native_preds(_fc_frame(Model(spark, sf_dir)))
-    return _r6(p.filter(F.col("model") == "seasonal_trend"))
+    """The piecewise trend with yearly season on the held-out months of every item, to a thousandth of a unit."""
+    p = fr.holdout_predictions(fr.fc_panel(_fc_frame(Model(spark, sf_dir))), [fr.TREND_MODEL])
+    return p.withColumn("prediction", F.round("prediction", 3)).withColumn("actual", F.round("actual", 6))
+
+
+@register("fc_run_metrics")
+def q_fc_run_metrics(spark, sf_dir):
+    return _r6(_daily_run(Model(spark, sf_dir))[2])
+
+
+@register("fc_run_select")
+def q_fc_run_select(spark, sf_dir):
+    return _r6(_daily_run(Model(spark, sf_dir))[3])
+
+
+@register("fc_run_forecast")
+def q_fc_run_forecast(spark, sf_dir):
+    return _daily_run(Model(spark, sf_dir))[4]
+
+
+@register("fc_run_publish")
+def q_fc_run_publish(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    frame, preds, _metrics, best, future = _daily_run(m)
+    as_of = m.scope().as_of
+    path = fc.publish_path(policy.scratch_path(spark, "forecast"))
+    return _r6(fc.fc_publish(frame, preds, best, future, dtab.ACTIVE_DATASET, as_of, f"{as_of} 02:00:00", path))
 
 
 @register("fc_metrics")
 def q_fc_metrics(spark, sf_dir):
-    return _r6(fc.fc_metrics(_native_preds(_fc_frame(Model(spark, sf_dir), materialize=True))))
+    return _r6(fc.fc_metrics(_native_preds(_fc_frame(Model(spark, sf_dir), keep=True))))
 
 
 @register("fc_select")
 def q_fc_select(spark, sf_dir):
-    return _r6(fc.fc_select(fc.fc_metrics(_native_preds(_fc_frame(Model(spark, sf_dir), materialize=True)))))
+    return _r6(fc.fc_select(fc.fc_metrics(_native_preds(_fc_frame(Model(spark, sf_dir), keep=True)))))
 
 
 @register("fc_recursive")

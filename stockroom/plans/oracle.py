@@ -1091,9 +1091,47 @@ _LAG_COLS = ["lag_1", "lag_2", "lag_3", "rolling_mean_2", "rolling_std_2", "roll
              "rolling_mean_3", "rolling_std_3", "diff_1"]
 ORACLE["fc_lags"] = with_(f"SELECT item_id, month_end, {_r6(_LAG_COLS)} FROM ({_lags('target_nosmooth')})", "fc_frame")
 ORACLE["fc_split"] = with_("SELECT item_id, month_end, trend, n_months, test_size, is_test FROM fc_split", "fc_split")
-ORACLE["fc_seasonal_trend"] = with_(f"""
-SELECT item_id, month_end, target, model, {_r6(['actual', 'prediction'])} FROM fc_preds
-WHERE model = 'seasonal_trend'""", "fc_preds")
+# the trend with bends and yearly season: normal equations summed by month, solved by Gauss-Jordan elimination
+_TERMS = 2 + 5 + 2 * 5
+_HARMONICS = ", ".join(f"{f}(2 * pi() * {k} * (day / 365.25))" for f in ("sin", "cos") for k in range(1, 6))
+_BENDS = ", ".join(f"CASE WHEN {i} <= bends THEN greatest(t - CAST(places[{i}] - day0 AS DOUBLE) / span, 0) ELSE 0 END" for i in range(1, 6))
+cte("ct_days", """
+SELECT item_id, trend, month_end, is_test, target_nosmooth, target_smooth, n_months - test_size AS known,
+  CAST(date_diff('day', DATE '1970-01-01', month_end) AS DOUBLE) AS day FROM fc_split""", ("fc_split",))
+cte("ct_item", f"""
+SELECT item_id, known, day0, greatest(days[known] - day0, 1) AS span, bends,
+  [days[1 + CAST(round_even(i * (floor({0.8} * known) - 1) / bends, 0) AS BIGINT)] for i in range(1, bends + 1)] AS places,
+  greatest(top_n, 1e-9) AS scale_nosmooth, greatest(top_s, 1e-9) AS scale_smooth
+FROM (SELECT item_id, any_value(known) AS known, greatest(1, least(5, any_value(known) - 2)) AS bends, min(day) AS day0, list(day ORDER BY day) AS days,
+        max(CASE WHEN NOT is_test THEN abs(target_nosmooth) END) AS top_n, max(CASE WHEN NOT is_test THEN abs(target_smooth) END) AS top_s
+      FROM ct_days GROUP BY item_id)""", ("ct_days",))
+cte("ct_terms", f"""
+SELECT item_id, month_end, is_test, target_nosmooth, target_smooth, scale_nosmooth, scale_smooth,
+  [1.0, t, {_BENDS}, {_HARMONICS}] AS x
+FROM (SELECT d.*, i.* EXCLUDE (item_id, known), (d.day - i.day0) / i.span AS t FROM ct_days d JOIN ct_item i USING (item_id))""", ("ct_days", "ct_item"))
+cte("ct_sums", f"""
+SELECT item_id, i, j, sum(x[i] * CASE WHEN j <= {_TERMS} THEN x[j] WHEN j = {_TERMS + 1} THEN target_nosmooth / scale_nosmooth ELSE target_smooth / scale_smooth END)
+  + CASE WHEN i <> j THEN 0 WHEN i <= 2 THEN 0.0001 WHEN i <= 7 THEN 1 ELSE 0.000025 END AS v
+FROM ct_terms, (SELECT unnest(range(1, {_TERMS + 1})) AS i), (SELECT unnest(range(1, {_TERMS + 3})) AS j)
+WHERE NOT is_test GROUP BY item_id, i, j""", ("ct_terms",))
+cte("ct_system", """
+SELECT item_id, list(r ORDER BY i) AS m FROM (SELECT item_id, i, list(v ORDER BY j) AS r FROM ct_sums GROUP BY item_id, i) GROUP BY item_id""", ("ct_sums",))
+cte("ct_solved", f"""
+SELECT item_id, m FROM (
+  WITH RECURSIVE step AS (
+    SELECT item_id, 1 AS k, m FROM ct_system
+    UNION ALL
+    SELECT item_id, k + 1, [CASE WHEN i = k THEN [v / m[k][k] for v in m[k]]
+      ELSE [m[i][j] - m[i][k] / m[k][k] * m[k][j] for j in range(1, {_TERMS + 3})] END for i in range(1, {_TERMS + 1})]
+    FROM step WHERE k <= {_TERMS})
+  SELECT * FROM step WHERE k = {_TERMS + 1})""", ("ct_system",))
+cte("ct_preds", f"""
+SELECT t.item_id, month_end, target, 'changepoint_trend' AS model, CASE WHEN target = 'target_nosmooth' THEN target_nosmooth ELSE target_smooth END AS actual,
+  greatest(CASE WHEN target = 'target_nosmooth' THEN scale_nosmooth ELSE scale_smooth END
+    * list_sum([x[i] * m[i][CASE WHEN target = 'target_nosmooth' THEN {_TERMS + 1} ELSE {_TERMS + 2} END] for i in range(1, {_TERMS + 1})]), 0) AS prediction
+FROM ct_terms t JOIN ct_solved USING (item_id), (SELECT unnest(['target_nosmooth', 'target_smooth']) AS target) WHERE is_test""", ("ct_terms", "ct_solved"))
+ORACLE["fc_seasonal_trend"] = with_("""
+SELECT item_id, month_end, target, model, ROUND(actual, 6) AS actual, ROUND(ROUND(prediction, 6), 3) AS prediction FROM ct_preds""", "ct_preds")
 ORACLE["fc_metrics"] = with_(f"""
 SELECT item_id, target, model, {_r6(['rmse', 'mae', 'wape', 'r2', 'score'])} FROM fc_metrics""", "fc_metrics")
 ORACLE["fc_select"] = with_(f"""

@@ -46,8 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="stockroom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(current)  # a running session refuses spark.checkpoint.dir; this holds for its context
     return current
 
 
@@ -60,6 +60,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where it lies here, as in tests that run from a
+    checkout; on a cluster it is installed or given by ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def materialize(df, name: str = "stage"):
     """Write an intermediate once as a parquet table under the shared ``spark.checkpoint.dir``
     and read it back: cuts the lineage (survives executor loss) and, unlike an RDD
