@@ -7,6 +7,7 @@ one (day range = min/max event day), so no query runs on a subset.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -658,54 +659,68 @@ def q_ingest_metrics(spark, sf_dir):
     return scans.ingest_metrics(0, valid, new, quarantine, rows).drop("synced_at")
 
 
+def _arrivals(spark, table: DataFrame, slices: list, base: str, start) -> None:
+    """Let a table arrive in ``slices`` (conditions): each is added to a landing folder, and the stream that ``start``
+    makes of the folder is started anew from its checkpoint and runs until it has read all."""
+    landing = os.path.join(base, "landing")
+    for condition in slices:
+        table.where(condition).write.mode("append").parquet(landing)
+        q = start(spark.readStream.schema(table.schema).parquet(landing))
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+
+
 def _run_scan_stream(spark, sf_dir) -> ss.ScanSink:
-    events = dtab.table(spark, sf_dir, "events")
-    src = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events of January 2024 week by week; ids come back weeks later."""
     sink = ss.ScanSink(policy.scratch_path(spark, "scan-stream"))
-    q = ss.scan_stream(spark, dtab.scan_rows_from_events(src), sink, dtab.ACTIVE_DATASET, available_now=True)
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    weeks = [F.lit(d).cast("date") for d in ("2024-01-08", "2024-01-15", "2024-01-22")]
+    day = F.to_date("ts")
+    slices = [day < weeks[0], (day >= weeks[0]) & (day < weeks[1]), (day >= weeks[1]) & (day < weeks[2]), (day >= weeks[2]) | day.isNull()]
+    _arrivals(spark, dtab.table(spark, sf_dir, "events"), slices, sink.base, lambda src: ss.scan_stream(spark, dtab.scan_rows_from_events(src), sink, dtab.ACTIVE_DATASET))
     return sink
 
 
 @register("scan_stream")
 def q_scan_stream(spark, sf_dir):
-    return _read_fact(spark, _run_scan_stream(spark, sf_dir).fact)
+    return _run_scan_stream(spark, sf_dir).read_fact(spark).withColumn("scan_row", F.col("ingest_seq.row")).select(*_FACT_COLS)
 
 
 @register("scan_stream_quarantine")
 def q_scan_stream_quarantine(spark, sf_dir):
-    return spark.read.parquet(_run_scan_stream(spark, sf_dir).quarantine).select("row_index", "error", "message")
+    return _run_scan_stream(spark, sf_dir).quarantine_log.read(spark)
 
 
 @register("scan_stream_metrics")
 def q_scan_stream_metrics(spark, sf_dir):
-    return spark.read.parquet(_run_scan_stream(spark, sf_dir).metrics).drop("synced_at")
+    return _run_scan_stream(spark, sf_dir).read_metrics(spark).drop("synced_at")
 
 
 @register("scan_stream_dedupe")
 def q_scan_stream_dedupe(spark, sf_dir):
-    events = dtab.table(spark, sf_dir, "events")
-    src = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = policy.scratch_path(spark, "scan-dedupe")
-    d = ss.scan_stream_dedupe_bounded(dtab.scan_rows_from_events(src), dtab.ACTIVE_DATASET)
-    q = (
-        d.select("scan_id").writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", out + "_ckpt").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    """The whole winning row of each scan id and the batch that brought it."""
+    rows = _run_scan_stream(spark, sf_dir).read_fact(spark)
+    return rows.select("scan_id", F.col("ingest_seq.batch").alias("batch_id"), F.col("ingest_seq.row").alias("scan_row"), *_FACT_COLS[1:])
+
+
+def _run_movement_stream(spark, sf_dir) -> ss.MovementSink:
+    """Lineitems by return flag, one after the other: each flag brings days that earlier ones have passed."""
+    base = policy.scratch_path(spark, "movement-daily")
+    sink = ss.MovementSink(base)
+    flag = F.col("l_returnflag")
+    slices = [flag == "A", flag == "N", ~flag.isin("A", "N") | flag.isNull()]
+    _arrivals(spark, dtab.table(spark, sf_dir, "lineitem"), slices, base, lambda src: ss.run_movement_daily(spark, dtab.movements_from_lineitem(src), sink))
+    return sink
 
 
 @register("stream_movement_daily")
 def q_stream_movement_daily(spark, sf_dir):
-    li = dtab.table(spark, sf_dir, "lineitem")
-    src = spark.readStream.schema(li.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
-    base = policy.scratch_path(spark, "movement-daily")
-    q = ss.run_movement_daily(spark, dtab.movements_from_lineitem(src), base)
-    q.awaitTermination()
-    return ss.read_movement_daily(spark, base)
+    return _run_movement_stream(spark, sf_dir).daily.read(spark)
+
+
+@register("stream_movement_late")
+def q_stream_movement_late(spark, sf_dir):
+    return _run_movement_stream(spark, sf_dir).arrivals.read(spark).withColumnRenamed("batch", "batch_id")
 
 
 # ---------------------------------------------------------------- 2.7 forecasting

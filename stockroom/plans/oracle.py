@@ -841,10 +841,33 @@ ORACLE["scan_dedupe"] = with_("SELECT * FROM scan_new", "scan_new")
 ORACLE["scan_explode_qty"] = with_(f"SELECT *, {_QTY} FROM scan_new", "scan_new")
 ORACLE["scan_append"] = with_(_fact("scan_new"), "scan_new")
 ORACLE["ingest_metrics"] = with_(_metrics("scan_new"), "scan_new", "scan_valid", "scan_quarantine")
-ORACLE["scan_stream"] = with_(_fact("scan_first"), "scan_first")
+cte("scan_weeks", """
+SELECT v.*, CASE WHEN ts < DATE '2024-01-08' THEN 0 WHEN ts < DATE '2024-01-15' THEN 1 WHEN ts < DATE '2024-01-22' THEN 2 ELSE 3 END AS week
+FROM scan_valid v JOIN events e ON e.event_id + 2 = v.row_index""", ("scan_valid",))
+cte("scan_winners", """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY scan_id ORDER BY week, row_index) AS rn FROM scan_weeks) WHERE rn = 1""", ("scan_weeks",))
+cte("scan_week_counts", """
+SELECT w.week, (SELECT COUNT(*) FROM scan_winners x WHERE x.week = w.week) AS inserted,
+  (SELECT COUNT(*) FROM scan_weeks x WHERE x.week = w.week) AS n_valid, (SELECT MAX(row_index) FROM scan_weeks x WHERE x.week <= w.week AND x.week = w.week) AS last_row,
+  (SELECT COUNT(*) FROM scan_quarantine q JOIN events e ON e.event_id + 2 = q.row_index
+   WHERE CASE WHEN ts < DATE '2024-01-08' THEN 0 WHEN ts < DATE '2024-01-15' THEN 1 WHEN ts < DATE '2024-01-22' THEN 2 ELSE 3 END = w.week) AS parse_errors
+FROM (SELECT unnest([0, 1, 2, 3]) AS week) w""", ("scan_winners", "scan_weeks", "scan_quarantine"))
+ORACLE["scan_stream"] = with_(_fact("scan_winners"), "scan_winners")
 ORACLE["scan_stream_quarantine"] = with_("SELECT * FROM scan_quarantine", "scan_quarantine")
-ORACLE["scan_stream_metrics"] = with_(_metrics("scan_first"), "scan_first", "scan_valid", "scan_quarantine")
-ORACLE["scan_stream_dedupe"] = with_("SELECT DISTINCT scan_id FROM scan_valid", "scan_valid")
+ORACLE["scan_stream_metrics"] = with_("""
+SELECT CAST(week AS BIGINT) AS batch_id, inserted, n_valid - inserted AS skipped_duplicates,
+  CAST(SUM(inserted) OVER (ORDER BY week) AS BIGINT) AS inserted_total, CAST(last_row AS BIGINT) AS last_row, parse_errors FROM scan_week_counts""", "scan_week_counts")
+ORACLE["scan_stream_dedupe"] = with_(f"""
+SELECT scan_id, CAST(week AS BIGINT) AS batch_id, f.* FROM ({_fact("scan_winners")}) f JOIN scan_winners w ON w.row_index = f.scan_row""", "scan_winners")
+cte("movement_flags", """
+SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS batch_id, CAST(l_shipdate AS TIMESTAMP) AS event_ts FROM lineitem""")
+cte("movement_water", """
+SELECT batch_id, MAX(MAX(event_ts)) OVER (ORDER BY batch_id) AS high_water FROM movement_flags GROUP BY batch_id""", ("movement_flags",))
+ORACLE["stream_movement_late"] = with_("""
+SELECT CAST(f.batch_id AS BIGINT) AS batch_id, COUNT(*) AS rows, CAST(COUNT_IF(COALESCE(f.event_ts < p.high_water - INTERVAL 2 DAY, FALSE)) AS BIGINT) AS late_rows, any_value(w.high_water) AS high_water
+FROM movement_flags f JOIN movement_water w ON w.batch_id = f.batch_id LEFT JOIN movement_water p ON p.batch_id = f.batch_id - 1
+GROUP BY f.batch_id""", "movement_flags", "movement_water")
 ORACLE["stream_movement_daily"] = with_(f"""
 SELECT CAST(l_shipdate AS DATE) AS day, 'LOC' || CAST(l_suppkey % 4 + 1 AS VARCHAR) AS location_id,
   {EVENT_TYPE} AS event_type, SUM(l_quantity) AS qty

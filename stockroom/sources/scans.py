@@ -116,9 +116,13 @@ def scan_dedupe(valid: DataFrame, ledger: DataFrame | None) -> tuple[DataFrame,
     so a hot scan id costs one row per map task); the ledger check is an anti join.
     """
     w = Window.partitionBy("scan_id").orderBy("row_index")
-    first = valid.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    ranked = valid.withColumn("_rn", F.row_number().over(w))
+    first = ranked.filter(F.col("_rn") == 1).drop("_rn")
     new = first if ledger is None else first.join(ledger.select("scan_id").distinct(), "scan_id", "left_anti")
-    dups = valid.join(new.select("row_index"), "row_index", "left_anti")
+    # the others: later rows of an id, and first rows of ids that the ledger knows (row numbers are unique in a sheet only)
+    dups = ranked.filter(F.col("_rn") > 1).drop("_rn")
+    if ledger is not None:
+        dups = dups.unionByName(first.join(ledger.select("scan_id").distinct(), "scan_id", "left_semi"))
     return new, dups
 
 
@@ -135,6 +139,7 @@ def to_fact_rows(new: DataFrame, batch_id: int) -> DataFrame:
         "dataset_id", "date", "location_id", "item_id", "item_name", "event_ts", "event_type", "quantity",
         "receipts_qty", "issues_qty", "reason", "lot_number", "lot_expiry",
         F.struct(F.lit(batch_id).cast("bigint").alias("batch"), F.col("row_index").alias("row")).alias("ingest_seq"),
+        "scan_id",
         F.lit(batch_id).cast("bigint").alias("batch_id"),
     )
 

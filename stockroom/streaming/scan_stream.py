@@ -1,78 +1,94 @@
 """The scan feed and daily movements as Structured Streaming queries.
 
-T1/T3/T4 run the batch ingestion functions of ``stockroom.sources.scans`` inside
-``foreachBatch``: the dedupe state is the ledger table (unbounded history, exact, first
-scan id wins forever), not operator state, and every write goes to the batch's own
-partition with dynamic overwrite, so a replayed micro-batch is idempotent. T2 is the
-bounded-state alternative (``dropDuplicatesWithinWatermark``). T5 keeps running daily
-totals per location with a watermark.
+T1-T4 run the batch ingestion functions of ``stockroom.sources.scans`` inside ``foreachBatch``. Which scan ids have been
+seen is a table without an end (exact: the first row of an id wins for ever), kept in buckets of the id's hash: a batch
+opens the buckets of its own ids and no others. Counts are observed while the rows are written. T5 adds each batch's
+sums by day to a log that is summed when read, so a row may come as late as it likes; rows that come late are counted.
+All tables are ``BatchLog``s: a replayed micro-batch rewrites its own rows, and batches are folded together from time to
+time. Bound the size of a batch with ``maxFilesPerTrigger`` on the source.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stockroom.session import path_exists
 from stockroom.sources import scans
+from stockroom.streaming.batch_log import BatchLog
 
+LEDGER = "scan_id string, ingested_at string, bucket int"
+METRICS = "inserted bigint, skipped_duplicates bigint, inserted_total bigint, last_row bigint, parse_errors bigint, synced_at string"
+MOVEMENT = "day date, location_id string, event_type string, qty double"
+ARRIVAL = "rows bigint, late_rows bigint, high_water timestamp_ntz"
+#: Folders that the ledger's ids are dealt over, and batches after which a table is folded.
+BUCKETS, FOLD_EVERY = 64, 20
 
-def ntz_to_utc_ts(col: Column) -> Column:
-    """timestamp_ntz -> timestamp with the same wall clock in UTC, whatever the session time zone.
 
-    ``withWatermark`` rejects timestamp_ntz; a plain cast would shift by the session zone.
-    """
-    secs = (
-        F.unix_date(F.to_date(col)).cast("bigint") * 86400
-        + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
-    )
-    return F.timestamp_seconds(secs)
+class ScanSink:
+    """The ingestion tables under one base folder. ``fact``, ``ledger``, ``quarantine`` and ``metrics`` are the folders
+    of rows that are not folded yet; read through the logs."""
+
+    def __init__(self, base: str, buckets: int = BUCKETS, fold_every: int = FOLD_EVERY):
+        self.base, self.buckets = base, buckets
+        fact = "dataset_id string, date date, location_id string, item_id bigint, item_name string, event_ts timestamp_ntz, event_type string, quantity double, receipts_qty double, issues_qty double, reason string, lot_number string, lot_expiry string, ingest_seq struct<batch:bigint,row:bigint>, scan_id string"
+        self.fact_log = BatchLog(os.path.join(base, "fact"), fact, every=fold_every)
+        self.ledger_log = BatchLog(os.path.join(base, "ledger"), LEDGER, ("bucket",), every=fold_every)
+        self.quarantine_log = BatchLog(os.path.join(base, "quarantine"), "row_index bigint, error string, message string", every=fold_every)
+        self.metrics_log = BatchLog(os.path.join(base, "metrics"), METRICS + ", batch bigint", every=fold_every)
+        self.fact, self.ledger, self.quarantine, self.metrics = (x.log for x in (self.fact_log, self.ledger_log, self.quarantine_log, self.metrics_log))
+        self.checkpoint = os.path.join(base, "_checkpoint")
 
+    def read_fact(self, spark: SparkSession) -> DataFrame:
+        return self.fact_log.read(spark)
 
-def utc_day(col: Column) -> Column:
-    """The UTC calendar day of a timestamp, independent of the session time zone."""
-    return F.date_from_unix_date(F.floor(F.unix_seconds(col) / 86400).cast("int"))
+    def read_metrics(self, spark: SparkSession) -> DataFrame:
+        return self.metrics_log.read(spark).withColumnRenamed("batch", "batch_id")
 
 
-class ScanSink:
-    """Paths of the ingestion tables under one base folder."""
-
-    def __init__(self, base: str):
-        self.base = base
-        self.fact = os.path.join(base, "fact")
-        self.ledger = os.path.join(base, "ledger")
-        self.quarantine = os.path.join(base, "quarantine")
-        self.metrics = os.path.join(base, "metrics")
-        self.checkpoint = os.path.join(base, "_checkpoint")
+def first_scans(spark: SparkSession, valid: DataFrame, batch_id: int, sink: ScanSink) -> DataFrame:
+    """The first row of each scan id that no earlier batch has had. Of the ledger only the buckets that the batch's
+    ids fall to are read (at most ``buckets`` numbers come to the driver)."""
+    bucket = F.pmod(F.xxhash64("scan_id"), F.lit(sink.buckets)).cast("int")
+    keyed = valid.withColumn("bucket", bucket)
+    own = sorted(r.bucket for r in keyed.select("bucket").distinct().collect())
+    ledger = sink.ledger_log.read(spark, before=batch_id, where=f"bucket IN ({', '.join(map(str, own)) or 'NULL'})")
+    return scans.scan_dedupe(keyed, ledger)[0]
+
+
+def _now() -> str:
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat()
 
 
 def process_scan_batch(spark: SparkSession, batch: DataFrame, batch_id: int, sink: ScanSink, active_dataset: str) -> None:
-    """One micro-batch: validate, dedupe against the ledger, append fact/ledger/quarantine/metrics."""
+    """One micro-batch: validate, keep first scans, append fact, ledger and quarantine, and a row of metrics whose
+    counts are taken as the rows are written (T4); totals go on from the row of the batch before."""
+    logs = (sink.fact_log, sink.ledger_log, sink.quarantine_log, sink.metrics_log)
+    for log in logs:
+        log.fold(spark, batch_id)
     rows = scans.scan_header_check(batch).persist()
+    good, bad, fresh = Observation(), Observation(), Observation()
+    synced_at = _now()
     try:
         valid, quarantine, _skipped = scans.scan_validate(rows, active_dataset)
-        ledger = scans.read_ledger(spark, sink.ledger, before_batch=batch_id)
-        new, _dups = scans.scan_dedupe(valid, ledger)
-        scans.scan_append(new, sink.fact, sink.ledger, batch_id)
-        (
-            quarantine.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(sink.quarantine)
-        )
-        before = 0
-        if path_exists(spark, sink.metrics):
-            prev = spark.read.parquet(sink.metrics).filter(F.col("batch_id") < batch_id)
-            before = prev.agg(F.coalesce(F.sum("inserted"), F.lit(0))).first()[0]
-        inserted_new = spark.read.parquet(sink.fact).filter(F.col("batch_id") == batch_id)
-        metrics = scans.ingest_metrics(batch_id, valid, inserted_new, quarantine, rows, inserted_before=before)
-        metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(
-            sink.metrics
-        )
+        valid = valid.observe(good, F.count(F.lit(1)).alias("n"), F.max("row_index").alias("last"))
+        new = first_scans(spark, valid, batch_id, sink).observe(fresh, F.count(F.lit(1)).alias("n")).persist()
+        try:
+            sink.fact_log.append(scans.to_fact_rows(new, batch_id).drop("batch_id"), batch_id)
+            sink.ledger_log.append(new.select("scan_id", F.lit(synced_at).alias("ingested_at"), "bucket"), batch_id)
+        finally:
+            new.unpersist()
+        sink.quarantine_log.append(quarantine.observe(bad, F.count(F.lit(1)).alias("n")), batch_id)
     finally:
         rows.unpersist()
+    before = sink.metrics_log.last(spark, batch_id)
+    last = before.first() if before is not None else None
+    n_valid, n_new = good.get["n"], fresh.get["n"]
+    row = (n_new, n_valid - n_new, n_new + (last.inserted_total if last else 0), good.get["last"] or (last.last_row if last else 1), bad.get["n"], synced_at, batch_id)
+    sink.metrics_log.append(spark.createDataFrame([row], sink.metrics_log.schema), batch_id)
 
 
 def scan_stream(spark: SparkSession, source: DataFrame, sink: ScanSink, active_dataset: str,
@@ -85,43 +101,38 @@ def scan_stream(spark: SparkSession, source: DataFrame, sink: ScanSink, active_d
     return w.start()
 
 
-def scan_stream_dedupe_bounded(scan_rows: DataFrame, active_dataset: str, delay: str = "2 days") -> DataFrame:
-    """T2 (bounded-state form): valid scans, duplicates dropped within the watermark delay."""
-    valid, _q, _s = scans.scan_validate(scans.scan_header_check(scan_rows), active_dataset)
-    ts = ntz_to_utc_ts(F.col("event_ts"))
-    return valid.withColumn("event_time", ts).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(
-        ["scan_id"]
-    )
+class MovementSink:
+    """T5's tables: sums by day, location and type that every batch adds to, and what each batch brought."""
 
+    def __init__(self, base: str, fold_every: int = FOLD_EVERY):
+        def summed(df: DataFrame) -> DataFrame:
+            return df.groupBy("day", "location_id", "event_type").agg(F.sum("qty").alias("qty"))
 
-def stream_movement_daily(movements: DataFrame, delay: str = "2 days") -> DataFrame:
-    """T5: running daily quantity per (location, event type), watermarked on event time."""
-    m = movements.withColumn("event_time", ntz_to_utc_ts(F.col("event_ts"))).withWatermark("event_time", delay)
-    g = m.groupBy(F.window("event_time", "1 day").alias("w"), "location_id", "event_type").agg(
-        F.sum("quantity").alias("qty")
-    )
-    return g.select(utc_day(F.col("w.start")).alias("day"), "location_id", "event_type", "qty")
+        self.daily = BatchLog(os.path.join(base, "daily"), MOVEMENT, combine=summed, every=fold_every)
+        self.arrivals = BatchLog(os.path.join(base, "arrivals"), ARRIVAL + ", batch bigint", every=fold_every)
+        self.checkpoint = os.path.join(base, "_checkpoint")
 
 
-def run_movement_daily(spark: SparkSession, movements: DataFrame, base: str, delay: str = "2 days",
+def process_movement_batch(spark: SparkSession, batch: DataFrame, batch_id: int, sink: MovementSink, delay: str) -> None:
+    """Add one batch's sums; count the rows that are older than ``delay`` before the newest event of earlier batches."""
+    for log in (sink.daily, sink.arrivals):
+        log.fold(spark, batch_id)
+    before = sink.arrivals.last(spark, batch_id)
+    last = before.first() if before is not None else None
+    high_water = F.lit(last.high_water if last else None).cast("timestamp_ntz")
+    event_ts = F.col("event_ts").cast("timestamp_ntz")
+    late = F.coalesce(event_ts < high_water - F.expr(f"INTERVAL {delay}"), F.lit(False))
+    seen = Observation()
+    watched = batch.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(late).alias("late"), F.max(event_ts).alias("newest"))
+    sums = watched.groupBy(F.to_date("event_ts").alias("day"), "location_id", "event_type").agg(F.sum("quantity").cast("double").alias("qty"))
+    sink.daily.append(sums, batch_id)
+    newest = max((x for x in (seen.get["newest"], last and last.high_water) if x is not None), default=None)
+    sink.arrivals.append(spark.createDataFrame([(seen.get["n"], seen.get["late"], newest, batch_id)], sink.arrivals.schema), batch_id)
+
+
+def run_movement_daily(spark: SparkSession, movements: DataFrame, sink: MovementSink, delay: str = "2 days",
                        available_now: bool = True) -> StreamingQuery:
-    """Update-mode sink for T5: each batch appends its updated windows under ``batch_id=<n>``
-    (dynamic overwrite, so replays are idempotent); readers take the newest value per window."""
-    out = os.path.join(base, "daily")
-
-    def write(df: DataFrame, bid: int) -> None:
-        df.withColumn("batch_id", F.lit(bid).cast("bigint")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_id").parquet(out)
-
-    w = stream_movement_daily(movements, delay).writeStream.outputMode("update").foreachBatch(write).option(
-        "checkpointLocation", os.path.join(base, "_checkpoint")
-    )
+    """T5: running daily quantity per (location, event type); no row is too late to count."""
+    w = movements.writeStream.foreachBatch(lambda df, bid: process_movement_batch(spark, df, bid, sink, delay)).option("checkpointLocation", sink.checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="3 seconds")
     return w.start()
-
-
-def read_movement_daily(spark: SparkSession, base: str) -> DataFrame:
-    """Current value per window: the row of the newest batch that updated it."""
-    log = spark.read.parquet(os.path.join(base, "daily"))
-    return log.groupBy("day", "location_id", "event_type").agg(F.max_by("qty", "batch_id").alias("qty"))
