@@ -276,7 +276,7 @@ def _wide(x: bytes) -> np.ndarray:
     return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
 
 
-def aligned(docs: DataFrame, a_path: str, b_path: str, groups: bool, step: int = STEP) -> DataFrame:
+def aligned(docs: DataFrame, a_path: str, b_path: str, groups: bool, step: int = STEP, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """Rows of documents (with ``pairs``: the numbers of its pairs, ascending, as differences; ``times``), and rows of
     the blocks' pairs (``number`` is not null)."""
     sc = docs.sparkSession.sparkContext
@@ -320,7 +320,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, groups: bool, step: int =
                 "times": [_small(times[s:e]) for s, e in spans],
             }
             yield _rows(len(size_a), **columns, **({"groups": texts} if groups else {}))
-            if len(block.counts) >= BLOCK_PAIRS or block.entries >= BLOCK_ENTRIES:
+            if len(block.counts) >= block_pairs or block.entries >= BLOCK_ENTRIES:
                 yield from block.rows(number)
                 number, block = number + 1, Block()
         yield from block.rows(number)
@@ -356,12 +356,12 @@ def pair_counts(table: DataFrame) -> DataFrame:
     return total.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
 
 
-def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, groups: bool = False) -> DataFrame:
+def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, groups: bool = False, step: int = STEP, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, and with ``groups``
     the groups themselves (``a1,a2|b1;a3|b2,b3``)."""
     importable(docs.sparkSession)
     paths = default_paths()
-    table = materialize(aligned(docs, a_path or paths[0], b_path or paths[1], groups), "aligned")
+    table = materialize(aligned(docs, a_path or paths[0], b_path or paths[1], groups, step, block_pairs), "aligned")
     known = table.where("number IS NOT NULL").join(pair_counts(table), ["a", "b"]).select(F.col("block").alias("of_block"), "number", "count", "best")
     shown = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *["groups"] * groups, "pairs", "times"]
     rows = table.where("number IS NULL").select(*shown)
