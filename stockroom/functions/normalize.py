@@ -80,6 +80,15 @@ def parse_date_multi(col: Column | str) -> Column:
     )
 
 
+def parse_datetime_multi(col: Column | str) -> Column:
+    """The formats of ``parse_date_multi`` as date-times: dates at midnight, ISO date-times with the wall clock that is
+    written in them, whatever their zone or the session's."""
+    s = F.trim(_c(col).cast("string"))
+    bare = F.regexp_replace(s, r"(Z|[+-]\d{2}:?\d{2})$", "")
+    timed = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), bare.try_cast("timestamp_ntz"))
+    return F.coalesce(timed, parse_date_multi(col).cast("timestamp_ntz"))
+
+
 def expiry_date(col: Column | str) -> Column:
     """``date(substr(TRIM(x), 1, 10))``: NULL for blank or unparsable text."""
     return F.try_to_date(F.substring(F.trim(_c(col).cast("string")), 1, 10), "yyyy-MM-dd")

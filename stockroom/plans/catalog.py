@@ -922,24 +922,36 @@ def q_fc_chart_dense(spark, sf_dir):
 # ---------------------------------------------------------------- 2.2 report (CSV) loading
 from stockroom.functions.normalize import parse_date_multi, parse_number  # noqa: E402
 from stockroom.sources import csv_load as cl  # noqa: E402
+from stockroom.sources import registry as rg  # noqa: E402
 
-_NO_POS = ["source_file", "line_no", "org_id", "location_id", "item_id"]
+def _lines(spark, report: DataFrame) -> DataFrame:
+    """A report written as text files and read again; files go by their names."""
+    path = os.path.join(policy.scratch_path(spark, "report"), "files")
+    dtab.write_report(report, path)
+    lines = cl.read_lines(spark, path)
+    return lines.withColumn("source_file", F.regexp_extract("source_file", "source_file=([^/]+)", 1))
 
 
 def _drop_pos(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in _NO_POS if c in df.columns])
+    return df.drop("source_file", "line_no")
+
+
+def _loaded(rows: DataFrame, facts) -> DataFrame:
+    """What a first load of one report stores: ``facts`` of its rows, with the ids that the load hands out."""
+    rows = materialize(rows, "report-rows")
+    return _drop_pos(rg.with_ids(facts(rows), rg.register(rg.Registry(), [rows])))
 
 
 @register("csv_with_preamble")
 def q_csv_with_preamble(spark, sf_dir):
-    r = cl.csv_with_preamble(dtab.closing_balance_report(spark, sf_dir), cl.CLOSING_BALANCE_COLUMNS)
-    return r.select("source_file", "Subinventory Name", "Item Name", "Start Date", "Costed Onhand Quantity")
+    r = cl.csv_with_preamble(_lines(spark, dtab.closing_balance_report(spark, sf_dir)), cl.CLOSING_BALANCE_COLUMNS, ["Notes"])
+    return r.select("source_file", "Subinventory Name", "Item Name", "Start Date", "Costed Onhand Quantity", "Notes")
 
 
 @register("preamble_period")
 def q_preamble_period(spark, sf_dir):
     lines = dtab.opening_receipts_issues_report(spark, sf_dir).unionByName(dtab.closing_balance_report(spark, sf_dir))
-    return cl.preamble_period(lines)
+    return cl.preamble_period(_lines(spark, lines))
 
 
 @register("parse_number")
@@ -970,66 +982,83 @@ def q_parse_date_multi(spark, sf_dir):
 
 @register("dim_upsert")
 def q_dim_upsert(spark, sf_dir):
-    bal = cl.load_closing_balance(dtab.closing_balance_report(spark, sf_dir))
-    existing = cl.dim_upsert(None, bal, ["org_code", "location_code"], "location_id")
-    mm = cl.load_min_max(dtab.min_max_report(spark, sf_dir))
-    dim = cl.dim_upsert(existing, mm, ["org_code", "location_code"], "location_id")
-    return dim.select("org_code", "location_code", F.col("location_id").isNotNull().alias("has_id"))
+    """Locations after a second load: the first one's keep their ids, new ones go on from there."""
+    first = materialize(cl.load_closing_balance(_lines(spark, dtab.closing_balance_report(spark, sf_dir))), "report-rows")
+    second = materialize(cl.load_min_max(_lines(spark, dtab.min_max_report(spark, sf_dir))), "report-rows")
+    registry = rg.register(rg.register(rg.Registry(), [first]), [second])
+    return registry.locations.join(registry.organizations, "org_id")
+
+
+def _whole_load(spark, sf_dir) -> rg.Registry:
+    reports = [
+        cl.load_categories(_lines(spark, dtab.categories_report(spark, sf_dir))),
+        cl.load_item_types(_lines(spark, dtab.item_types_report(spark, sf_dir))),
+        cl.load_closing_balance(_lines(spark, dtab.closing_balance_report(spark, sf_dir))),
+        cl.load_opening_receipts_issues(_lines(spark, dtab.opening_receipts_issues_report(spark, sf_dir)), org="MAIN_ORG"),
+        cl.load_min_max(_lines(spark, dtab.min_max_report(spark, sf_dir))),
+        cl.load_consumption(_lines(spark, dtab.consumption_report(spark, sf_dir))),
+        cl.load_expiry_waste(_lines(spark, dtab.expiry_report(spark, sf_dir))),
+    ]
+    return rg.register(rg.Registry(), [materialize(r, "report-rows") for r in reports])
 
 
 @register("dim_fill_missing")
 def q_dim_fill_missing(spark, sf_dir):
-    c = cl.load_consumption(dtab.consumption_report(spark, sf_dir)).withColumn("load_seq", F.struct("source_file", "line_no"))
-    return cl.dim_fill_missing(None, c, ["item_number"], ["category_name", "item_class"])
+    """The item master after all reports."""
+    return _whole_load(spark, sf_dir).items
 
 
 @register("load_categories")
 def q_load_categories(spark, sf_dir):
-    return cl.load_categories(dtab.categories_report(spark, sf_dir)).drop("category_id")
+    return rg.register(rg.Registry(), [cl.load_categories(_lines(spark, dtab.categories_report(spark, sf_dir)))]).categories
 
 
 @register("load_item_types")
 def q_load_item_types(spark, sf_dir):
-    return cl.load_item_types(dtab.item_types_report(spark, sf_dir)).drop("item_type_id")
+    return rg.register(rg.Registry(), [cl.load_item_types(_lines(spark, dtab.item_types_report(spark, sf_dir)))]).item_types
 
 
 @register("load_closing_balance")
 def q_load_closing_balance(spark, sf_dir):
-    return _drop_pos(cl.load_closing_balance(dtab.closing_balance_report(spark, sf_dir)))
+    return _loaded(cl.load_closing_balance(_lines(spark, dtab.closing_balance_report(spark, sf_dir))), cl.latest_balances)
 
 
 def _ori(spark, sf_dir) -> DataFrame:
-    return cl.load_opening_receipts_issues(dtab.opening_receipts_issues_report(spark, sf_dir), org="MAIN_ORG")
+    return cl.load_opening_receipts_issues(_lines(spark, dtab.opening_receipts_issues_report(spark, sf_dir)), org="MAIN_ORG")
 
 
 @register("load_opening_receipts_issues")
 def q_load_opening_receipts_issues(spark, sf_dir):
-    return _drop_pos(_ori(spark, sf_dir))
+    return _loaded(_ori(spark, sf_dir), cl.latest_balances)
 
 
 @register("unpivot_movements")
 def q_unpivot_movements(spark, sf_dir):
-    return cl.unpivot_movements(_ori(spark, sf_dir))
+    return _loaded(_ori(spark, sf_dir), cl.unpivot_movements)
 
 
 @register("load_min_max")
 def q_load_min_max(spark, sf_dir):
-    return _drop_pos(cl.load_min_max(dtab.min_max_report(spark, sf_dir)))
+    """The stored levels of a first delivery (half of the files) after the whole report has come in."""
+    rows = materialize(cl.load_min_max(_lines(spark, dtab.min_max_report(spark, sf_dir))), "report-rows")
+    registry = rg.register(rg.Registry(), [rows])
+    stored = materialize(rg.with_ids(cl.latest_min_max(rows.where("source_file < 'min_max-32'")), registry), "levels")
+    return _drop_pos(cl.merge_min_max(stored, rg.with_ids(cl.latest_min_max(rows), registry)))
 
 
 @register("load_consumption")
 def q_load_consumption(spark, sf_dir):
-    return _drop_pos(cl.load_consumption(dtab.consumption_report(spark, sf_dir)))
+    return _loaded(cl.load_consumption(_lines(spark, dtab.consumption_report(spark, sf_dir))), lambda r: r.where(cl.has_item_and_location()))
 
 
 @register("load_expiry_waste")
 def q_load_expiry_waste(spark, sf_dir):
-    return _drop_pos(cl.load_expiry_waste(dtab.expiry_report(spark, sf_dir)))
+    return _loaded(cl.load_expiry_waste(_lines(spark, dtab.expiry_report(spark, sf_dir))), lambda r: r.where(cl.has_item_and_location()))
 
 
 @register("classify_waste")
 def q_classify_waste(spark, sf_dir):
-    return cl.classify_waste(cl.load_expiry_waste(dtab.expiry_report(spark, sf_dir)))
+    return _loaded(cl.load_expiry_waste(_lines(spark, dtab.expiry_report(spark, sf_dir))), cl.classify_waste)
 
 
 @register("export_event_feed")

@@ -1198,15 +1198,17 @@ _KDESC = "l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_quantity DESC, l
 _KASC = "l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice"
 
 ORACLE["csv_with_preamble"] = f"""
-SELECT 'closing_balance.csv' AS source_file, {_SUB} AS "Subinventory Name", {_ITM} AS "Item Name",
+SELECT 'closing_balance-' || strftime(l_shipdate, '%Y%m') || '.csv' AS source_file, {_SUB} AS "Subinventory Name", {_ITM} AS "Item Name",
   strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS "Start Date",
-  CASE WHEN l_linenumber = 3 THEN 'null' ELSE CAST(l_quantity AS VARCHAR) END AS "Costed Onhand Quantity"
+  CASE WHEN l_linenumber = 3 THEN 'null' ELSE CAST(l_quantity AS VARCHAR) END AS "Costed Onhand Quantity",
+  CASE WHEN l_linenumber = 5 THEN 'checked, "twice"' || chr(10) || 'and signed' ELSE 'ok' END AS "Notes"
 FROM lineitem"""
 
 ORACLE["preamble_period"] = """
-SELECT * FROM (VALUES ('opening_receipts_issues.csv', DATE '1998-01-01', DATE '1998-12-31'),
-                      ('closing_balance.csv', CAST(NULL AS DATE), CAST(NULL AS DATE))) t(source_file, period_start, period_end)
-WHERE (SELECT COUNT(*) FROM part) > 0 AND (SELECT COUNT(*) FROM lineitem) > 0"""
+SELECT DISTINCT 'opening_receipts_issues-' || lpad(CAST(p_partkey % 16 AS VARCHAR), 2, '0') || '.csv' AS source_file,
+  DATE '1998-01-01' AS period_start, DATE '1998-12-31' AS period_end FROM part
+UNION ALL
+SELECT DISTINCT 'closing_balance-' || strftime(l_shipdate, '%Y%m') || '.csv', CAST(NULL AS DATE), CAST(NULL AS DATE) FROM lineitem"""
 
 ORACLE["parse_number"] = """
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber IN (1, 2, 3) THEN NULL ELSE l_extendedprice END AS value
@@ -1219,89 +1221,146 @@ SELECT l_orderkey, l_linenumber, l_partkey,
        ELSE d END AS value
 FROM (SELECT *, CAST(l_shipdate AS DATE) AS d FROM lineitem)"""
 
-cte("cb_rows", f"""
-SELECT * EXCLUDE (rn) FROM (
-  SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS period_start, last_day(CAST(l_shipdate AS DATE)) AS period_end,
-    {_ORG} AS org_code, {_SUB} AS location_code, {_ITM} AS item_number,
-    CAST(NULL AS DOUBLE) AS opening_qty, CAST(NULL AS DOUBLE) AS receipts_qty, CAST(NULL AS DOUBLE) AS issues_qty,
-    CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS closing_qty, l_extendedprice AS inventory_value,
-    ROUND(l_discount * 100, 2) AS unit_cost,
-    ROW_NUMBER() OVER (PARTITION BY CAST(date_trunc('month', l_shipdate) AS DATE), {_ORG}, {_SUB}, {_ITM}
-                       ORDER BY {_KDESC}) AS rn
-  FROM lineitem WHERE l_linenumber <> 7) WHERE rn = 1""")
-
-cte("mm_rows", f"""
-SELECT * EXCLUDE (rn) FROM (
-  SELECT {_ORG} AS org_code, {_SUB} AS location_code, {_ITM} AS item_number, 'EA' AS uom_code,
-    l_quantity % 10 AS min_qty, l_quantity AS max_qty, 'MINMAX' AS planning_code,
-    CASE WHEN l_linenumber = 2 THEN NULL ELSE 'CENTRAL' END AS source_subinventory,
-    CAST(l_shipdate AS DATE) AS created_at, CAST(l_shipdate AS DATE) AS updated_at,
-    ROW_NUMBER() OVER (PARTITION BY {_ORG}, {_SUB}, {_ITM} ORDER BY {_KDESC}) AS rn
-  FROM lineitem) WHERE rn = 1""")
-
-cte("ori_rows", """
-SELECT DATE '1998-01-01' AS period_start, DATE '1998-12-31' AS period_end, 'MAIN_ORG' AS org_code,
+# a row's place in its report: the file, then the place in the file
+def _place(file: str, *keys: str) -> str:
+    return f"{{'f': {file}, " + ", ".join(f"'k{i}': {k}" for i, k in enumerate(keys)) + "}"
+
+
+_LI_KEYS = ("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
+_BUCKET = "l_partkey % 64"
+_NOTHING = "CAST(NULL AS VARCHAR)"
+
+cte("cb_all", f"""
+SELECT {_place("CAST(strftime(l_shipdate, '%Y%m') AS BIGINT)", *_LI_KEYS)} AS place,
+  CAST(date_trunc('month', l_shipdate) AS DATE) AS period_start, CASE WHEN l_linenumber <> 7 THEN last_day(CAST(l_shipdate AS DATE)) END AS period_end,
+  {_ORG} AS org_code, {_SUB} AS location_code, {_ITM} AS item_number,
+  CAST(NULL AS DOUBLE) AS opening_qty, CAST(NULL AS DOUBLE) AS receipts_qty, CAST(NULL AS DOUBLE) AS issues_qty,
+  CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS closing_qty, l_extendedprice AS inventory_value,
+  ROUND(l_discount * 100, 2) AS unit_cost
+FROM lineitem""")
+
+cte("mm_all", f"""
+SELECT {_place(_BUCKET, *_LI_KEYS)} AS place, {_ORG} AS org_code, {_SUB} AS location_code, {_ITM} AS item_number, 'EA' AS uom_code,
+  l_quantity % 10 AS min_qty, l_quantity AS max_qty, 'MINMAX' AS planning_code,
+  CASE WHEN l_linenumber = 2 THEN NULL ELSE 'CENTRAL' END AS source_subinventory,
+  CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS created_at, CAST(l_shipdate AS DATE) + INTERVAL 1410 MINUTE AS updated_at
+FROM lineitem""")
+
+cte("ori_all", f"""
+SELECT {_place("p_partkey % 16", "p_partkey", "again")} AS place,
+  DATE '1998-01-01' AS period_start, DATE '1998-12-31' AS period_end, 'MAIN_ORG' AS org_code,
   'SUB' || CAST(p_partkey % 4 + 1 AS VARCHAR) AS location_code, 'ITM' || CAST(p_partkey AS VARCHAR) AS item_number,
-  p_type AS category_name, p_name AS item_description, CASE WHEN p_size % 2 = 0 THEN 'EA' ELSE 'BOX' END AS uom_code,
-  CAST(p_size AS DOUBLE) AS opening_qty, CAST(p_partkey % 11 AS DOUBLE) AS receipts_qty,
+  p_type AS category_name, CASE WHEN p_partkey % 10 = 0 THEN p_name || chr(10) || 'in two lines' ELSE p_name END AS item_description,
+  CASE WHEN p_size % 2 = 0 THEN 'EA' ELSE 'BOX' END AS uom_code,
+  CAST(p_size AS DOUBLE) AS opening_qty, CAST(p_partkey % 11 + again AS DOUBLE) AS receipts_qty,
   CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_partkey % 13 AS DOUBLE) END AS issues_qty,
-  CAST(p_size + p_partkey % 11 - p_partkey % 13 AS DOUBLE) AS closing_qty, CAST(p_size * 100 AS DOUBLE) AS inventory_value,
+  CAST(p_size + p_partkey % 11 + again - p_partkey % 13 AS DOUBLE) AS closing_qty, CAST(p_size * 100 AS DOUBLE) AS inventory_value,
   p_retailprice AS unit_cost
-FROM part""")
+FROM part, (SELECT unnest([0, 1]) AS again) WHERE again = 0 OR p_partkey % 7 = 0""")
 
-cte("cons_rows", f"""
-SELECT {_ORG} AS org_code, {_SUB} AS location_code, {_ITM} AS item_number,
+cte("cons_all", f"""
+SELECT {_place(_BUCKET, *_LI_KEYS)} AS place, {_ORG} AS org_code, {_SUB} AS location_code, {_ITM} AS item_number,
   'CAT' || CAST(l_partkey % 5 AS VARCHAR) AS category_name,
   CASE WHEN l_linenumber = 1 THEN NULL ELSE 'C' || CAST(l_linenumber AS VARCHAR) END AS item_class,
   'EA' AS uom_code, ROUND(l_discount * 100, 2) AS unit_cost, l_quantity AS quantity, l_extendedprice AS total_cost,
-  ['A', 'B', 'C'][l_linenumber % 3 + 1] AS abc_class,
-  l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice
+  ['A', 'B', 'C'][l_linenumber % 3 + 1] AS abc_class
 FROM lineitem WHERE l_returnflag = 'N'""")
 
-cte("exp_rows", f"""
-SELECT {_ORG} AS org_code, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS event_ts, {_ITM} AS item_number,
-  {_SUB} AS location_code, l_quantity AS quantity, 'EA' AS uom_code, ROUND(l_discount * 100, 2) AS unit_cost,
+cte("exp_all", f"""
+SELECT {_place(_BUCKET, *_LI_KEYS)} AS place, {_ORG} AS org_code,
+  CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_shipdate AS DATE) + INTERVAL 1410 MINUTE ELSE CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) END AS event_ts,
+  {_ITM} AS item_number, {_SUB} AS location_code, l_quantity AS quantity, 'EA' AS uom_code, ROUND(l_discount * 100, 2) AS unit_cost,
   l_extendedprice AS total_cost,
   CASE l_linenumber % 3 WHEN 0 THEN 'Expired' WHEN 1 THEN 'Damaged - waste' ELSE 'WASTE bin' END AS reason,
   'CAT' || CAST(l_partkey % 5 AS VARCHAR) AS category_name, 'LOT' || CAST(l_orderkey % 500 AS VARCHAR) AS lot_number,
   CAST(l_shipdate AS DATE) + 30 AS lot_expiry
 FROM lineitem WHERE l_returnflag = 'R'""")
 
-ORACLE["dim_upsert"] = with_("""
-SELECT DISTINCT org_code, location_code, TRUE AS has_id FROM (
-  SELECT org_code, location_code FROM cb_rows UNION ALL SELECT org_code, location_code FROM mm_rows)""",
-                             "cb_rows", "mm_rows")
+cte("cat_all", f"""
+SELECT {_place("p_partkey % 8", "p_partkey")} AS place, p_type AS category_name,
+  CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_brand || ' ' || lower(p_type) END AS category_description FROM part""")
+cte("types_all", f"""SELECT {_place("p_partkey % 8", "p_partkey")} AS place, p_brand AS item_type_name FROM part WHERE p_size % 17 <> 0""")
+
+
+def _numbered(key: str, id_col: str, rows: str, at: str = "place") -> str:
+    """Ids in the order in which keys first stand in ``rows``."""
+    return f"SELECT *, ROW_NUMBER() OVER (ORDER BY first_at) AS {id_col} FROM (SELECT {key}, MIN({at}) AS first_at FROM {rows} WHERE {key.split(', ')[-1]} IS NOT NULL GROUP BY {key})"
+
+
+def _resolved(rows: str, source: str, uom: bool) -> str:
+    """``rows`` with the ids that a load of ``source`` alone hands out."""
+    unit = f"LEFT JOIN ({_numbered('uom_code', 'uom_id', source)}) u ON u.uom_code = r.uom_code" if uom else ""
+    return f"""
+SELECT r.* EXCLUDE (place), o.org_id, l.location_id, i.item_id{', u.uom_id' if uom else ''} FROM ({rows}) r
+JOIN ({_numbered('org_code', 'org_id', source)}) o ON o.org_code = r.org_code
+JOIN ({_numbered('org_code, location_code', 'location_id', source)}) l ON l.org_code = r.org_code AND l.location_code = r.location_code
+JOIN ({_numbered('item_number', 'item_id', source)}) i ON i.item_number = r.item_number {unit}"""
+
+
+def _last(rows: str, key: str) -> str:
+    return f"SELECT * EXCLUDE (rn) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY place DESC) AS rn FROM {rows}) WHERE rn = 1"
+
+
+_BALANCE = "period_start, period_end, org_code, location_code, item_number"
+
+# two loads, one after the other: places begin with the number of the load
+cte("two_loads", """
+SELECT {'n': 0, 'f': place.f, 'a': place.k0, 'b': place.k1, 'c': place.k2, 'd': place.k3, 'e': place.k4} AS place, org_code, location_code FROM cb_all
+UNION ALL
+SELECT {'n': 1, 'f': place.f, 'a': place.k0, 'b': place.k1, 'c': place.k2, 'd': place.k3, 'e': place.k4}, org_code, location_code FROM mm_all""", ("cb_all", "mm_all"))
+ORACLE["dim_upsert"] = with_(f"""
+SELECT org_code, location_code, org_id, location_id FROM ({_numbered('org_code, location_code', 'location_id', 'two_loads')}) l
+JOIN ({_numbered('org_code', 'org_id', 'two_loads')}) o USING (org_code)""", "two_loads")
+
+
+def _master(n: int, src: str, keys: int, **columns: str) -> str:
+    """A report's rows in the columns of the item master, placed in the whole load."""
+    ks = [f"CAST(place.k{i} AS DOUBLE)" if i < keys else "CAST(0 AS DOUBLE)" for i in range(5)]
+    names = ("item_number", "item_description", "category_name", "item_class", "uom_code")
+    at = "{'n': " + str(n) + ", 'f': CAST(place.f AS BIGINT), " + ", ".join(f"'k{i}': {k}" for i, k in enumerate(ks)) + "}"
+    return f"SELECT {at} AS place, " + ", ".join(f"{columns.get(c, _NOTHING)} AS {c}" for c in names) + f" FROM {src}"
+
 
+cte("master_rows", "\nUNION ALL\n".join([
+    _master(0, "cat_all", 1, category_name="category_name"),
+    _master(2, "cb_all", 5, item_number="item_number"),
+    _master(3, "ori_all", 2, item_number="item_number", item_description="item_description", category_name="category_name", uom_code="uom_code"),
+    _master(4, "mm_all", 5, item_number="item_number", uom_code="uom_code"),
+    _master(5, "cons_all", 5, item_number="item_number", category_name="category_name", item_class="item_class", uom_code="uom_code"),
+    _master(6, "exp_all", 5, item_number="item_number", category_name="category_name", uom_code="uom_code"),
+]), ("cat_all", "cb_all", "ori_all", "mm_all", "cons_all", "exp_all"))
 ORACLE["dim_fill_missing"] = with_(f"""
-SELECT item_number, first(category_name ORDER BY {_KASC}) FILTER (WHERE category_name IS NOT NULL) AS category_name,
-  first(item_class ORDER BY {_KASC}) FILTER (WHERE item_class IS NOT NULL) AS item_class
-FROM cons_rows GROUP BY item_number""", "cons_rows")
-
-ORACLE["load_categories"] = """
-SELECT p_type AS category_name,
-  first(d ORDER BY p_partkey) FILTER (WHERE d <> '') AS category_description
-FROM (SELECT p_type, p_partkey, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand || ' ' || lower(p_type) END AS d FROM part)
-GROUP BY p_type"""
-
-ORACLE["load_item_types"] = "SELECT DISTINCT p_brand AS item_type_name FROM part WHERE p_size % 17 <> 0"
-ORACLE["load_closing_balance"] = with_("SELECT * FROM cb_rows", "cb_rows")
-ORACLE["load_opening_receipts_issues"] = with_("SELECT * FROM ori_rows", "ori_rows")
-ORACLE["unpivot_movements"] = with_("""
-SELECT org_code, location_code, item_number, event_type, quantity, unit_cost,
+SELECT m.item_number, i.item_id, m.item_description, c.category_id, m.item_class, u.uom_id, CAST(NULL AS BIGINT) AS item_type_id
+FROM (SELECT item_number, arg_min(item_description, place) FILTER (WHERE item_description IS NOT NULL) AS item_description,
+        arg_min(category_name, place) FILTER (WHERE category_name IS NOT NULL) AS category_name,
+        arg_min(item_class, place) FILTER (WHERE item_class IS NOT NULL) AS item_class, arg_min(uom_code, place) FILTER (WHERE uom_code IS NOT NULL) AS uom_code
+      FROM master_rows WHERE item_number IS NOT NULL GROUP BY item_number) m
+JOIN ({_numbered('item_number', 'item_id', 'master_rows')}) i ON i.item_number = m.item_number
+LEFT JOIN ({_numbered('category_name', 'category_id', 'master_rows')}) c ON c.category_name = m.category_name
+LEFT JOIN ({_numbered('uom_code', 'uom_id', 'master_rows')}) u ON u.uom_code = m.uom_code""", "master_rows")
+
+ORACLE["load_categories"] = with_(f"""
+SELECT n.category_name, category_id, category_description FROM ({_numbered('category_name', 'category_id', 'cat_all')}) n
+JOIN (SELECT category_name, arg_min(category_description, place) FILTER (WHERE category_description IS NOT NULL) AS category_description
+      FROM cat_all GROUP BY category_name) d ON d.category_name = n.category_name""", "cat_all")
+ORACLE["load_item_types"] = with_(f"SELECT item_type_name, item_type_id FROM ({_numbered('item_type_name', 'item_type_id', 'types_all')})", "types_all")
+ORACLE["load_closing_balance"] = with_(_resolved(_last("cb_all WHERE period_end IS NOT NULL", _BALANCE), "cb_all", False), "cb_all")
+ORACLE["load_opening_receipts_issues"] = with_(_resolved(_last("ori_all", _BALANCE), "ori_all", True), "ori_all")
+ORACLE["unpivot_movements"] = with_(_resolved("""
+SELECT place, org_code, location_code, item_number, uom_code, event_type, quantity, unit_cost, CAST(NULL AS DOUBLE) AS total_cost,
   CAST(CASE WHEN event_type = 'OPENING' THEN period_start ELSE period_end END AS TIMESTAMP) AS event_ts, TRUE AS is_aggregate
-FROM (SELECT *, 'OPENING' AS event_type, opening_qty AS quantity FROM ori_rows
-      UNION ALL SELECT *, 'RECEIPT', receipts_qty FROM ori_rows
-      UNION ALL SELECT *, 'ISSUE', issues_qty FROM ori_rows)
-WHERE quantity IS NOT NULL AND quantity <> 0""", "ori_rows")
-ORACLE["load_min_max"] = with_("SELECT * FROM mm_rows", "mm_rows")
-ORACLE["load_consumption"] = with_(
-    "SELECT * EXCLUDE (l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) FROM cons_rows", "cons_rows")
-ORACLE["load_expiry_waste"] = with_("SELECT * FROM exp_rows", "exp_rows")
-ORACLE["classify_waste"] = with_("""
-SELECT org_code, location_code, item_number,
+FROM (SELECT *, 'OPENING' AS event_type, opening_qty AS quantity FROM ori_all
+      UNION ALL SELECT *, 'RECEIPT', receipts_qty FROM ori_all
+      UNION ALL SELECT *, 'ISSUE', issues_qty FROM ori_all)
+WHERE quantity IS NOT NULL AND quantity <> 0""", "ori_all", True), "ori_all")
+ORACLE["load_min_max"] = with_(_resolved(_last("mm_all", "org_code, location_code, item_number"), "mm_all", True), "mm_all")
+ORACLE["load_consumption"] = with_(_resolved("SELECT * FROM cons_all", "cons_all", True), "cons_all")
+ORACLE["load_expiry_waste"] = with_(_resolved("SELECT * FROM exp_all", "exp_all", True), "exp_all")
+ORACLE["classify_waste"] = with_(_resolved("""
+SELECT place, org_code, location_code, item_number, uom_code,
   CASE WHEN lower(COALESCE(reason, '')) LIKE '%waste%' THEN 'WASTE' ELSE 'EXPIRE' END AS event_type,
   quantity, unit_cost, total_cost, event_ts, FALSE AS is_aggregate
-FROM exp_rows""", "exp_rows")
+FROM exp_all""", "exp_all", True), "exp_all")
 ORACLE["export_event_feed"] = with_(f"""
 SELECT UPPER(TRIM(COALESCE(event_type, ''))) AS "Type", item_id AS "Item ID", UPPER(TRIM(location_id)) AS "Location",
   ABS(COALESCE(quantity, 0)) AS "Quantity", strftime(event_ts, '%Y-%m-%d %H:%M:%S') AS "Timestamp"

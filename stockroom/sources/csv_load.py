@@ -1,10 +1,9 @@
-"""CSV report loading (preamble-aware), dimension upserts and fact loads.
+"""CSV report loading (preamble-aware) and the rows of facts and dimensions that reports hold.
 
-Input files are read as lines (``read_lines``): ``source_file``, an orderable ``line_no``
-(increasing within a file) and the text. A header is found per file as the first line
-holding all required column names; data lines after it are parsed with ``from_csv``.
-Surrogate keys are ``xxhash64`` of the natural key, so get-or-create needs no lookup
-join and gives the same id in every load. Multi-line quoted cells are not supported.
+Input files are read as lines (``read_lines``): ``source_file``, ``line_no`` (increasing within a file) and the text.
+A header is found per file as the first line holding all required column names; the lines after it are joined into
+records (a quoted cell may hold line breaks) and parsed with ``from_csv``. Ids of organizations, locations, items and
+so on are handed out by ``sources.registry``; the functions here give natural keys.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockroom.functions.normalize import parse_date_multi, parse_number
+from stockroom.functions.normalize import parse_date_multi, parse_datetime_multi, parse_number
 
 UNKNOWN_ORG = "UNKNOWN"
 
@@ -40,11 +39,18 @@ EXPIRY_COLUMNS = [
 ]
 
 
+#: Two quotes inside a quoted cell are one; a cell may hold line breaks.
+CSV_OPTIONS = {"mode": "PERMISSIVE", "multiLine": "true", "escape": '"'}
+#: Bits of a line number that count within one split of a file.
+SPLIT_BITS = 33
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines of CSV files with their file and an increasing position within the file.
 
     Splits of one file are read in offset order, so ``monotonically_increasing_id``
-    increases with the line position inside each file (it is not a dense count).
+    increases with the line position inside each file (it is not a dense count); its
+    upper bits tell the splits apart.
     """
     t = spark.read.text(path)
     return t.select(
@@ -71,31 +77,78 @@ def header_lines(lines: DataFrame, required: list[str]) -> DataFrame:
     )
 
 
-def csv_with_preamble(lines: DataFrame, required: list[str]) -> DataFrame:
-    """I8: rows after each file's header line, parsed by that header; one string column per header name.
+def _opens(text: Column) -> Column:
+    """Whether a quoted cell is open at the end of a text that begins outside of one. A quote opens a cell only at its
+    start; two quotes inside a quoted cell are one that does not end it."""
+    closed = F.regexp_replace(text, '(^|,)"[^"]*+(?:""[^"]*+)*+"', "$1x")
+    return closed.rlike('(^|,)"').cast("int")
+
+
+def records(body: DataFrame) -> DataFrame:
+    """Join lines into records: a line break inside a quoted cell does not end one. Columns as ``body`` (source_file,
+    line_no, value, others of the record's first line); line breaks are kept as line feeds.
 
-    The header text is collected per file (one short line per file) to build the parse
-    schema; files sharing a header are parsed together with one ``from_csv``.
+    Each line maps "inside a quoted cell or not" at its start to the same at its end. Lines without a quote change
+    nothing; most others end outside whatever came before (they *set* the state), and the rest turn it round. So the
+    state before a line is the last one set, turned as often as lines since then do. That is found by running windows
+    inside each split of a file and carried over the splits of the file, of which there are few. Only lines of records
+    that span several are brought together, and only those.
     """
-    heads = header_lines(lines, required)
-    distinct_headers = [r["header"] for r in heads.select("header").distinct().collect()]
-    if not distinct_headers:
+    rest = F.regexp_replace("value", '^[^"]*+(?:""[^"]*+)*+"[^,]*+', "")
+    inside = F.when(F.col("value").rlike('^[^"]*+(?:""[^"]*+)*+"'), _opens(rest)).otherwise(F.lit(1))
+    b = body.withColumn("_split", F.shiftright("line_no", SPLIT_BITS)).withColumn("_f0", _opens(F.col("value"))).withColumn("_f1", inside)
+    turns = (F.col("_f0") > F.col("_f1")).cast("int")
+    b = b.withColumn("_set", F.when(F.col("_f0") == F.col("_f1"), F.col("_f0"))).withColumn("_turn", turns)
+    within = Window.partitionBy("source_file", "_split").orderBy("line_no")
+    before, upto = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = b.withColumn("_turns", F.sum("_turn").over(upto))
+    # the last set state, less the turns up to it, so that adding turns gives the state
+    mark = F.when(F.col("_set").isNotNull(), F.col("_set") - F.col("_turns"))
+    b = b.withColumn("_mark", mark)
+    splits = b.groupBy("source_file", "_split").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("line_no"))).alias("_mark"), F.max("_turns").alias("_all"))
+    over = Window.partitionBy("source_file").orderBy("_split")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    sums = splits.withColumn("_base", F.coalesce(F.sum("_all").over(earlier), F.lit(0)))
+    sums = sums.withColumn("_start", F.last(F.col("_mark") - F.col("_base"), ignorenulls=True).over(earlier))
+    sums = sums.select("source_file", "_split", (F.coalesce("_start", F.lit(0)) + F.col("_base")).alias("_start"))
+    own = F.coalesce(F.last("_mark", ignorenulls=True).over(before), F.col("_start"))
+    b = b.join(sums, ["source_file", "_split"]).withColumn("_open", F.pmod(own + F.col("_turns") - F.col("_turn"), F.lit(2)))
+    start = F.when(F.col("_open") == 0, F.col("line_no"))
+    b = b.withColumn("_first", F.last(start, ignorenulls=True).over(upto))
+    ends = b.groupBy("source_file", "_split").agg(F.max("_first").alias("_last"))
+    ends = ends.withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).drop("_last")
+    b = b.join(ends, ["source_file", "_split"]).withColumn("_first", F.coalesce("_first", "_carried"))
+    # a record goes on if the next line starts inside; the last line of a split asks its own end state
+    ends_open = F.when(F.col("_open") == 0, F.col("_f0")).otherwise(F.col("_f1"))
+    whole = b.filter((F.col("_open") == 0) & (ends_open == 0)).select(*body.columns)
+    parts = b.filter((F.col("_open") == 1) | (ends_open == 1))
+    row = F.struct("line_no", "value", *[F.col(c).alias(f"_v{i}") for i, c in enumerate(body.columns)])
+    joined = parts.groupBy("source_file", "_first").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    text = F.concat_ws("\n", F.col("_rows.value"))
+    first = [text.alias("value") if c == "value" else F.col("_rows")[0][f"_v{i}"].alias(c) for i, c in enumerate(body.columns)]
+    return whole.unionByName(joined.select(*first))
+
+
+def csv_with_preamble(lines: DataFrame, required: list[str], optional: list[str] | None = None) -> DataFrame:
+    """I8: records after each file's header line as string columns: the ``required`` ones and, where a file has them,
+    the ``optional`` ones. Columns are found by name in each file's own header, however many headers there are; of a
+    name that stands twice the last column counts. Raises if no file has a header."""
+    heads = header_lines(lines, required).withColumn("_names", _cells(F.col("header")))
+    width = heads.agg(F.max(F.size("_names"))).first()[0]
+    if width is None:
         raise ValueError(f"Header not found: {required}")
-    parsed = None
-    for header in distinct_headers:
-        names = [c.strip() for c in header.split(",")]
-        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-        files = heads.filter(F.col("header") == header).select("source_file", "header_line")
-        body = lines.join(F.broadcast(files), "source_file").filter(F.col("line_no") > F.col("header_line"))
-        body = body.filter(F.trim("value") != "")
-        rec = F.from_csv(F.col("value"), schema.simpleString(), {"mode": "PERMISSIVE"})
-        cols = []
-        for i, name in enumerate(names):
-            if name and name not in [c.name for c in cols]:
-                cols.append(F.nullif(F.trim(rec[f"_c{i}"]), F.lit("")).alias(name))
-        part = body.select("source_file", "line_no", *cols)
-        parsed = part if parsed is None else parsed.unionByName(part, allowMissingColumns=True)
-    return parsed
+    body = lines.join(heads.select("source_file", "header_line", "_names"), "source_file").filter(F.col("line_no") > F.col("header_line"))
+    body = records(body.drop("header_line")).filter(F.trim("value") != "")
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    rec = F.from_csv(F.col("value"), schema, CSV_OPTIONS)
+    cells = body.withColumn("_rec", rec).withColumn("_cells", F.array(*[F.col(f"_rec._c{i}") for i in range(width)]))
+
+    def cell(name: str) -> Column:
+        back = F.array_position(F.reverse("_names"), F.lit(name))
+        found = F.when(back > 0, F.get("_cells", F.size("_names") - back.cast("int")))
+        return F.nullif(F.trim(found), F.lit("")).alias(name)
+
+    return cells.select("source_file", "line_no", *[cell(c) for c in [*required, *(optional or [])]])
 
 
 def preamble_period(lines: DataFrame) -> DataFrame:
@@ -110,64 +163,26 @@ def preamble_period(lines: DataFrame) -> DataFrame:
     )
 
 
-def surrogate_id(*natural_key: Column) -> Column:
-    """Deterministic surrogate key of a natural key (same id in every load and partition)."""
-    return F.xxhash64(*natural_key)
-
-
 def org_code(col: Column) -> Column:
     """Blank organization code -> 'UNKNOWN'."""
     return F.coalesce(F.nullif(F.trim(col), F.lit("")), F.lit(UNKNOWN_ORG))
 
 
-def dim_upsert(existing: DataFrame | None, incoming: DataFrame, natural_key: list[str], id_col: str) -> DataFrame:
-    """Dimension rows for every natural key seen; new keys get their surrogate id.
-
-    Incoming keys are reduced to distinct values first (one shuffle of distinct keys),
-    then anti-joined with the existing dimension: existing rows are never rewritten.
-    """
-    keys = incoming.select(*natural_key).dropna().distinct()
-    new = keys if existing is None else keys.join(existing.select(*natural_key), natural_key, "left_anti")
-    new = new.withColumn(id_col, surrogate_id(*[F.col(k) for k in natural_key]))
-    return new if existing is None else existing.unionByName(new, allowMissingColumns=True)
-
-
-def dim_fill_missing(existing: DataFrame | None, incoming: DataFrame, key: list[str], attrs: list[str],
-                     seq: str = "load_seq") -> DataFrame:
-    """Per key, the first non-empty value of each attribute in load order; an existing
-    non-empty value is never overwritten."""
-    firsts = incoming.groupBy(*key).agg(
-        *[F.min_by(F.col(a), F.when(F.trim(F.coalesce(F.col(a), F.lit(""))) != "", F.col(seq))).alias(a) for a in attrs]
-    )
-    if existing is None:
-        return firsts
-    j = existing.join(firsts.select(*key, *[F.col(a).alias(f"_new_{a}") for a in attrs]), key, "full_outer")
-    return j.select(
-        *key,
-        *[F.coalesce(F.nullif(F.trim(F.col(a)), F.lit("")), F.col(f"_new_{a}")).alias(a) for a in attrs],
-    )
-
-
-def load_categories(lines: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Category names with the first non-empty description."""
-    rows = csv_with_preamble(lines, ["Category Name"]).withColumn("load_seq", F.struct("source_file", "line_no"))
-    rows = rows.select(
-        F.col("Category Name").alias("category_name"),
-        F.col("Category Description").alias("category_description") if "Category Description" in rows.columns
-        else F.lit(None).cast("string").alias("category_description"),
-        "load_seq",
+def load_categories(lines: DataFrame) -> DataFrame:
+    """Category rows (name, description)."""
+    rows = csv_with_preamble(lines, ["Category Name"], ["Category Description"])
+    return rows.select(
+        F.col("Category Name").alias("category_name"), F.col("Category Description").alias("category_description"), "source_file", "line_no",
     ).filter(F.col("category_name").isNotNull())
-    dim = dim_fill_missing(existing, rows, ["category_name"], ["category_description"])
-    return dim.withColumn("category_id", surrogate_id(F.col("category_name")))
 
 
-def load_item_types(lines: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """First column of every line after the first one, non-blank, distinct."""
+def load_item_types(lines: DataFrame) -> DataFrame:
+    """First column of every line after the first one of its file, non-blank."""
     first_line = lines.groupBy("source_file").agg(F.min("line_no").alias("_h"))
-    body = lines.join(F.broadcast(first_line), "source_file").filter(F.col("line_no") > F.col("_h"))
-    typ = F.trim(F.element_at(F.split("value", ","), 1))
-    incoming = body.select(typ.alias("item_type_name")).filter(F.col("item_type_name") != "")
-    return dim_upsert(existing, incoming, ["item_type_name"], "item_type_id")
+    body = lines.join(first_line, "source_file").filter(F.col("line_no") > F.col("_h")).drop("_h")
+    first = F.from_csv(F.col("value"), "_c0 string", CSV_OPTIONS)["_c0"]
+    rows = records(body).select(F.trim(first).alias("item_type_name"), "source_file", "line_no")
+    return rows.filter(F.col("item_type_name") != "")
 
 
 def _last_write_wins(df: DataFrame, key: list[str], seq: list[str]) -> DataFrame:
@@ -179,8 +194,8 @@ BALANCE_KEY = ["period_start", "period_end", "org_code", "location_code", "item_
 
 
 def load_closing_balance(lines: DataFrame) -> DataFrame:
-    """I16: period balances; rows missing start, end, item or location are skipped; the last
-    row per (period, org, location, item) replaces the whole row (other quantities NULL)."""
+    """I16: rows of period balances (quantities that the report does not have are NULL); ``latest_balances`` keeps the
+    last of each key."""
     r = csv_with_preamble(lines, CLOSING_BALANCE_COLUMNS)
     b = r.select(
         parse_date_multi("Start Date").alias("period_start"),
@@ -196,24 +211,23 @@ def load_closing_balance(lines: DataFrame) -> DataFrame:
         parse_number("Unit Cost").alias("unit_cost"),
         "source_file", "line_no",
     )
-    b = b.filter(
-        F.col("period_start").isNotNull() & F.col("period_end").isNotNull()
-        & F.col("item_number").isNotNull() & F.col("location_code").isNotNull()
-    )
-    return _with_ids(_last_write_wins(b, BALANCE_KEY, ["source_file", "line_no"]))
+    return b
 
 
-def _with_ids(df: DataFrame) -> DataFrame:
-    return (
-        df.withColumn("org_id", surrogate_id(F.col("org_code")))
-        .withColumn("location_id", surrogate_id(F.col("org_code"), F.col("location_code")))
-        .withColumn("item_id", surrogate_id(F.col("item_number")))
-    )
+def has_balance_key() -> Column:
+    """Rows without a period, item or location give no balance (their keys are registered all the same)."""
+    known = [F.col(c).isNotNull() for c in ("period_start", "period_end", "item_number", "location_code")]
+    return known[0] & known[1] & known[2] & known[3]
+
+
+def latest_balances(rows: DataFrame) -> DataFrame:
+    """The last row per (period, org, location, item) of the file order."""
+    return _last_write_wins(rows.filter(has_balance_key()), BALANCE_KEY, ["source_file", "line_no"])
 
 
 def load_opening_receipts_issues(lines: DataFrame, org: str) -> DataFrame:
-    """Balance rows with opening, receipts, issues and closing; the period comes from the
-    file's preamble, the organization is fixed for the file."""
+    """Rows of balances with opening, receipts, issues and closing; the period comes from the file's preamble, the
+    organization is fixed for the file."""
     r = csv_with_preamble(lines, OPENING_RECEIPTS_ISSUES_COLUMNS)
     per = preamble_period(lines)
     b = r.join(per, "source_file", "left").select(
@@ -232,30 +246,28 @@ def load_opening_receipts_issues(lines: DataFrame, org: str) -> DataFrame:
         parse_number("Unit Cost").alias("unit_cost"),
         "source_file", "line_no",
     )
-    b = b.filter(
-        F.col("period_start").isNotNull() & F.col("period_end").isNotNull()
-        & F.col("item_number").isNotNull() & F.col("location_code").isNotNull()
-    )
-    return _with_ids(_last_write_wins(b, BALANCE_KEY, ["source_file", "line_no"]))
+    return b
 
 
-def unpivot_movements(balances: DataFrame) -> DataFrame:
-    """One balance row -> OPENING (at period start), RECEIPT and ISSUE (at period end)
-    events for the quantities that are non-NULL and non-zero; marked as aggregates."""
-    u = balances.select(
-        "org_code", "location_code", "item_number", "unit_cost", "period_start", "period_end",
+def unpivot_movements(rows: DataFrame) -> DataFrame:
+    """Every parsed row (also one whose balance a later row replaces) -> OPENING (at period start), RECEIPT and
+    ISSUE (at period end) events for the quantities that are non-NULL and non-zero; marked as aggregates, without a
+    total cost."""
+    u = rows.filter(has_balance_key()).select(
+        "org_code", "location_code", "item_number", "uom_code", "unit_cost", "period_start", "period_end", "source_file", "line_no",
         F.expr("stack(3, 'OPENING', opening_qty, 'RECEIPT', receipts_qty, 'ISSUE', issues_qty) AS (event_type, quantity)"),
     )
     u = u.filter(F.col("quantity").isNotNull() & (F.col("quantity") != 0))
     ts = F.when(F.col("event_type") == "OPENING", F.col("period_start")).otherwise(F.col("period_end"))
     return u.select(
-        "org_code", "location_code", "item_number", "event_type", "quantity", "unit_cost",
-        ts.cast("timestamp_ntz").alias("event_ts"), F.lit(True).alias("is_aggregate"),
+        "org_code", "location_code", "item_number", "uom_code", "event_type", "quantity", "unit_cost",
+        F.lit(None).cast("double").alias("total_cost"), ts.cast("timestamp_ntz").alias("event_ts"), F.lit(True).alias("is_aggregate"),
+        "source_file", "line_no",
     )
 
 
 def load_min_max(lines: DataFrame) -> DataFrame:
-    """min/max levels; the last row per (org, location, item) overwrites all other columns."""
+    """Rows of min/max levels; ``latest_min_max`` keeps the last of each (org, location, item)."""
     r = csv_with_preamble(lines, MIN_MAX_COLUMNS)
     b = r.select(
         org_code(F.col("ORGANIZATION_CODE")).alias("org_code"),
@@ -266,23 +278,34 @@ def load_min_max(lines: DataFrame) -> DataFrame:
         parse_number("MAX_MINMAX_QUANTITY").alias("max_qty"),
         F.col("INVENTORY_PLANNING_CODE").alias("planning_code"),
         F.col("SOURCE_SUBINVENTORY").alias("source_subinventory"),
-        parse_date_multi("CREATION_DATE").alias("created_at"),
-        parse_date_multi("LAST_UPDATE_DATE").alias("updated_at"),
+        parse_datetime_multi("CREATION_DATE").alias("created_at"),
+        parse_datetime_multi("LAST_UPDATE_DATE").alias("updated_at"),
         "source_file", "line_no",
-    ).filter(F.col("location_code").isNotNull() & F.col("item_number").isNotNull())
-    key = ["org_code", "location_code", "item_number"]
-    return _with_ids(_last_write_wins(b, key, ["source_file", "line_no"]))
+    )
+    return b
+
+
+LEVEL_KEY = ["org_code", "location_code", "item_number"]
+
+
+def has_item_and_location() -> Column:
+    return F.col("location_code").isNotNull() & F.col("item_number").isNotNull()
+
+
+def latest_min_max(rows: DataFrame) -> DataFrame:
+    """The last row per (org, location, item) of the file order."""
+    return _last_write_wins(rows.filter(has_item_and_location()), LEVEL_KEY, ["source_file", "line_no"])
 
 
 def merge_min_max(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """I19 upsert into a stored table: incoming rows replace existing ones with the same key."""
-    key = ["org_code", "location_code", "item_number"]
+    """I19 upsert into a stored table: incoming rows replace existing ones with the same ids, all columns of them."""
+    key = ["org_id", "location_id", "item_id"]
     kept = existing.join(incoming.select(*key), key, "left_anti")
     return kept.unionByName(incoming, allowMissingColumns=True)
 
 
 def load_consumption(lines: DataFrame) -> DataFrame:
-    """Consumption facts (appended) with dimension ids resolved."""
+    """Rows of consumption facts (appended)."""
     r = csv_with_preamble(lines, CONSUMPTION_COLUMNS)
     b = r.select(
         org_code(F.col("ORGANIZATION_CODE")).alias("org_code"),
@@ -296,8 +319,8 @@ def load_consumption(lines: DataFrame) -> DataFrame:
         parse_number("COST").alias("total_cost"),
         F.col("ABCCLASS").alias("abc_class"),
         "source_file", "line_no",
-    ).filter(F.col("location_code").isNotNull() & F.col("item_number").isNotNull())
-    return _with_ids(b)
+    )
+    return b
 
 
 def load_expiry_waste(lines: DataFrame) -> DataFrame:
@@ -305,7 +328,7 @@ def load_expiry_waste(lines: DataFrame) -> DataFrame:
     r = csv_with_preamble(lines, EXPIRY_COLUMNS)
     b = r.select(
         org_code(F.col("Source")).alias("org_code"),
-        parse_date_multi("Txn Date").cast("timestamp_ntz").alias("event_ts"),
+        parse_datetime_multi("Txn Date").alias("event_ts"),
         F.col("Item").alias("item_number"),
         F.col("Location").alias("location_code"),
         parse_number("Quantity").alias("quantity"),
@@ -317,16 +340,16 @@ def load_expiry_waste(lines: DataFrame) -> DataFrame:
         F.col("Lot Number").alias("lot_number"),
         parse_date_multi("Lot Expiry Date").alias("lot_expiry"),
         "source_file", "line_no",
-    ).filter(F.col("location_code").isNotNull() & F.col("item_number").isNotNull())
-    return _with_ids(b)
+    )
+    return b
 
 
 def classify_waste(expiry: DataFrame) -> DataFrame:
     """WASTE when the reason mentions waste (any case), else EXPIRE; as movement events."""
     et = F.when(F.lower(F.coalesce("reason", F.lit(""))).contains("waste"), F.lit("WASTE")).otherwise(F.lit("EXPIRE"))
-    return expiry.select(
-        "org_code", "location_code", "item_number", et.alias("event_type"), "quantity", "unit_cost", "total_cost",
-        "event_ts", F.lit(False).alias("is_aggregate"),
+    return expiry.filter(has_item_and_location()).select(
+        "org_code", "location_code", "item_number", "uom_code", et.alias("event_type"), "quantity", "unit_cost", "total_cost",
+        "event_ts", F.lit(False).alias("is_aggregate"), "source_file", "line_no",
     )
 
 

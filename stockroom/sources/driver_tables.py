@@ -329,8 +329,8 @@ def movements_from_lineitem(li: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- report files rendered as CSV lines
-# Each report is a DataFrame of (source_file, line_no, value) like ``csv_load.read_lines``
-# returns; line_no is an orderable struct (section, row key) so preamble < header < data.
+# Each report is a DataFrame of (source_file, line_no, value); line_no is an orderable struct (section, row key) so
+# preamble < header < data. ``write_report`` makes files of it. Reports come in several files (by month, or by item).
 
 _POS = "struct<s:int,k1:bigint,k2:int,k3:bigint,k4:double,k5:double>"
 
@@ -343,10 +343,27 @@ def _pos(section: int, k1=None, k2=None, k3=None, k4=None, k5=None) -> Column:
     )
 
 
-def _fixed_lines(spark: SparkSession, source: str, texts: list[str], section: int) -> DataFrame:
-    rows = [(source, i, t) for i, t in enumerate(texts)]
-    df = literal_rows(spark, rows, ["source_file", "i", "value"])
-    return df.select("source_file", _pos(section, F.col("i")).alias("line_no"), "value")
+def _report(body: DataFrame, *sections: list[str]) -> DataFrame:
+    """``body`` (source_file, line_no, value) with the lines of ``sections`` before it in each file."""
+    out = body
+    for n, texts in enumerate(sections):
+        files = body.select("source_file").distinct().select("source_file", F.posexplode(F.array(*map(F.lit, texts))).alias("i", "value"))
+        out = out.unionByName(files.select("source_file", _pos(n, F.col("i")).alias("line_no"), "value"))
+    return out
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """One text file per source_file, lines in order, in a folder ``source_file=<name>``."""
+    lines = report.repartition("source_file").sortWithinPartitions("source_file", "line_no")
+    lines.select("source_file", "value").write.partitionBy("source_file").text(path)
+
+
+def _file(name: str, part: Column) -> Column:
+    return F.concat(F.lit(f"{name}-"), part, F.lit(".csv"))
+
+
+def _by_item(name: str, files: int = 64, col: str = "l_partkey") -> Column:
+    return _file(name, F.lpad((F.col(col) % files).cast("string"), 2, "0")).alias("source_file")
 
 
 def _li_pos(section: int) -> Column:
@@ -377,17 +394,15 @@ def _dmy(c: Column) -> Column:
 def categories_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     desc = F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(F.concat_ws(" ", "p_brand", F.lower("p_type")))
-    body = p.select(F.lit("categories.csv").alias("source_file"), _pos(1, F.col("p_partkey")).alias("line_no"),
-                    F.concat_ws(",", "p_type", desc).alias("value"))
-    return _fixed_lines(spark, "categories.csv", ["Category Name,Category Description"], 0).unionByName(body)
+    body = p.select(_by_item("categories", 8, "p_partkey"), _pos(1, F.col("p_partkey")).alias("line_no"), F.concat_ws(",", "p_type", desc).alias("value"))
+    return _report(body, ["\ufeffCategory Name,Category Description"])
 
 
 def item_types_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     first = F.when(F.col("p_size") % 17 == 0, F.lit(" ")).otherwise(F.col("p_brand"))
-    body = p.select(F.lit("item_types.csv").alias("source_file"), _pos(1, F.col("p_partkey")).alias("line_no"),
-                    F.concat_ws(",", first, "p_name").alias("value"))
-    return _fixed_lines(spark, "item_types.csv", ["Item Type,Example"], 0).unionByName(body)
+    body = p.select(_by_item("item_types", 8, "p_partkey"), _pos(1, F.col("p_partkey")).alias("line_no"), F.concat_ws(",", first, "p_name").alias("value"))
+    return _report(body, ["Item Type,Example"])
 
 
 def closing_balance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,35 +415,35 @@ def closing_balance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         _q(F.format_number("l_extendedprice", 2)),
         F.date_format(F.trunc(day, "MM"), "yyyy-MM-dd"),
         F.when(F.col("l_linenumber") == 7, F.lit("")).otherwise(_dmy(F.last_day(day))),
-        F.lit("ok"),
+        F.when(F.col("l_linenumber") == 5, F.lit('"checked, ""twice""\nand signed"')).otherwise(F.lit("ok")),
     ]
-    body = li.select(F.lit("closing_balance.csv").alias("source_file"), _li_pos(2).alias("line_no"),
+    body = li.select(_file("closing_balance", F.date_format(day, "yyyyMM")).alias("source_file"), _li_pos(2).alias("line_no"),
                      F.concat_ws(",", *cells).alias("value"))
-    pre = _fixed_lines(spark, "closing_balance.csv", ["Quantity on hand - closing balance", "Generated,01/06/1998", ""], 0)
-    head = _fixed_lines(spark, "closing_balance.csv", [
+    return _report(body, ["Quantity on hand - closing balance", "Generated,01/06/1998", ""], [
         "Inventory Organization Code,Subinventory Name,Item Name,Unit Cost,Costed Onhand Quantity,"
-        "Costed Onhand Amount,Start Date,End Date,Notes"], 1)
-    return pre.unionByName(head).unionByName(body)
+        "Costed Onhand Amount,Start Date,End Date,Notes"])
 
 
 def opening_receipts_issues_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line per part; some descriptions hold a line break, and every seventh part has a second line that replaces
+    the balance of the first."""
     p = table(spark, sf_dir, "part")
-    rec, iss = F.col("p_partkey") % 11, F.col("p_partkey") % 13
+    again = F.when(F.col("p_partkey") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    p = p.withColumn("again", F.explode(again))
+    rec, iss = F.col("p_partkey") % 11 + F.col("again"), F.col("p_partkey") % 13
+    name = F.when(F.col("p_partkey") % 10 == 0, _q(F.concat(F.col("p_name"), F.lit("\nin two lines")))).otherwise(F.col("p_name"))
     cells = [
         F.concat(F.lit("SUB"), (F.col("p_partkey") % 4 + 1).cast("string")), F.col("p_type"), _itm("p_partkey"),
-        F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.lit("EA")).otherwise(F.lit("BOX")),
+        name, F.when(F.col("p_size") % 2 == 0, F.lit("EA")).otherwise(F.lit("BOX")),
         _q(F.format_number("p_retailprice", 2)), F.col("p_size").cast("string"), rec.cast("string"),
         F.when(iss == 0, F.lit("null")).otherwise(iss.cast("string")),
         (F.col("p_size") + rec - iss).cast("string"), (F.col("p_size") * 100).cast("string"),
     ]
-    body = p.select(F.lit("opening_receipts_issues.csv").alias("source_file"), _pos(2, F.col("p_partkey")).alias("line_no"),
+    body = p.select(_by_item("opening_receipts_issues", 16, "p_partkey"), _pos(2, F.col("p_partkey"), F.col("again")).alias("line_no"),
                     F.concat_ws(",", *cells).alias("value"))
-    pre = _fixed_lines(spark, "opening_receipts_issues.csv",
-                       ["Opening stock, receipts and issues", "Period Start,01/01/1998", "Period End,12/31/1998", ""], 0)
-    head = _fixed_lines(spark, "opening_receipts_issues.csv", [
+    return _report(body, ["Opening stock, receipts and issues", "Period Start,01/01/1998", "Period End,12/31/1998", ""], [
         "Valuation Unit,Category,Item,Description,UOM,Unit Cost,Opening Quantity,Receipts,Issues,Closing Quantity,"
-        "Inventory Value"], 1)
-    return pre.unionByName(head).unionByName(body)
+        "Inventory Value"])
 
 
 def min_max_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -437,14 +452,13 @@ def min_max_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = [
         _org(), _sub(), _itm(), F.lit("EA"), (F.col("l_quantity") % 10).cast("string"), F.col("l_quantity").cast("string"),
         F.lit("MINMAX"), F.when(F.col("l_linenumber") == 2, F.lit("")).otherwise(F.lit("CENTRAL")),
-        _dmy(day), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")),
+        _dmy(day), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T23:30:00Z")),
     ]
-    body = li.select(F.lit("min_max.csv").alias("source_file"), _li_pos(1).alias("line_no"),
+    body = li.select(_by_item("min_max"), _li_pos(1).alias("line_no"),
                      F.concat_ws(",", *cells).alias("value"))
-    head = _fixed_lines(spark, "min_max.csv", [
+    return _report(body, [
         "ORGANIZATION_CODE,DESTINATION,ITEM_NUMBER,MINMAX_QUANTITY_UOM,MIN_MINMAX_QUANTITY,MAX_MINMAX_QUANTITY,"
-        "INVENTORY_PLANNING_CODE,SOURCE_SUBINVENTORY,CREATION_DATE,LAST_UPDATE_DATE"], 0)
-    return head.unionByName(body)
+        "INVENTORY_PLANNING_CODE,SOURCE_SUBINVENTORY,CREATION_DATE,LAST_UPDATE_DATE"])
 
 
 def consumption_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -456,11 +470,10 @@ def consumption_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         _q(F.format_number("l_extendedprice", 2)),
         F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("l_linenumber") % 3 + 1).cast("int")),
     ]
-    body = li.select(F.lit("consumption.csv").alias("source_file"), _li_pos(1).alias("line_no"),
+    body = li.select(_by_item("consumption"), _li_pos(1).alias("line_no"),
                      F.concat_ws(",", *cells).alias("value"))
-    head = _fixed_lines(spark, "consumption.csv", [
-        "ORGANIZATION_CODE,Location,ITEM_NUMBER,CATEGORY,ITEM_CLASS,PRIMARY_UOM_CODE,UNIT_COST,QUANTITY,COST,ABCCLASS"], 0)
-    return head.unionByName(body)
+    return _report(body, [
+        "ORGANIZATION_CODE,Location,ITEM_NUMBER,CATEGORY,ITEM_CLASS,PRIMARY_UOM_CODE,UNIT_COST,QUANTITY,COST,ABCCLASS"])
 
 
 def expiry_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,13 +485,12 @@ def expiry_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("WASTE bin"))
     )
     cells = [
-        _org(), F.date_format(day, "yyyy-MM-dd"), _itm(), _sub(), F.col("l_quantity").cast("string"), F.lit("EA"),
+        _org(), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 23:30:00"))).otherwise(_dmy(day)), _itm(), _sub(), F.col("l_quantity").cast("string"), F.lit("EA"),
         F.format_number(F.col("l_discount") * 100, 2), _q(F.format_number("l_extendedprice", 2)), reason,
         F.concat(F.lit("CAT"), (F.col("l_partkey") % 5).cast("string")),
         F.concat(F.lit("LOT"), (F.col("l_orderkey") % 500).cast("string")), _dmy(F.date_add(day, 30)),
     ]
-    body = li.select(F.lit("expiry.csv").alias("source_file"), _li_pos(1).alias("line_no"),
+    body = li.select(_by_item("expiry"), _li_pos(1).alias("line_no"),
                      F.concat_ws(",", *cells).alias("value"))
-    head = _fixed_lines(spark, "expiry.csv", [
-        "Source,Txn Date,Item,Location,Quantity,UOM,Unit Cost,Value,Reason,Category,Lot Number,Lot Expiry Date"], 0)
-    return head.unionByName(body)
+    return _report(body, [
+        "Source,Txn Date,Item,Location,Quantity,UOM,Unit Cost,Value,Reason,Category,Lot Number,Lot Expiry Date"])

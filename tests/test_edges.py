@@ -89,7 +89,7 @@ def test_prefix_sum_buckets_equal_single_window_with_hot_value(spark):
     )
     whole = Window.orderBy(F.col("v").desc(), F.col("item_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     plain = df.withColumn("run", F.sum("v").over(whole))
-    bucketed = running_sum_desc(df, "v", "item_id", "run", buckets=16, samples_per_bucket=20)
+    bucketed = running_sum_desc(df, "v", "item_id", "run", ranges=16)
     a = {r.item_id: r.run for r in plain.collect()}
     b = {r.item_id: r.run for r in bucketed.collect()}
     assert a == b
@@ -218,7 +218,7 @@ def test_csv_preamble_and_last_write_wins(spark):
         f.write("﻿" + "\n".join(body) + "\n")
     lines = csv_load.read_lines(spark, d)
     out = {(r.org_code, r.item_number): (r.closing_qty, r.inventory_value)
-           for r in csv_load.load_closing_balance(lines).collect()}
+           for r in csv_load.latest_balances(csv_load.load_closing_balance(lines)).collect()}
     assert out == {("ORG1", "ITM1"): (12.0, 1200.0), ("UNKNOWN", "ITM2"): (None, 5.0)}
     per = csv_load.preamble_period(lines).first()
     assert per.period_start == dt.date(2024, 1, 1) and per.period_end is None
