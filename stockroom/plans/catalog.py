@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockroom.functions import normalize as N
-from stockroom.operators import expiry, movement, scope as sc, stock
+from stockroom.operators import expiry, movement, policy, scope as sc, stock
 from stockroom.operators.snapshot import latest_snapshot
 from stockroom.plans.context import Model
+from stockroom.sources import driver_tables as dtab, fact_store
 from stockroom.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +135,28 @@ def q_forecast_items(spark, sf_dir):
     return sc.forecast_items(m.raw, m.datasets, cfg, cut)
 
 
+def _stored_fact(spark, sf_dir) -> DataFrame:
+    rows = dtab.raw_versions(spark, sf_dir)
+    path = policy.scratch_path(spark, "fact-store")
+    fact_store.write_fact(rows, path)
+    return fact_store.read_fact(spark, path, rows.schema)
+
+
+@register("stored_active_fact")
+def q_stored_active_fact(spark, sf_dir):
+    """The active dataset's movements of a year and a half, from the stored fact of three loads."""
+    m = Model(spark, sf_dir)
+    rows = fact_store.active_rows(_stored_fact(spark, sf_dir), m.datasets, sc.Scope(start="1997-01-15", end="1998-06-30"))
+    return rows.groupBy("dataset_id", "location_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+
+
+@register("stored_datasets")
+def q_stored_datasets(spark, sf_dir):
+    """Rows and quantity of each stored load, by year."""
+    f = _stored_fact(spark, sf_dir)
+    return f.groupBy("dataset_id", F.floor(F.col("month") / 100).cast("int").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
+
+
 @register("adhoc_scoped_sql")
 def q_adhoc_scoped_sql(spark, sf_dir):
     m = Model(spark, sf_dir)

@@ -221,6 +221,16 @@ ORACLE["adhoc_scoped_sql"] = with_("""
 SELECT location_id, event_type, COUNT(*) AS n, SUM(quantity) AS quantity
 FROM raw_active GROUP BY location_id, event_type""", "raw_active")
 
+cte("raw_versions", """
+SELECT 'ds_active' AS dataset_id, location_id, event_type, CAST(date AS DATE) AS date, quantity FROM raw_active
+UNION ALL SELECT 'ds_prev', location_id, event_type, CAST(date AS DATE), quantity + 1 FROM raw_active WHERE date < DATE '1998-01-01'
+UNION ALL SELECT 'ds_archived', location_id, event_type, CAST(date AS DATE), quantity FROM raw_active WHERE receipts_qty > 0""", ("raw_active",))
+ORACLE["stored_active_fact"] = with_("""
+SELECT dataset_id, location_id, event_type, COUNT(*) AS n, SUM(quantity) AS quantity, MIN(date) AS first_day, MAX(date) AS last_day
+FROM raw_versions WHERE dataset_id = 'ds_active' AND date BETWEEN DATE '1997-01-15' AND DATE '1998-06-30' GROUP BY ALL""", "raw_versions")
+ORACLE["stored_datasets"] = with_("""
+SELECT dataset_id, CAST(year(date) AS INTEGER) AS year, COUNT(*) AS n, SUM(quantity) AS quantity FROM raw_versions GROUP BY 1, 2""", "raw_versions")
+
 # ---------------------------------------------------------------- 2.3 snapshot KPIs
 ORACLE["latest_snapshot"] = with_("""
 SELECT item_id, location_id, date, event_ts, closing_qty, min_qty, max_qty, issues_qty FROM snap""", "snap")

@@ -102,6 +102,15 @@ def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact with all three loads: the active one, an earlier one that ends with 1997 and counted one more of
+    everything, and an archived one of receipts only."""
+    raw = raw_inventory(spark, sf_dir)
+    earlier = raw.where(F.col("date") < F.lit("1998-01-01").cast("date")).withColumn("dataset_id", F.lit("ds_prev")).withColumn("quantity", F.col("quantity") + 1)
+    archived = raw.where(F.col("receipts_qty") > 0).withColumn("dataset_id", F.lit("ds_archived"))
+    return raw.unionByName(earlier).unionByName(archived)
+
+
 def datasets(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     """Dataset versions: two active loads (the newer one wins) and a newer inactive one."""
     return literal_rows(

@@ -295,3 +295,27 @@ def test_money_below_a_cent_counts(spark):
     from stockroom.operators.movement import money_sum
 
     assert spark.range(1000).select(F.lit(0.004).alias("c")).agg(money_sum(F.col("c"))).first()[0] == 4.0
+
+
+def test_stored_fact_prunes_datasets_and_months(spark):
+    from stockroom.sources import fact_store
+
+    rows = [(d, dt.date(2024, m, 3), "LOC01", k, float(k), "x") for d in ("d1", "d0") for m in range(1, 7) for k in range(4)]
+    raw = spark.createDataFrame([*rows, ("d1", None, "LOC01", 9, 1.0, "x")], "dataset_id string, date date, location_id string, item_id bigint, quantity double, event_type string")
+    path = tempfile.mkdtemp(prefix="stockroom-fact-")
+    fact_store.write_fact(raw, path, files=2)
+    again = raw.where("dataset_id = 'd0' AND item_id < 2")
+    fact_store.write_fact(again, path)  # a dataset that is loaded again replaces its months, others stay
+    fact = fact_store.read_fact(spark, path, raw.schema)
+    assert {r.dataset_id: r["count"] for r in fact.groupBy("dataset_id").count().collect()} == {"d1": 25, "d0": 12}
+    out = fact_store.active_rows(fact, _datasets(spark), Scope(start="2024-02-03", end="2024-04-02"))
+    assert sorted((str(r.date), r.item_id) for r in out.collect()) == [(f"2024-0{m}-03", k) for m in (2, 3) for k in range(4)]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = next(line for line in plan.split("\n") if "FileScan" in line)
+    pruned = scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "subquery" in pruned.lower() and "month" in pruned
+    files = {r[0].split("dataset_id=")[1].split("/part")[0] for r in out.select(F.input_file_name()).distinct().collect()}
+    assert files == {"d1/month=202402", "d1/month=202403"}
+    assert fact_store.active_rows(fact, _datasets(spark)).count() == 25
