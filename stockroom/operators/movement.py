@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockroom.functions.normalize import is_blank, location_code, norm_event_type, norm_location
 from stockroom.operators.scope import Scope, day_between, filter_events, filter_raw, in_active_dataset
+from stockroom.session import materialize
 
 
 def money(col: Column) -> Column:
@@ -126,7 +127,11 @@ def consumption_daily_by_location(raw: DataFrame, datasets: DataFrame, scope: Sc
 
 
 def consumption_daily_pivot(daily: DataFrame, codes: list[str] | None = None) -> DataFrame:
-    """C2 with one column per location code (0 where a day has no rows for it)."""
+    """C2 with one column per location code (0 where a day has no rows for it). Without ``codes`` the daily sums are
+    written first, so that the codes are read from them and the fact is read once."""
+    if codes is None:
+        daily = materialize(daily, "daily-consumption")
+        codes = sorted(r.location_id for r in daily.select("location_id").distinct().where("location_id IS NOT NULL").collect())
     p = daily.groupBy("date").pivot("location_id", codes).agg(F.sum("qty"))
     cols = [c for c in p.columns if c != "date"]
     return p.select("date", *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in cols]).orderBy("date")

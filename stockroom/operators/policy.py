@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockroom.functions.normalize import is_blank, literal_rows
@@ -208,36 +208,40 @@ def eoq(pairs: DataFrame, ordering_cost: float | Column = 0.0, holding_rate: flo
     )
 
 
-def daily_demand_moments(raw: DataFrame, datasets: DataFrame, scope: Scope, pairs: DataFrame | None = None) -> DataFrame:
-    """P9 without materializing the dense (pair x day) frame.
+def policy_inputs(raw: DataFrame, datasets: DataFrame, scope: Scope) -> DataFrame:
+    """P6 and P9 in one pass over the fact: per pair of item and location the last row's policy inputs in [start, end]
+    (NULLs as 0) and the moments of the daily demand.
 
-    Daily sums exist only for days with rows; the zero days of the period are added
-    analytically: mean = sum / n, variance = (sum over demand days of (x - mean)^2
-    + (n - k) * mean^2) / n, with n = days in the period and k = demand days. This is the
-    population variance of the zero-filled daily series, computed in two passes.
+    The fact is reduced to one row per pair and day first (map-side, so a pair that holds a third of all rows ships its
+    days only), with the day's demand and its last row; pairs are then made of days. The dense (pair x day) frame is not
+    materialized: the zero days of the period are added analytically. mean = sum / n, variance = (sum over demand days
+    of (x - mean)^2 + (n - k) * mean^2) / n, with n = days in the period and k = demand days, which is the population
+    variance of the zero-filled daily series.
     """
-    n = period_days(scope.start, scope.end)
-    r = in_active_dataset(raw, datasets).filter(~is_blank("location_id") & day_between(F.col("date"), scope))
     from stockroom.functions.normalize import norm_location
 
-    daily = r.groupBy(
-        F.col("item_id").cast("bigint").alias("item_id"), norm_location("location_id").alias("location_id"), "date"
-    ).agg(F.sum(F.coalesce("issues_qty", F.lit(0.0))).alias("x"))
-    if pairs is not None:
-        daily = daily.join(pairs.select("item_id", "location_id"), ["item_id", "location_id"], "left_semi")
-    pair = Window.partitionBy("item_id", "location_id")
-    mean = F.sum("x").over(pair) / F.lit(float(n))
+    n = period_days(scope.start, scope.end)
+    r = in_active_dataset(raw, datasets).filter(~is_blank("location_id") & day_between(F.col("date"), scope))
+    values = ["item_name", "avg_usage_per_day", "restock_lead_time", "min_qty", "closing_qty", "unit_cost"]
+    daily = r.groupBy(F.col("item_id").cast("bigint").alias("item_id"), norm_location("location_id").alias("location_id"), "date").agg(
+        F.sum(F.coalesce("issues_qty", F.lit(0.0))).alias("x"),
+        F.max(F.struct("event_ts", "ingest_seq", *values)).alias("_last"),
+    )
+    mean = F.sum("x").over(Window.partitionBy("item_id", "location_id")) / F.lit(float(n))
     dev = daily.withColumn("_mean", mean).withColumn("_d2", (F.col("x") - F.col("_mean")) ** 2)
     g = dev.groupBy("item_id", "location_id").agg(
         F.sum("x").alias("total_qty"),
         F.count(F.lit(1)).alias("demand_days"),
         F.first("_mean").alias("mean_daily_qty"),
         F.sum("_d2").alias("_ss"),
+        F.max_by("_last", "date").alias("_last"),
     )
     var = (F.col("_ss") + (F.lit(n) - F.col("demand_days")) * F.col("mean_daily_qty") ** 2) / F.lit(float(n))
     return g.select(
         "item_id",
         "location_id",
+        F.trim("_last.item_name").alias("item_name"),
+        *[F.coalesce(f"_last.{c}", F.lit(0.0)).alias(c) for c in values[1:]],
         F.lit(n).cast("bigint").alias("days"),
         "demand_days",
         "total_qty",
@@ -246,6 +250,11 @@ def daily_demand_moments(raw: DataFrame, datasets: DataFrame, scope: Scope, pair
     )
 
 
+def daily_demand_moments(raw: DataFrame, datasets: DataFrame, scope: Scope) -> DataFrame:
+    """The moments of the daily demand of each pair, without materializing its zero days."""
+    return policy_inputs(raw, datasets, scope).select("item_id", "location_id", "days", "demand_days", "total_qty", "mean_daily_qty", "demand_std_dev")
+
+
 def daily_demand_dense(raw: DataFrame, datasets: DataFrame, scope: Scope, pairs: DataFrame) -> DataFrame:
     """P9 (explicit form): one row per pair and day of the period, zero-filled.
 
@@ -317,14 +326,31 @@ def rop(pairs: DataFrame, lead_time: Column, saved_safety: DataFrame | None = No
     )
 
 
-def policy_log_write(params: DataFrame, path: str, kind: str, scope: Scope) -> None:
-    """Append computed parameters with review date and period note (append-only log)."""
-    out = params.withColumn("policy", F.lit(kind)).withColumn("review_date", F.lit(scope.as_of).cast("date")).withColumn(
-        "notes", F.lit(f"period={scope.start}..{scope.end}")
+# fixed values: the columns that each kind of saved parameters has
+LOG_COLUMNS = {
+    "eoq": ["annual_demand_qty", "ordering_cost", "holding_cost", "lead_time_days"],
+    "safety_stock": ["demand_std_dev", "lead_time_days", "service_level_z"],
+    "rop": ["daily_demand_avg", "lead_time_days", "safety_stock_qty"],
+}
+
+
+def policy_log_write(params: DataFrame, path: str, kind: str, scope: Scope, holding_rate: float | None = None) -> None:
+    """Append computed parameters of one kind (``LOG_COLUMNS``) with review date and period note, under the master
+    id of the item. EOQ notes name the holding rate as it was asked for."""
+    note = f"period={scope.start}..{scope.end}" + (f";holding_rate={holding_rate}" if kind == "eoq" else "")
+    out = params.select(
+        "item_id", "location_id", *LOG_COLUMNS[kind], F.lit(scope.as_of).cast("date").alias("review_date"), F.lit(note).alias("notes"),
+        F.lit(kind).alias("policy"),
     )
     out.write.mode("append").partitionBy("policy").parquet(path)
 
 
+def policy_log_read(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The saved parameters of one kind, each with ``param_id``: later writes have larger ones."""
+    rows = spark.read.parquet(os.path.join(path, f"policy={kind}"))
+    return rows.withColumn("policy", F.lit(kind)).withColumn("param_id", F.unix_micros("_metadata.file_modification_time"))
+
+
 def period_days_col(start: Column, end: Column) -> Column:
     """P13 as a column: inclusive day count, 0 when either side is NULL or reversed."""
     d = F.datediff(end, start) + 1

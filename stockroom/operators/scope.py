@@ -145,6 +145,12 @@ def filter_options_range(events: DataFrame) -> DataFrame:
     return events.agg(F.min(day).alias("min_end"), F.max(day).alias("max_end"))
 
 
+def filter_options_range_active(fact: DataFrame, datasets: DataFrame) -> DataFrame:
+    """A11 on the fact: first and last business day of the active dataset (NULLs if it has no rows)."""
+    rows = fact.where(F.col("dataset_id") == active_dataset(datasets).scalar())
+    return rows.agg(F.min("date").alias("min_date"), F.max("date").alias("max_date"))
+
+
 def meta_items(raw: DataFrame, datasets: DataFrame) -> DataFrame:
     """Distinct (id, trimmed name), non-blank, active dataset."""
     r = in_active_dataset(raw, datasets).filter(~is_blank("item_name") & F.col("item_id").isNotNull())

@@ -112,6 +112,12 @@ def q_filter_options_range(spark, sf_dir):
     return sc.filter_options_range(Model(spark, sf_dir).events)
 
 
+@register("filter_options_range_active")
+def q_filter_options_range_active(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return sc.filter_options_range_active(_stored_fact(spark, sf_dir), m.datasets)
+
+
 @register("meta_items")
 def q_meta_items(spark, sf_dir):
     m = Model(spark, sf_dir)
@@ -468,53 +474,63 @@ def q_daily_demand_dense(spark, sf_dir):
     return _round6(_moments(Model(spark, sf_dir)), ["mean_daily_qty", "demand_std_dev"])
 
 
-def _safety(m: Model, pairs: DataFrame | None = None) -> DataFrame:
-    pairs = (pairs if pairs is not None else _policy_pairs(m)).select("item_id", "location_id", "restock_lead_time")
-    mom = _moments(m).join(pairs, ["item_id", "location_id"], "inner")
-    return policy.safety_stock(mom, F.col("restock_lead_time"), SERVICE_LEVEL)
+def _with_safety(m: Model) -> DataFrame:
+    """Pairs with their policy inputs and safety stock, from one pass over the fact."""
+    return policy.safety_stock(policy.policy_inputs(m.raw, m.datasets, m.scope()), F.col("restock_lead_time"), SERVICE_LEVEL)
 
 
 @register("safety_stock")
 def q_safety_stock(spark, sf_dir):
-    s = _safety(Model(spark, sf_dir)).select(
+    s = _with_safety(Model(spark, sf_dir)).select(
         "item_id", "location_id", "demand_std_dev", "service_level_z", "lead_time_days", "safety_stock"
     )
     return _round6(s, ["demand_std_dev", "safety_stock"])
 
 
+def _logged_rop(m: Model, path: str) -> DataFrame:
+    """Save the safety stock of every matched pair and compute reorder points from what is saved."""
+    # the pairs are saved and feed the ROP: written once, read twice
+    matched = materialize(policy.policy_item_match(_with_safety(m), m.items), "policy-pairs")
+    policy.policy_log_write(matched.withColumn("item_id", F.col("storage_item_id")), path, "safety_stock", m.scope())
+    pairs = matched.drop("lead_time_days", "service_level_z", "safety_stock")
+    return policy.rop(pairs, F.col("restock_lead_time"), saved_safety=policy.policy_log_read(m.spark, path, "safety_stock"))
+
+
 @register("rop")
 def q_rop(spark, sf_dir):
-    m = Model(spark, sf_dir)
-    # the pairs feed the match, the safety stock and the ROP itself: written once, read three times
-    pairs = materialize(_policy_pairs(m), "policy-pairs")
-    matched = policy.policy_item_match(pairs, m.items)
-    saved = (
-        _safety(m, pairs)
-        .join(matched.select("item_id", "location_id", "storage_item_id"), ["item_id", "location_id"])
-        .select(
-            F.col("storage_item_id").alias("item_id"), "location_id", "demand_std_dev", "lead_time_days",
-            "service_level_z", F.lit(m.scope().as_of).cast("date").alias("review_date"), F.lit(1).alias("param_id"),
-        )
-    )
-    r = policy.rop(matched, F.col("restock_lead_time"), saved_safety=saved)
+    r = _logged_rop(Model(spark, sf_dir), policy.scratch_path(spark, "policy-log"))
     r = r.select("item_id", "location_id", "storage_item_id", "daily_demand_avg", "lead_time_days",
                  "safety_stock_qty", "rop", "current_stock", "status")
     return _round6(r, ["safety_stock_qty", "rop"])
 
 
+def _log_rows(spark, path: str, kind: str) -> DataFrame:
+    return policy.policy_log_read(spark, path, kind).select("policy", "item_id", "location_id", *policy.LOG_COLUMNS[kind], "review_date", "notes")
+
+
 @register("policy_log_write")
 def q_policy_log_write(spark, sf_dir):
     m = Model(spark, sf_dir)
     path = policy.scratch_path(spark, "policy-log")
     e = policy.eoq(policy.policy_item_match(_policy_pairs(m), m.items), ORDERING_COST, HOLDING_RATE)
-    policy.policy_log_write(
-        e.select(F.col("storage_item_id").alias("item_id"), "location_id", "annual_demand_qty", "ordering_cost",
-                 "holding_cost", F.col("restock_lead_time").alias("lead_time_days")),
-        path, "eoq", m.scope(),
-    )
-    log = spark.read.parquet(path)
-    return _round6(log.select("policy", "item_id", "location_id", "annual_demand_qty", "ordering_cost", "holding_cost",
-                              "lead_time_days", "review_date", "notes"), ["annual_demand_qty", "holding_cost"])
+    e = e.withColumn("item_id", F.col("storage_item_id")).withColumn("lead_time_days", F.col("restock_lead_time"))
+    policy.policy_log_write(e, path, "eoq", m.scope(), HOLDING_RATE)
+    return _round6(_log_rows(spark, path, "eoq"), ["annual_demand_qty", "holding_cost"])
+
+
+@register("policy_log_safety_stock")
+def q_policy_log_safety_stock(spark, sf_dir):
+    path = policy.scratch_path(spark, "policy-log")
+    _logged_rop(Model(spark, sf_dir), path)
+    return _round6(_log_rows(spark, path, "safety_stock"), ["demand_std_dev"])
+
+
+@register("policy_log_rop")
+def q_policy_log_rop(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    path = policy.scratch_path(spark, "policy-log")
+    policy.policy_log_write(_logged_rop(m, path).withColumn("item_id", F.col("storage_item_id")), path, "rop", m.scope())
+    return _round6(_log_rows(spark, path, "rop"), ["safety_stock_qty"])
 
 
 @register("period_days")

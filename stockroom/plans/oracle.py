@@ -225,6 +225,7 @@ cte("raw_versions", """
 SELECT 'ds_active' AS dataset_id, location_id, event_type, CAST(date AS DATE) AS date, quantity FROM raw_active
 UNION ALL SELECT 'ds_prev', location_id, event_type, CAST(date AS DATE), quantity + 1 FROM raw_active WHERE date < DATE '1998-01-01'
 UNION ALL SELECT 'ds_archived', location_id, event_type, CAST(date AS DATE), quantity FROM raw_active WHERE receipts_qty > 0""", ("raw_active",))
+ORACLE["filter_options_range_active"] = with_("SELECT MIN(date) AS min_date, MAX(date) AS max_date FROM raw_versions WHERE dataset_id = 'ds_active'", "raw_versions")
 ORACLE["stored_active_fact"] = with_("""
 SELECT dataset_id, location_id, event_type, COUNT(*) AS n, SUM(quantity) AS quantity, MIN(date) AS first_day, MAX(date) AS last_day
 FROM raw_versions WHERE dataset_id = 'ds_active' AND date BETWEEN DATE '1997-01-15' AND DATE '1998-06-30' GROUP BY ALL""", "raw_versions")
@@ -602,12 +603,20 @@ FROM (
   FROM policy_matched m LEFT JOIN safety s ON s.item_id = m.item_id AND s.location_id = m.location_id)""",
                       "policy_matched", "safety")
 
+_NOTE = "'period=' || CAST((SELECT start_d FROM rng) AS VARCHAR) || '..' || CAST((SELECT end_d FROM rng) AS VARCHAR)"
 ORACLE["policy_log_write"] = with_(f"""
 SELECT 'eoq' AS policy, storage_item_id AS item_id, location_id, ROUND(annual_demand_qty, 6) AS annual_demand_qty,
   ordering_cost, ROUND(holding_cost, 6) AS holding_cost, restock_lead_time AS lead_time_days,
-  {AS_OF} AS review_date,
-  'period=' || CAST((SELECT start_d FROM rng) AS VARCHAR) || '..' || CAST((SELECT end_d FROM rng) AS VARCHAR) AS notes
+  {AS_OF} AS review_date, {_NOTE} || ';holding_rate=0.25' AS notes
 FROM policy_eoq""", "policy_eoq", "rng")
+ORACLE["policy_log_safety_stock"] = with_(f"""
+SELECT 'safety_stock' AS policy, m.storage_item_id AS item_id, m.location_id, ROUND(demand_std_dev, 6) AS demand_std_dev,
+  lead_time_days, service_level_z, {AS_OF} AS review_date, {_NOTE} AS notes
+FROM policy_matched m JOIN safety s ON s.item_id = m.item_id AND s.location_id = m.location_id""", "policy_matched", "safety", "rng")
+ORACLE["policy_log_rop"] = with_(f"""
+SELECT 'rop' AS policy, m.storage_item_id AS item_id, m.location_id, m.avg_usage_per_day AS daily_demand_avg,
+  m.restock_lead_time AS lead_time_days, ROUND(COALESCE(s.safety_stock, 0), 6) AS safety_stock_qty, {AS_OF} AS review_date, {_NOTE} AS notes
+FROM policy_matched m LEFT JOIN safety s ON s.item_id = m.item_id AND s.location_id = m.location_id""", "policy_matched", "safety", "rng")
 
 ORACLE["period_days"] = with_("""
 SELECT item_id, first_day, last_day,
