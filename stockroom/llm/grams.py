@@ -20,6 +20,9 @@ SEGMENT = 1 << 20
 PLACE = U64((1 << 21) - 1)
 
 
+TOP = U64(1 << 63)
+
+
 def byte_symbols(seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, 256, dtype=U64)
 
@@ -82,6 +85,25 @@ def picked(hashes: np.ndarray) -> int:
     return int(np.argmin((hashes & ~PLACE) | np.arange(len(hashes)).astype(U64)))
 
 
+class Common:
+    """Gram hashes that windows pick only if they hold no other: many documents hold them, and a window that also holds
+    something of its own meets fewer others by that."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.sort(hashes)
+        self.table = np.zeros(1 << 22, bool)
+        self.table[self.hashes >> U64(42)] = True
+
+    def ranks(self, own: np.ndarray) -> np.ndarray:
+        """The hashes as windows compare them: common ones last."""
+        out = own & ~TOP
+        if len(self.hashes):
+            at = np.flatnonzero(self.table[own >> U64(42)])
+            place = np.minimum(np.searchsorted(self.hashes, own[at]), len(self.hashes) - 1)
+            out[at[self.hashes[place] == own[at]]] |= TOP
+        return out
+
+
 def word_symbols(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit symbol for each word of a text, with the words' first and past-last byte."""
     b = np.frombuffer(raw, np.uint8)
@@ -107,7 +129,7 @@ def word_symbols(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbols, starts, ends
 
 
-def runs(symbols: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(symbols: np.ndarray, length: int, gram: int, common: Common | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchored runs of all windows of ``length`` symbols: (gram hash, hash of the whole run, first window, windows).
 
     The run's hash is over all symbols its windows cover and their number, from another base than the gram's.
@@ -119,7 +141,8 @@ def runs(symbols: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
         sums = prefix_sums(part)
         starts = np.arange(len(part) - gram + 1)
         own = stretch_hash(sums, starts, starts + gram)
-        at_least = sliding_min((own & ~PLACE) | starts.astype(U64), length - gram + 1)
+        ranks = own if common is None else common.ranks(own)
+        at_least = sliding_min((ranks & ~PLACE) | starts.astype(U64), length - gram + 1)
         cut = np.flatnonzero(np.concatenate([[True], at_least[1:] != at_least[:-1]]))
         size = np.diff(np.append(cut, len(at_least)))
         whole = stretch_hash(prefix_sums(part, _SECOND), cut, cut + size + length - 1, _SECOND) + size.astype(U64)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import map_batches
-from .grams import U64, mix, runs
+from .grams import U64, Common, mix, runs
 
 #: Runs that a task holds before it settles them.
 HELD = 1_500_000
@@ -54,12 +54,13 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
-def frequent_grams(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], length: int, gram: int) -> np.ndarray:
+def frequent_grams(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], length: int, gram: int, common: np.ndarray | None = None) -> np.ndarray:
     """Grams that many documents of a sample hold: at most ``ONE_IN`` of them."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [np.unique(runs(symbols(t.as_py()), length, gram)[0]) for t in batch.column("text").cast(pa.large_binary())]
+            last = None if common is None else Common(common)
+            found = [np.unique(runs(symbols(t.as_py()), length, gram, last)[0]) for t in batch.column("text").cast(pa.large_binary())]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["a"])
 
@@ -69,16 +70,17 @@ def frequent_grams(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], leng
     return np.array([r.a for r in counts.where(F.col("n") * ONE_IN >= total).collect()], np.int64).view(U64)
 
 
-def run_rows(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], length: int, gram: int, later: str) -> DataFrame:
-    """All runs of all documents, as rows of RUN."""
-    frequent = frequent_grams(docs, symbols, length, gram)
+def run_rows(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], length: int, gram: int, later: str, common: np.ndarray | None = None) -> DataFrame:
+    """All runs of all documents, as rows of RUN. ``common``: gram hashes that are picked last."""
+    frequent = frequent_grams(docs, symbols, length, gram, common)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
+        last = None if common is None else Common(common)
         for batch in it:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for doc, text in zip(ids, batch.column("text").cast(pa.large_binary()), strict=True):
-                a, c, s, w = runs(symbols(text.as_py()), length, gram)
+                a, c, s, w = runs(symbols(text.as_py()), length, gram, last)
                 if len(a):
                     parts.append((a, c, np.full(len(a), doc, np.int64), s, w))
                     held += len(a)

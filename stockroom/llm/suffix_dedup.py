@@ -5,6 +5,10 @@ range-partitioned by their gram's bytes, then what follows it, with sampled spli
 settles the windows of neighbours that share the gram, and what stands at a bucket's two ends is compared across the
 boundaries. Runs of windows whose whole surroundings repeat are settled beforehand, by aggregates alone.
 
+A window is anchored at a gram that few documents hold, if it holds one: grams that a sample shows to be common come
+last in the choice. Windows that reach over the edge of a passage that many documents share are then told apart by what
+is their own, instead of meeting by the passage; equal windows still choose alike, whatever the sample shows.
+
 Defined results. Null text: empty. Texts shorter than ``length`` bytes: kept whole. Null ``doc_id``: the row is kept
 whole and removes nothing elsewhere. ``doc_id`` is a key: rows that repeat one with the same text are handled alike
 (neither stands earlier than the other); with another text, they share the union of their spans, cut to each text.
@@ -21,14 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import map_batches
-from .grams import BYTES, U64, covered, picked, prefix_sums, stretch_hash
-from .repeats import by_document, repeated_runs, run_rows
+from .grams import BYTES, U64, Common, covered, picked, prefix_sums, stretch_hash
+from .repeats import SAMPLED, _texts, by_document, repeated_runs, run_rows
 
 LENGTH = 100
 GRAM = 32
 #: Windows compared at once in a bucket (a gram with more of them is still taken whole).
 BLOCK = 1_000_000
+#: A gram is common from so many sampled documents on, and from one in so many of what those hold, which bounds them.
+COMMON, COMMON_ONE_IN = 8, 1_000_000
 SUFFIX = "lead binary, next long, before long, a long, doc long, s int, w int, p int, context binary"
 FOUND = "doc long, s int, w int, a long, h long"
 
@@ -42,8 +49,31 @@ def _as_key(raw: bytes) -> int:
     return int.from_bytes(raw[:8].ljust(8, b"\0"), "big") - (1 << 63)
 
 
-def _suffixes(length: int, gram: int):
+def common_grams(docs: DataFrame, gram: int) -> np.ndarray:
+    """Hashes of the grams, at any place, that many documents of a sample hold: at most ``COMMON_ONE_IN`` of them. They
+    decide where windows are anchored, not what is found."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = []
+            for t in batch.column("text").cast(pa.large_binary()):
+                sums = prefix_sums(byte_symbols(t.as_py()))
+                at = np.arange(max(0, len(sums) - gram))
+                found.append(np.unique(stretch_hash(sums, at, at + gram)))
+            if found:
+                own, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["a", "n"])
+
+    rows = map_batches(_texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0), batches, "a long, n long")
+    counts = rows.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    counts = materialize(counts, "common-grams")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return np.array([r.a for r in counts.where(F.col("n") * COMMON_ONE_IN >= total).collect()], np.int64).view(U64)
+
+
+def _suffixes(length: int, gram: int, common: np.ndarray):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = Common(common)
         for batch in it:
             rows: list[list] = [[] for _ in range(9)]
             docs, looks = batch.column("doc").to_pylist(), batch.column("spans")
@@ -60,7 +90,7 @@ def _suffixes(length: int, gram: int):
                     sums = prefix_sums(byte_symbols(context))
                     at = np.arange(length - gram + 1)
                     own = stretch_hash(sums, at, at + gram)
-                    p = picked(own)
+                    p = picked(last.ranks(own))
                     a = int(own[p : p + 1].view(np.int64)[0])
                     for col, v in zip(rows, (context[p : p + gram], _as_key(context[p + gram :]), _as_key(context[max(0, p - 8) : p][::-1]), a, doc, s, w, p, context), strict=True):
                         col.append(v)
@@ -199,10 +229,11 @@ def _bucket(length: int, gram: int):
 
 def spans_to_remove(docs: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, s, w): runs of windows that also stand earlier. ``texts``: doc_id and text, dealt by doc_id."""
-    gone, look = repeated_runs(run_rows(docs, byte_symbols, length, gram, "place"), "place")
+    common = common_grams(docs, gram)
+    gone, look = repeated_runs(run_rows(docs, byte_symbols, length, gram, "place", common), "place")
     looks = by_document(look, "s", "w")
     joined = texts.join(looks.hint("shuffle_merge"), texts.doc_id == looks.doc, "left").select(F.col("doc_id").alias("doc"), "text", "spans")
-    suffixes = map_batches(joined, _suffixes(length, gram), SUFFIX)
+    suffixes = map_batches(joined, _suffixes(length, gram, common), SUFFIX)
     # by the bytes that a bucket sorts by, so that only its first and last gram can go on in another
     dealt = suffixes.repartitionByRange(F.col("lead"), F.col("next"), F.col("before"), F.col("doc"), F.col("s"))
     found = map_batches(dealt, _bucket(length, gram), FOUND)

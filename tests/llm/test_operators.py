@@ -56,6 +56,16 @@ def test_suffix_dedup(docs, keyed):
             assert (r.n_bytes, r.n_removed, r.kept_sha256) == want[r.doc_id]
 
 
+def test_suffix_dedup_with_common_grams(docs, keyed, monkeypatch):
+    """Grams of nearly every repeat count as common: anchors move, results stay."""
+    from stockroom.llm import suffix_dedup as sd
+
+    monkeypatch.setattr(sd, "SAMPLED", 1)
+    monkeypatch.setattr(sd, "COMMON", 2)
+    assert len(sd.common_grams(docs, sd.GRAM)) > 500
+    test_suffix_dedup(docs, keyed)
+
+
 def test_substring_dedup(docs, keyed):
     from stockroom.llm.debruijn_dedup import substring_dedup
 
