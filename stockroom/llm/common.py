@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Fixed value: words are runs of characters other than blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -31,12 +32,17 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     bounded_batches(df.sparkSession)
     importable(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def quoted(column: str) -> str:
+    """A column name that may hold dots, as a reference."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array (null or blank text: empty array)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")

@@ -182,7 +182,13 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, depth: int = DEPTH,
 def train(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Fit on at most ``sample`` labelled rows that are not held out: those with the smallest hash of their id."""
     known = labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col("quality").cast("int").alias("quality")).where("labelled IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("labelled")))
-    rows = measured.join(known, measured.doc_id == known.labelled).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").select("x", "quality").limit(sample).toPandas()
+    rows = measured.join(known, measured.doc_id == known.labelled).select(F.xxhash64("doc_id").alias("h"), "doc_id", "x", "quality")
+    # the smallest hashes are taken; all but about twice as many as wanted are left out before any reaches the driver
+    share = 2 * sample / max(known.count(), 1)
+    if share < 1:
+        few = rows.where(F.col("h") < F.lit(int(share * (1 << 64)) - (1 << 63)))
+        rows = few if few.select("doc_id").count() >= sample else rows
+    rows = rows.orderBy("h", "doc_id", "quality").select("x", "quality").limit(sample).toPandas()
     x = np.array(rows.x.tolist(), np.float64).reshape(len(rows), len(STATISTICS))
     return fit(x, rows.quality.to_numpy(np.float64))
 

@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import materialize
-from .common import map_batches
+from .common import map_batches, quoted
 from .grams import BYTES, U64, Common, covered, picked, prefix_sums, stretch_hash
 from .repeats import SAMPLED, _texts, by_document, repeated_runs, run_rows
 
@@ -279,11 +280,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
 
     ``carry``: also kept_text (characters that were cut in two left out) and row (the document's own columns).
     """
-    own = [F.struct(*(c for c in docs.columns if c != "text")).alias("row")] if carry else []
+    own = [F.struct(*(F.col(quoted(c)) for c in docs.columns if c != "text")).alias("row")] if carry else []
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own).repartition("doc_id")
     spans = by_document(spans_to_remove(docs, texts.select("doc_id", "text"), length, gram), "s", "w")
     joined = texts.join(spans.hint("shuffle_merge"), texts.doc_id == spans.doc, "left").select("doc_id", "text", "spans", *(["row"] if carry else []))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     if carry:
-        schema += ", kept_text string, row " + texts.schema["row"].dataType.simpleString()
+        schema = schema.add("kept_text", "string").add("row", texts.schema["row"].dataType)
     return map_batches(joined, _cut(length, carry), schema)

@@ -426,6 +426,50 @@ def test_decontaminate_before_equal_words(spark):
     assert sorted((r.doc_id, r.item_id, r.word_start, r.similarity) for r in got) == [(i, i, 0, 0.75) for i in range(12)]
 
 
+def test_pipeline_edge_rows(spark, tmp_path):
+    """Null ids, texts and columns; repeated rows; very long texts; names that clash or hold dots; no rows at all."""
+    import shutil
+
+    import corpus_pipeline
+
+    sf = tmp_path / "sf"
+    shutil.copytree("/root/testdata/sf0.001", sf)
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    good = base.where("length(text) > 1500 AND lang = 'en'").limit(3).collect()
+    long = " ".join(r.text for r in good) * 40
+    rows = [tuple(r) for r in good] + [tuple(good[0])] * 2 + [(None, good[0].text, None, None, None), (None, "zz zz", "xx", "s", 5), (None, None, None, None, None), (900001, None, "en", "s", 0), (900002, "", "en", "s", 0), (900003, long, "en", "s", len(long))]
+    docs = spark.createDataFrame(rows, base.schema).selectExpr("*", "'x' AS leak_id", "1 AS kept_id", "'y' AS `a.b`", "2 AS doc", "'r' AS row")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, kept, str(sf))
+        assert after.columns == docs.columns
+        after.write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+        assert sorted((r.text or "") for r in kept.where("doc_id IS NULL").collect()) == sorted(["", "zz zz", good[0].text])
+        assert {r["a.b"] for r in kept.collect()} == {"y"}
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, str(sf)).count() == kept.count()
+    none = docs.where("false")
+    for _name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(sf)).count() == 0
+
+
+def test_quality_sample_is_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from stockroom.llm import quality as op
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    measured = op.with_statistics(docs).cache()
+    few, more = op.train(measured, labels, sample=20), op.train(measured, labels, sample=20)
+    assert op.score(measured, few).orderBy("doc_id").collect() == op.score(measured, more).orderBy("doc_id").collect()
+    known = labels.where(~op.held_out(F.col("doc_id")) & F.col("quality").isNotNull())
+    assert known.count() > 40  # so that the bound is at work
+    small = measured.join(known.select("doc_id"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).select("doc_id")
+    alone = op.train(measured.join(small, "doc_id"), labels, sample=20)
+    assert op.score(measured, alone).orderBy("doc_id").collect() == op.score(measured, few).orderBy("doc_id").collect()
+
+
 def test_pipeline_stages_keep_the_right_documents(spark, tmp_path):
     """Each stage's doc_ids and texts on planted documents, against a brute-force version of the stage."""
     import corpus_pipeline
