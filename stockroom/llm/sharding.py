@@ -1,15 +1,16 @@
 """Sharding by sampled splitters: size-weighted key samples give quantile boundaries, records are range-partitioned.
 
-Records are ordered by (hash of the text, doc_id), so equal texts stand together. A sample weighted by size (each
+Records are ordered by (hash of the text, number of the written record), so equal texts stand together. A sample weighted by size (each
 record draws a key ``-log(u) / size``, the smallest keys are taken) gives the boundaries of many more ranges than
 shards. The ranges' exact sizes are then summed; ranges that came out overfull are sampled again inside and
 subdivided. Whole ranges are dealt to shards in order, cut where the running sum of bytes comes nearest to each
 shard's share. Law: ``bytes``; a shard misses its share by less than a range, that is a small fraction of a shard.
-A group of equal texts is split only where a boundary falls into it, which takes a group as large as a range.
+A group of equal texts may be parted: boundaries fall into one that is as large as a range, also if its rows are equal
+in all columns.
 
 Everything the driver gets is bounded by the sample's size. Defined results. Null text: no bytes, size 1, CRC-32 0.
-Null ``doc_id`` and repeated rows: ordinary records, ordered by a hash of the row as the last resort (equal rows may
-stand in either order). Other columns are ignored. An empty table gives an empty result. With fewer records than
+Null ``doc_id`` and repeated rows: ordinary records (equal texts stand in the order in which they were written). A text
+larger than a shard's share fills a shard alone. Other columns are ignored. An empty table gives an empty result. With fewer records than
 shards some shards stay empty.
 """
 
@@ -46,7 +47,7 @@ def sized(docs: DataFrame) -> DataFrame:
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("h"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"),
+        F.monotonically_increasing_id().alias("k"),
     )
 
 

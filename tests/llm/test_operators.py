@@ -220,6 +220,41 @@ def test_shards(docs):
     assert sum(r.size for r in out) == sum(len((t or "").encode()) + 1 for _, t, *_ in ROWS)
 
 
+def _shares(out, shards=8):
+    """Bytes of each shard; slots are gapless and shards stand in the order of their texts."""
+    sums = [0] * shards
+    for k in range(shards):
+        own = [r for r in out if r.shard == k]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        sums[k] = sum(r.size for r in own)
+    return sums
+
+
+def test_shards_are_near_equal_whatever_repeats(spark):
+    """Against the plain rule: each shard within two ranges of its share, with a third of all rows one text, with rows
+    that are equal in every column, and all rows once."""
+    from stockroom.llm.sharding import RANGES_A_SHARD, shard
+
+    rng = random.Random(4)
+    hot = [(None, "same") for _ in range(3000)]
+    mixed = [(k, "w" * rng.randint(0, 200)) for k in range(4000)] + [(7, "again and again")] * 2000
+    for rows in (hot, mixed, mixed + hot):
+        out = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+        assert Counter((r.doc_id, r.size) for r in out) == Counter((i, len(t) + 1) for i, t in rows)
+        sums = _shares(out)
+        total = sum(sums)
+        assert max(abs(x - total / 8) for x in sums) <= 2 * total / (8 * RANGES_A_SHARD) + 201
+
+
+def test_a_text_larger_than_a_shard(spark):
+    from stockroom.llm.sharding import shard
+
+    rows = [(k, f"text {k}") for k in range(200)] + [(999, "x" * 100_000)]
+    out = shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sums = _shares(out)
+    assert max(sums) >= 100_001 and len(out) == 201 and sum(sums) == sum(len(t) + 1 for _, t in rows)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
