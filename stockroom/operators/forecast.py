@@ -203,24 +203,35 @@ def _seasonal(train: DataFrame, stats: DataFrame, target: str) -> DataFrame:
     return j.groupBy("item_id", "month").agg(F.avg(resid).alias("season"))
 
 
-def native_predictions(split: DataFrame, target: str) -> DataFrame:
-    """F8/F9 (native part): the four baselines for every test month of every item."""
-    train = split.filter(~F.col("is_test"))
-    test = split.filter(F.col("is_test"))
-    stats = _item_stats(train, target)
-    season = _seasonal(train, stats, target)
-    j = test.join(stats, "item_id").join(season, ["item_id", "month"], "left")
+def native_predictions(frame: DataFrame) -> DataFrame:
+    """F8/F9 (native part): the four baselines for every test month of every item, for both targets at once.
+
+    One aggregate per (item, target) over the training months and one per (item, target, calendar month); the mean
+    residual of a calendar month is its mean less the trend at its mean position, so the trend need not be joined to the
+    training months first.
+    """
+    both = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in TARGETS])
+    long = fc_split(frame).select("item_id", "month_end", "trend", "month", "n_months", "test_size", "is_test", F.inline(both))
+    train = long.filter(~F.col("is_test"))
+    t = F.col("trend").cast("double")
+    stats = train.groupBy("item_id", "target").agg(
+        F.max_by("y", "month_end").alias("last_y"),
+        F.avg(F.when(F.col("trend") >= F.col("n_months") - F.col("test_size") - 3, F.col("y"))).alias("mean_last_3"),
+        F.regr_slope("y", t).alias("slope"),
+        F.regr_intercept("y", t).alias("intercept"),
+    )
+    months = train.groupBy("item_id", "target", "month").agg(F.avg("y").alias("_my"), F.avg(t).alias("_mt"))
+    j = long.filter("is_test").join(stats, ["item_id", "target"]).join(months, ["item_id", "target", "month"], "left")
     trend_fit = F.col("intercept") + F.col("slope") * F.col("trend")
+    season = F.col("_my") - (F.col("intercept") + F.col("slope") * F.col("_mt"))
     preds = {
         "naive_last": F.col("last_y"),
         "mean_last_3": F.col("mean_last_3"),
         "linear_trend": trend_fit,
-        "seasonal_trend": trend_fit + F.coalesce("season", F.lit(0.0)),
+        "seasonal_trend": trend_fit + F.coalesce(season, F.lit(0.0)),
     }
     arr = F.array(*[F.struct(F.lit(k).alias("model"), v.alias("prediction")) for k, v in preds.items()])
-    return j.select(
-        "item_id", "month_end", F.lit(target).alias("target"), F.col(target).alias("actual"), F.explode(arr).alias("p")
-    ).select(
+    return j.select("item_id", "month_end", "target", F.col("y").alias("actual"), F.explode(arr).alias("p")).select(
         "item_id", "month_end", "target", F.col("p.model").alias("model"), "actual",
         # demand to a millionth of a unit: the fitted coefficients differ in the last bits
         # between summation orders, the rounded prediction does not

@@ -782,18 +782,10 @@ def _r6(df: DataFrame) -> DataFrame:
     return _round6(df, dbl)
 
 
-def _native_preds(frame: DataFrame) -> DataFrame:
-    res = None
-    for t in fc.TARGETS:
-        p = fc.native_predictions(fc.fc_split(fc.fc_lags(frame, t)), t)
-        res = p if res is None else res.unionByName(p)
-    return res
-
-
 def _fc_run(m: Model):
     """Native candidates end to end: frame, test predictions, metrics, best, 3-step forecast."""
     frame = _fc_frame(m, keep=True)
-    preds = materialize(_native_preds(frame))
+    preds = materialize(fc.native_predictions(frame))
     metrics = fc.fc_metrics(preds)
     best = fc.fc_select(metrics)
     future = fc.fc_recursive(best, frame)
@@ -892,12 +884,12 @@ def q_fc_run_publish(spark, sf_dir):
 
 @register("fc_metrics")
 def q_fc_metrics(spark, sf_dir):
-    return _r6(fc.fc_metrics(_native_preds(_fc_frame(Model(spark, sf_dir), keep=True))))
+    return _r6(fc.fc_metrics(fc.native_predictions(_fc_frame(Model(spark, sf_dir), keep=True))))
 
 
 @register("fc_select")
 def q_fc_select(spark, sf_dir):
-    return _r6(fc.fc_select(fc.fc_metrics(_native_preds(_fc_frame(Model(spark, sf_dir), keep=True)))))
+    return _r6(fc.fc_select(fc.fc_metrics(fc.native_predictions(_fc_frame(Model(spark, sf_dir), keep=True)))))
 
 
 @register("fc_recursive")

@@ -242,7 +242,7 @@ def test_forecast_month_rules(spark):
     assert f2[dt.date(2023, 4, 30)].closing_qty == pytest.approx(20.0)  # halfway between 10 and 30
     split = fc.fc_split(fc.fc_lags(frame, "target_nosmooth"))
     assert {r.item_id for r in split.collect()} == {2}
-    preds = fc.native_predictions(split, "target_nosmooth")
+    preds = fc.native_predictions(frame).filter("target = 'target_nosmooth'")
     metrics = {r.model: r for r in fc.fc_metrics(preds).collect()}
     naive = [(r.actual, r.prediction) for r in preds.collect() if r.model == "naive_last"]
     errors, sizes = (sum(abs(y - x) for y, x in naive), sum(abs(y) for y, _ in naive))

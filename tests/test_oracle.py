@@ -22,7 +22,7 @@ def con():
 def test_query_matches_oracle(spark, con, key):
     res = compare(spark, SF, key, con)
     if key not in ORACLE:
-        assert res["status"] == "no-oracle"
+        assert res["status"] == "no-oracle" and res["spark_rows"] > 0
         return
     assert res["status"] in ("exact", "approx"), res
 
