@@ -157,3 +157,14 @@ def test_levels_of_a_second_delivery_replace_whole_rows(spark):
     stored = rg.with_ids(cl.latest_min_max(one), registry)
     merged = {r.item_number: (r.uom_code, r.min_qty, r.max_qty, r.source_subinventory, r.updated_at) for r in cl.merge_min_max(stored, rg.with_ids(cl.latest_min_max(two), registry)).collect()}
     assert merged == {"I": ("BOX", None, 9.0, None, dt.datetime(2024, 2, 1, 7, 15)), "J": ("EA", 3.0, 4.0, "S", dt.datetime(2024, 1, 1))}
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3])
+def test_records_run_on_over_chunks_of_a_split(spark, monkeypatch, bits):
+    """Windows hold a chunk of lines, not a split of a file; quoted cells may span several chunks."""
+    monkeypatch.setattr(cl, "CHUNK_BITS", bits)
+    rnd = random.Random(bits)
+    body = "".join(",".join(["x" + str(i), cell(rnd), cell(rnd)]) + "\n" for i in range(120)) + 'last,"' + "a\n" * 40 + 'b",c\n'
+    lines = cl.read_lines(spark, folder({"f.csv": "A,B,C\n" + body, "g.csv": "C,A,B\nno,quote,here\n"}))
+    got = [tuple(r) for r in cl.csv_with_preamble(lines, ["A", "B", "C"]).select("A", "B", "C").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [*by_csv(body), ("quote", "here", "no")]))
