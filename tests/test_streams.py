@@ -97,3 +97,14 @@ def test_late_days_count(spark, per_trigger):
     assert got == {"2024-01-20": 4.0, "2024-01-01": 4.0, "2024-01-10": 5.0, "2024-01-19": 2.0}
     arrivals = sink.arrivals.read(spark).collect()
     assert sum(r.rows for r in arrivals) == 5 and sum(r.late_rows for r in arrivals) == (2 if per_trigger == 1 else 1)
+
+
+def test_append_of_a_batch_without_new_ids_gives_no_rows(spark, tmp_path):
+    """All ids stand in the ledger: nothing is written, and what is read has the fact's columns and no rows."""
+    from stockroom.plans.catalog import REGISTRY
+
+    rows = [(n * 8000 + 1, dt.datetime(2024, 1, day), 7, "click", 2.0, "") for n, day in enumerate((2, 20))]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = REGISTRY["scan_append"](spark, str(tmp_path))
+    assert got.columns[0] == "scan_row" and got.count() == 0
