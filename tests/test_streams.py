@@ -108,3 +108,15 @@ def test_append_of_a_batch_without_new_ids_gives_no_rows(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events.parquet"))
     got = REGISTRY["scan_append"](spark, str(tmp_path))
     assert got.columns[0] == "scan_row" and got.count() == 0
+
+
+def test_rules_are_run_once_and_their_outcome_is_read(spark):
+    from stockroom.sources import scans
+
+    good = (2, "a", "2024-01-02T10:00:00", "2024-01-02", "ds", "7", "item", "LOC01", "ISSUE", "3")
+    tagged = scans.scan_tag(spark.createDataFrame([good, (3, *good[1:9], "x")], SCAN), "ds")
+    assert [r._error for r in tagged.orderBy("row_index").collect()] == [None, "quantity must be numeric"]
+    marked = tagged.drop("_error").selectExpr("*", "if(row_index = 2, 'marked', NULL) AS _error")
+    valid, quarantine, skipped = scans.scan_split(marked)
+    assert [(r.row_index, r.error) for r in quarantine.collect()] == [(2, "marked")]
+    assert [r.row_index for r in valid.collect()] == [3] and skipped.count() == 0
