@@ -168,3 +168,29 @@ def test_records_run_on_over_chunks_of_a_split(spark, monkeypatch, bits):
     lines = cl.read_lines(spark, folder({"f.csv": "A,B,C\n" + body, "g.csv": "C,A,B\nno,quote,here\n"}))
     got = [tuple(r) for r in cl.csv_with_preamble(lines, ["A", "B", "C"]).select("A", "B", "C").collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, [*by_csv(body), ("quote", "here", "no")]))
+
+
+def test_files_without_open_cells_are_not_dealt_by_chunk(spark, monkeypatch):
+    """Only files with a record of several lines pass the windows; the others' lines are records as they are."""
+    seen, plain = [], cl._spanning_records
+    monkeypatch.setattr(cl, "_spanning_records", lambda body: seen.append({r.source_file[-5:] for r in body.collect()}) or plain(body))
+    closed, spanning = 'A,B\n1,"x, ""y"""\n2,a"b\n', 'B,A\n"p\nq",3\nr,4\n'
+    cases = (({"a.csv": closed, "b.csv": spanning}, [{"b.csv"}]), ({"a.csv": closed}, []), ({"b.csv": spanning}, [{"b.csv"}]))
+    for files, want in cases:
+        seen.clear()
+        got = {tuple(r) for r in cl.csv_with_preamble(cl.read_lines(spark, folder(files)), ["A", "B"]).select("A", "B").collect()}
+        assert seen == want
+        assert got == {r for f in files for r in ([("1", 'x, "y"'), ("2", 'a"b')] if f == "a.csv" else [("3", "p\nq"), ("4", "r")])}
+
+
+def test_dates_without_a_separator_of_a_format_are_not_tried(spark):
+    from stockroom.functions.normalize import parse_date_multi, parse_number
+
+    texts = ["03/04/2024", "12/31/2024", "2024-01-05", "2024-01-05T10:20/x", "2024-01-05 10:20", "20240105", "31/31/2024", "5-6-2024", "", None, " 1/2/2024 "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_date_multi("t").alias("d"))
+    five = dt.date(2024, 1, 5)
+    assert [r.d for r in df.collect()] == [dt.date(2024, 4, 3), dt.date(2024, 12, 31), five, five, five, None, None, None, None, None, dt.date(2024, 2, 1)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("contains(") >= 2
+    numbers = spark.createDataFrame([(t,) for t in (" 1,234.5 ", "null", "", "x", None, "1e3")], "t string").select(parse_number("t").alias("n"))
+    assert [r.n for r in numbers.collect()] == [1234.5, None, None, None, None, 1000.0]
