@@ -170,6 +170,19 @@ def test_records_run_on_over_chunks_of_a_split(spark, monkeypatch, bits):
     assert sorted(map(repr, got)) == sorted(map(repr, [*by_csv(body), ("quote", "here", "no")]))
 
 
+def test_reports_leave_no_files_behind_but_their_rows(spark, tmp_path, monkeypatch):
+    from stockroom import session
+    from stockroom.plans import catalog
+
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda _: str(tmp_path))
+    pos = F.struct(F.lit(1).alias("s"), F.col("id").alias("k1"))
+    text = F.when(F.col("id") == 0, "Item Type,Example").when(F.col("id") == 1, 'A,"two\nlines"').otherwise("B,x")
+    report = spark.range(3).select(F.lit("t.csv").alias("source_file"), pos.alias("line_no"), text.alias("value"))
+    rows = catalog._read_in(cl.load_item_types, report)
+    assert sorted(r.item_type_name for r in rows.collect()) == ["A", "B"]
+    assert [p.name.split("-")[0:2] for p in (tmp_path / "tables").iterdir()] == [["report", "rows"]]
+
+
 def test_files_without_open_cells_are_not_dealt_by_chunk(spark, monkeypatch):
     """Only files with a record of several lines pass the windows; the others' lines are records as they are."""
     seen, plain = [], cl._spanning_records
